@@ -1,134 +1,84 @@
-"""Strict JSON blocks and their flat key/value entries, on VARIANT."""
+"""Strict JSON blocks and their flat key/value entries, as SQL expressions on VARIANT.
+
+A block is ``struct<ok boolean, entries array<struct<key,value>>>``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import NO_ENTRIES, empty_to_null, entry, let, raw
 
-from .text import ENTRIES, entry, let, no_entries
+OBJECT = "map<string,variant>"
 
 
-def strict_json(text: Column) -> Column:
+def strict_json(text: str) -> str:
     """VARIANT of a text that is exactly one JSON value, else NULL.
 
     ``try_parse_json`` ignores text after the value. The value is therefore parsed as the first of
     two array elements, the second being a hash of the text, which the text cannot contain.
     """
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return let(
-        pair.try_cast("array<variant>"),
-        lambda p: F.when((F.size(p) == 2) & (F.get(p, F.lit(1)).try_cast("bigint") == mark), F.get(p, F.lit(0))),
-    )
+    mark = f"xxhash64({text})"
+    pair = f"try_cast(try_parse_json(concat('[', {text}, ',', string({mark}), ']')) AS array<variant>)"
+    return let(pair, "p", f"CASE WHEN size(p) = 2 AND try_cast(get(p, 1) AS bigint) = {mark} THEN get(p, 0) END")
+
 
+def as_object(value: str) -> str:
+    return f"try_cast({value} AS {OBJECT})"
 
-def _strip_zeros(c: Column) -> Column:
-    return F.rtrim(F.rtrim(c, F.lit("0")), F.lit("."))
 
+def _strip_zeros(x: str) -> str:
+    return f"rtrim('.', rtrim('0', {x}))"
 
-def _number_text(j: Column, legacy: bool) -> Column:
-    d = j.try_cast("double")
-    a = F.abs(d)
-    exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(j, r"\.0E", "E"), r"E(\d)", "E+$1"), "E", "e")
+
+def _number_text(j: str, legacy: bool) -> str:
+    """Plain digits between 1e-6 and 1e21, else an exponent with a sign."""
+    size = f"abs(try_cast({j} AS double))"
+    wide = _strip_zeros(f"string(try_cast(try_cast({j} AS double) AS decimal(38,16)))")
+    fine = _strip_zeros(f"string(try_cast(try_cast({j} AS double) AS decimal(38,24)))")
+    exponent = f"replace(regexp_replace(replace({j}, '.0E', 'E'), {raw('E([0-9])')}, 'E+$1'), 'E', 'e')"
     text = (
-        F.when(~F.contains(j, F.lit("E")), j)
-        .when(a == 0, F.lit("0"))
-        .when((a >= 1) & (a < 1e21), _strip_zeros(d.try_cast("decimal(38,16)").cast("string")))
-        .when((a >= 1e-6) & (a < 1), _strip_zeros(d.try_cast("decimal(38,24)").cast("string")))
-        .otherwise(exponent)
+        f"CASE WHEN NOT contains({j}, 'E') THEN regexp_replace({j}, {raw('[.]0$')}, '') WHEN {size} = 0 THEN '0' "
+        f"WHEN {size} >= 1 AND {size} < 1e21 THEN {wide} WHEN {size} >= 1e-6 AND {size} < 1 THEN {fine} ELSE {exponent} END"
     )
     return _strip_zeros(text) if legacy else text
 
 
-def _field_text(value: Column, legacy: bool) -> Column:
+def _field_text(value: str, legacy: bool) -> str:
     """Text of one JSON value: strings as they are (empty dropped), numbers, true/false, null, nested JSON."""
-
-    def body(j: Column) -> Column:
-        nested = F.replace(
-            F.replace(F.replace(j, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e")),
-            F.lit("&"),
-            F.lit("\\u0026"),
-        )
-        return (
-            F.when(F.startswith(j, F.lit('"')), F.when(j != '""', value.try_cast("string")))
-            .when(F.rlike(j, F.lit("^-?[0-9]")), _number_text(j, legacy))
-            .otherwise(nested)
-        )
-
-    return let(F.to_json(value), body)
+    nested = "replace(replace(replace(j, '<', '\\\\u003c'), '>', '\\\\u003e'), '&', '\\\\u0026')"
+    body = (
+        f"CASE WHEN startswith(j, '\"') THEN {empty_to_null(f'try_cast({value} AS string)')} "
+        f"WHEN rlike(j, '^-?[0-9]') THEN {_number_text('j', legacy)} ELSE {nested} END"
+    )
+    return let(f"to_json({value})", "j", body)
 
 
-def object_entries(obj: Column, legacy: bool = False) -> Column:
+def object_entries(obj: str, legacy: bool) -> str:
     """Entries of a ``map<string,variant>``; none for NULL."""
-    flat = F.transform(F.map_entries(obj), lambda e: entry(e["key"], _field_text(e["value"], legacy)))
-    return F.coalesce(F.filter(flat, lambda e: e["value"].isNotNull()), no_entries())
-
-
-def as_object(value: Column) -> Column:
-    return value.try_cast("map<string,variant>")
+    flat = f"transform(map_entries({obj}), f -> {entry('f.key', _field_text('f.value', legacy))})"
+    return f"coalesce(filter({flat}, f -> f.value IS NOT NULL), {NO_ENTRIES})"
 
 
-def _member(obj: Column, key: str) -> Column:
-    return as_object(F.try_element_at(obj, F.lit(key)))
+def _block(ok: str, entries: str) -> str:
+    return f"named_struct('ok', coalesce({ok}, false), 'entries', coalesce({entries}, {NO_ENTRIES}))"
 
 
-def _block(ok: Column, entries: Column) -> Column:
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(entries, no_entries()).alias("entries"))
+def object_block(text: str, legacy: bool) -> str:
+    """Block of a text that must be a JSON object (or null)."""
+    body = let(as_object("v"), "m", _block("m IS NOT NULL OR is_variant_null(v)", object_entries("m", legacy)))
+    return let(strict_json(text), "v", body)
 
 
-def object_block(text: Column, legacy: bool = False) -> Column:
-    """``struct<ok, entries>`` of a text that must be a JSON object (or null)."""
-    return let(
-        strict_json(text),
-        lambda v: let(
-            as_object(v),
-            lambda m: _block(m.isNotNull() | F.is_variant_null(v), object_entries(m, legacy)),
-        ),
-    )
-
-
-def object_or_array_block(text: Column, legacy: bool = False) -> Column:
+def object_or_array_block(text: str, legacy: bool) -> str:
     """As :func:`object_block`; an array whose elements are all objects is accepted too."""
+    item = let(as_object("x"), "m", _block("m IS NOT NULL OR is_variant_null(x)", object_entries("m", legacy)))
+    items = f"CASE WHEN v IS NOT NULL THEN transform(coalesce(try_cast(v AS array<variant>), array(v)), x -> {item}) END"
+    entries = "CASE WHEN forall(xs, x -> x.ok) THEN flatten(transform(xs, x -> x.entries)) END"
+    return let(strict_json(text), "v", let(items, "xs", _block("forall(xs, x -> x.ok)", entries)))
 
-    def items(v: Column) -> Column:
-        return F.transform(
-            F.coalesce(v.try_cast("array<variant>"), F.array(v)),
-            lambda x: let(
-                as_object(x),
-                lambda m: F.struct(
-                    (m.isNotNull() | F.is_variant_null(x)).alias("ok"), object_entries(m, legacy).alias("entries")
-                ),
-            ),
-        )
-
-    def body(v: Column) -> Column:
-        return let(
-            F.when(v.isNotNull(), items(v)),
-            lambda xs: let(
-                F.forall(xs, lambda x: x["ok"]),
-                lambda ok: _block(ok, F.when(ok, F.flatten(F.transform(xs, lambda x: x["entries"])))),
-            ),
-        )
-
-    return let(strict_json(text), body)
-
-
-def next_data_block(text: Column, legacy: bool = False) -> Column:
-    """An object whose ``props.pageProps`` entries come first, so that top-level keys override them."""
-
-    def body(v: Column) -> Column:
-        return let(
-            as_object(v),
-            lambda m: _block(
-                m.isNotNull() | F.is_variant_null(v),
-                F.concat(
-                    object_entries(_member(_member(m, "props"), "pageProps"), legacy),
-                    object_entries(m, legacy),
-                ),
-            ),
-        )
-
-    return let(strict_json(text), body)
 
-
-__all__ = ["ENTRIES", "strict_json", "object_block", "object_or_array_block", "next_data_block", "object_entries"]
+def next_data_block(text: str, legacy: bool) -> str:
+    """An object whose ``props.pageProps`` entries come first, so that top-level keys override them."""
+    props = as_object("try_element_at(m, 'props')")
+    page_props = as_object(f"try_element_at({props}, 'pageProps')")
+    entries = f"concat({object_entries(page_props, legacy)}, {object_entries('m', legacy)})"
+    return let(strict_json(text), "v", let(as_object("v"), "m", _block("m IS NOT NULL OR is_variant_null(v)", entries)))

@@ -1,4 +1,4 @@
-"""A small selector dialect, compiled to Column predicates over a node struct.
+"""A small selector dialect, compiled to SQL predicates over a node struct.
 
 Supported: a tag name, ``#id``, ``.class``, ``[a]``, ``[a=v]``, ``[a*=v]`` (with an
 optional ``i`` flag), ``:not([a])`` and comma lists. There are no combinators.
@@ -7,17 +7,16 @@ optional ``i`` flag), ``:not([a])`` and comma lists. There are no combinators.
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import quote
 
 _ATTR = r"""\[\s*[\w-]+\s*(?:\*?=\s*(?:"[^"]*"|'[^']*'|[^\]\s"']*)\s*i?\s*)?\]"""
 _PIECE = re.compile(rf":not\({_ATTR}\)|{_ATTR}|[#.][\w-]+")
 _COMPOUND = re.compile(rf"\s*([a-zA-Z][\w-]*|\*)?((?:{_PIECE.pattern})*)\s*")
 _ATTR_PARTS = re.compile(r"""\[\s*([\w-]+)\s*(?:(\*?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s"']*))\s*(i)?\s*)?\]""")
 
+_SPACES = "\t\n\r\f"
+
 # A test is (attribute, operation, value, fold case); a compound is (tag or None, tests).
 Test = tuple[str, str, str, bool]
 Compound = tuple[str | None, tuple[Test, ...]]
@@ -55,41 +54,38 @@ def compile_selector(selector: str) -> list[Compound]:
         pos += 1
 
 
-def _test_column(node: Column, test: Test) -> Column:
+def _test_sql(node: str, test: Test) -> str:
     name, op, value, fold = test
+    v = "lower(a.v)" if fold else "a.v"
+    holds = {
+        "equals": f" AND {v} = {quote(value)}",
+        "contains": f" AND contains({v}, {quote(value)})" if value else " AND false",
+        "word": f" AND contains(concat(' ', translate({v}, {quote(_SPACES)}, '    '), ' '), {quote(f' {value} ')})",
+    }.get(op, "")
+    found = f"exists({node}.attrs, a -> a.k = {quote(name)}{holds})"
+    return f"NOT {found}" if op == "absent" else found
 
-    def holds(a: Column) -> Column:
-        v = F.lower(a["v"]) if fold else a["v"]
-        if op == "equals":
-            return v == value
-        if op == "contains":
-            return F.contains(v, F.lit(value)) if value else F.lit(False)
-        if op == "word":
-            return F.contains(F.concat(F.lit(" "), F.translate(v, "\t\n\f\r", "    "), F.lit(" ")), F.lit(f" {value} "))
-        return F.lit(True)
-
-    found = F.exists(node["attrs"], lambda a: (a["k"] == name) & holds(a))
-    return ~found if op == "absent" else found
 
+def node_matches(node: str, selector: str) -> str:
+    """Predicate of a node expression."""
 
-def node_matches(node: Column, selector: str) -> Column:
-    def compound(c: Compound) -> Column:
+    def compound(c: Compound) -> str:
         tag, tests = c
-        parts = ([node["tag"] == tag] if tag else []) + [_test_column(node, t) for t in tests]
-        return reduce(and_, parts, F.lit(True)) if not parts else reduce(and_, parts)
+        parts = ([f"{node}.tag = {quote(tag)}"] if tag else []) + [_test_sql(node, t) for t in tests]
+        return " AND ".join(parts) or "true"
 
-    return reduce(or_, [compound(c) for c in compile_selector(selector)])
+    return "(" + " OR ".join(f"({compound(c)})" for c in compile_selector(selector)) + ")"
 
 
-def select_nodes(nodes: Column, selector: str) -> Column:
+def select_nodes(nodes: str, selector: str) -> str:
     """Nodes matching the selector, in document order."""
-    return F.filter(nodes, lambda n: node_matches(n, selector))
+    return f"filter({nodes}, n -> {node_matches('n', selector)})"
 
 
-def has_node(nodes: Column, selector: str) -> Column:
-    return F.exists(nodes, lambda n: node_matches(n, selector))
+def has_node(nodes: str, selector: str) -> str:
+    return f"exists({nodes}, n -> {node_matches('n', selector)})"
 
 
-def attr(node: Column, name: str) -> Column:
+def attr(node: str, name: str) -> str:
     """First value of the attribute, NULL when the node does not carry it."""
-    return F.get(F.filter(node["attrs"], lambda a: a["k"] == name), F.lit(0))["v"]
+    return f"get(filter({node}.attrs, a -> a.k = {quote(name)}), 0).v"

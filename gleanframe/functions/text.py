@@ -1,58 +1,69 @@
-"""Scalar helpers on Columns."""
+"""Building blocks of SQL expressions.
+
+Expressions over nested arrays are composed as SQL text and handed to Spark with ``F.expr`` once per
+column: one call instead of thousands of small ones while a plan is built.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ..constants import WHITE_SPACE
+
+ENTRY = "struct<key:string,value:string>"
+NO_ENTRIES = f"CAST(array() AS array<{ENTRY}>)"
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from ..constants import WHITE_SPACE
+def quote(value: str) -> str:
+    """SQL literal of a text."""
+    plain = "".join(c if c.isascii() and c.isprintable() else f"\\u{ord(c):04x}" for c in value.replace("\\", "\\\\"))
+    return "'" + plain.replace("'", "\\'") + "'"
 
-ENTRIES = "array<struct<key:string,value:string>>"
 
+def raw(pattern: str) -> str:
+    """SQL literal of a regular expression without quotes in it."""
+    return f"r'{pattern}'"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once for a body that reads it several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def let(value: str, name: str, body: str) -> str:
+    """Bind a value to a name once, for a body that reads it several times."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def trim_space(c: Column) -> Column:
+
+def trim_space(x: str) -> str:
     """Trim Unicode white space; plain ``trim`` drops blanks only."""
-    return F.trim(c, F.lit(WHITE_SPACE))
+    return f"trim(BOTH {quote(WHITE_SPACE)} FROM {x})"
 
 
-def blank_to_null(c: Column) -> Column:
-    return let(trim_space(c), empty_to_null)
+def empty_to_null(x: str) -> str:
+    return let(x, "s", "CASE WHEN s <> '' THEN s END")
 
 
-def empty_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+def blank_to_null(x: str) -> str:
+    return empty_to_null(trim_space(x))
 
 
-def normalise_key(c: Column) -> Column:
-    return F.translate(F.lower(c), "- ", "__")
+def normalise_key(x: str) -> str:
+    return f"translate(lower({x}), '- ', '__')"
 
 
-def strip_prefixes(c: Column, *prefixes: str) -> Column:
+def strip_prefixes(x: str, *prefixes: str) -> str:
     """Strip each prefix once, in this order. The prefixes are plain words and colons."""
-    return F.regexp_replace(c, "^" + "".join(f"(?:{p})?" for p in prefixes), "")
+    return f"regexp_replace({x}, {raw('^' + ''.join(f'(?:{p})?' for p in prefixes))}, '')"
 
 
-def entry(key: Column, value: Column) -> Column:
-    return F.struct(key.alias("key"), value.alias("value"))
+def entry(key: str, value: str) -> str:
+    return f"named_struct('key', {key}, 'value', {value})"
 
 
-def no_entries() -> Column:
-    return F.array().cast(ENTRIES)
+def present_entries(entries: str) -> str:
+    """Drop entries that lack a key or a value."""
+    return f"filter({entries}, e -> e.key IS NOT NULL AND e.value IS NOT NULL)"
 
 
-def present_entries(entries: Column) -> Column:
-    """Drop entries that lack a key or a value."""
-    return F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+def in_list(x: str, values: tuple[str, ...]) -> str:
+    return f"{x} IN ({', '.join(map(quote, values))})"
 
 
-def cut_utf8(c: Column, max_bytes: int) -> Column:
+def cut_utf8(x: str, max_bytes: int) -> str:
     """First bytes of a text; a character cut in half becomes a replacement mark."""
-    cut = F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, max_bytes).cast("string"))
-    return F.when(F.octet_length(c) > max_bytes, cut).otherwise(c)
+    cut = f"make_valid_utf8(CAST(substring(encode({x}, 'UTF-8'), 1, {max_bytes}) AS STRING))"
+    return f"CASE WHEN octet_length({x}) > {max_bytes} THEN {cut} ELSE {x} END"

@@ -1,4 +1,4 @@
-"""Extractors: node array in, ``struct<entries array<struct<key,value>>, err boolean>`` out.
+"""Extractors: SQL expressions from a node array to ``struct<entries array<struct<key,value>>, err boolean>``.
 
 Entries are in writing order and the last write of a key wins; extractors in which the first write
 wins hand their entries out reversed.
@@ -27,8 +27,21 @@ from ..constants import (
 from ..functions.html import FULL_TEXT, NO_TEXT
 from ..functions.json import next_data_block, object_block, object_or_array_block
 from ..functions.selectors import attr, select_nodes
-from ..functions.text import blank_to_null, empty_to_null, entry, let, no_entries, normalise_key, present_entries, strip_prefixes, trim_space
-from ..options import Options
+from ..functions.text import (
+    NO_ENTRIES,
+    blank_to_null,
+    empty_to_null,
+    entry,
+    in_list,
+    let,
+    normalise_key,
+    present_entries,
+    quote,
+    raw,
+    strip_prefixes,
+    trim_space,
+)
+from ..options import CustomExtractor, Options
 
 
 @dataclass(frozen=True, eq=False)
@@ -38,27 +51,23 @@ class Extractor:
     priority: int
     confidence: float
     selectors: Mapping[str, int]  # selector -> text wanted
-    extract: Callable[[Column, Options], Column]
+    extract: Callable[[str, Options], Column]  # name of the node column -> result
 
 
-def _result(entries: Column, err: Column | None = None) -> Column:
-    err = F.lit(False) if err is None else err
-    return F.struct(F.coalesce(entries, no_entries()).alias("entries"), F.coalesce(err, F.lit(False)).alias("err"))
+def _result(entries: str, err: str = "false") -> str:
+    return f"named_struct('entries', coalesce({entries}, {NO_ENTRIES}), 'err', coalesce({err}, false))"
 
 
-def _from_blocks(blocks: Column) -> Column:
+def _from_blocks(blocks: str) -> str:
     """Good blocks give entries; one bad block sets the error flag of the whole extractor."""
-    return let(
-        blocks,
-        lambda bs: _result(F.flatten(F.transform(bs, lambda b: b["entries"])), F.exists(bs, lambda b: ~b["ok"])),
-    )
+    return let(blocks, "bs", _result("flatten(transform(bs, b -> b.entries))", "exists(bs, b -> NOT b.ok)"))
 
 
-def _first_wins(entries: Column) -> Column:
-    return _result(F.reverse(present_entries(entries)))
+def _first_wins(entries: str) -> str:
+    return _result(f"reverse({present_entries(entries)})")
 
 
-def _last_wins(entries: Column) -> Column:
+def _last_wins(entries: str) -> str:
     return _result(present_entries(entries))
 
 
@@ -67,151 +76,124 @@ NEXT_DATA = "script#__NEXT_DATA__"
 INLINE_SCRIPT = "script:not([src])"
 
 
-def json_ld(nodes: Column, options: Options) -> Column:
-    texts = F.filter(F.transform(select_nodes(nodes, LD_JSON), lambda n: trim_space(n["text"])), lambda t: t != "")
-    return _from_blocks(F.transform(texts, lambda t: object_or_array_block(t, options.legacy_numbers)))
+def json_ld(nodes: str, options: Options) -> str:
+    texts = f"filter(transform({select_nodes(nodes, LD_JSON)}, n -> {trim_space('n.text')}), t -> t <> '')"
+    return _from_blocks(f"transform({texts}, t -> {object_or_array_block('t', options.legacy_numbers)})")
 
 
-def next_data(nodes: Column, options: Options) -> Column:
-    joined = trim_space(F.array_join(F.transform(select_nodes(nodes, NEXT_DATA), lambda n: n["text"]), ""))
-    texts = F.filter(F.array(joined), lambda t: t != "")
-    return _from_blocks(F.transform(texts, lambda t: next_data_block(t, options.legacy_numbers)))
+def next_data(nodes: str, options: Options) -> str:
+    joined = f"array_join(transform({select_nodes(nodes, NEXT_DATA)}, n -> n.text), '')"
+    texts = f"filter(array({trim_space(joined)}), t -> t <> '')"
+    return _from_blocks(f"transform({texts}, t -> {next_data_block('t', options.legacy_numbers)})")
 
 
-def state_globals(nodes: Column, options: Options) -> Column:
-    def first_matches(text: Column) -> Column:
-        # Patterns are tried in order and each counts once per script.
-        objects = F.array(*[F.regexp_extract(text, GLOBAL_PATTERN.format(name=name), 1) for name in GLOBAL_NAMES])
-        return F.when(F.contains(text, F.lit("window.__")), F.filter(objects, lambda o: o != ""))
+def _script_objects(nodes: str, objects: str, options: Options) -> str:
+    texts = f"flatten(transform({select_nodes(nodes, INLINE_SCRIPT)}, n -> {objects}))"
+    return _from_blocks(f"transform({texts}, t -> {object_block('t', options.legacy_numbers)})")
 
-    objects = F.transform(select_nodes(nodes, INLINE_SCRIPT), lambda n: F.coalesce(first_matches(n["text"]), _no_texts()))
-    return _from_blocks(F.transform(F.flatten(objects), lambda o: object_block(o, options.legacy_numbers)))
 
+def state_globals(nodes: str, options: Options) -> str:
+    # Patterns are tried in order and each counts once per script.
+    patterns = [raw(GLOBAL_PATTERN.format(name=name)) for name in GLOBAL_NAMES]
+    firsts = ", ".join(f"regexp_extract(n.text, {p}, 1)" for p in patterns)
+    objects = f"CASE WHEN contains(n.text, 'window.__') THEN filter(array({firsts}), o -> o <> '') ELSE array() END"
+    return _script_objects(nodes, objects, options)
 
-def inline_vars(nodes: Column, options: Options) -> Column:
-    objects = F.transform(
-        select_nodes(nodes, INLINE_SCRIPT), lambda n: F.regexp_extract_all(n["text"], F.lit(INLINE_VAR_PATTERN), F.lit(2))
-    )
-    return _from_blocks(F.transform(F.flatten(objects), lambda o: object_block(o, options.legacy_numbers)))
 
+def inline_vars(nodes: str, options: Options) -> str:
+    return _script_objects(nodes, f"regexp_extract_all(n.text, {raw(INLINE_VAR_PATTERN)}, 2)", options)
 
-def _no_texts() -> Column:
-    return F.array().cast("array<string>")
 
-
-def meta_tags(nodes: Column, options: Options) -> Column:
-    title = F.get(select_nodes(nodes, "title"), F.lit(0))["text"]
-    canonical = F.transform(
-        select_nodes(nodes, 'link[rel="canonical"]'),
-        lambda n: entry(F.lit("canonical_url"), let(attr(n, "href"), empty_to_null)),
+def meta_tags(nodes: str, options: Options) -> str:
+    title = entry("'title'", blank_to_null(f"get({select_nodes(nodes, 'title')}, 0).text"))
+    links = select_nodes(nodes, 'link[rel="canonical"]')
+    canonical = f"transform({links}, n -> {entry(quote('canonical_url'), empty_to_null(attr('n', 'href')))})"
+    property_name = strip_prefixes(f"lower({strip_prefixes('q', 'og:')})", "twitter:")
+    property_key = empty_to_null(f"translate({property_name}, ':', '_')")
+    name_key = let(
+        strip_prefixes(f"lower({attr('n', 'name')})", "twitter:"),
+        "m",
+        f"CASE WHEN {in_list('m', META_NAMES)} THEN m "
+        f"WHEN startswith(m, 'og:') THEN translate({strip_prefixes('m', 'og:')}, ':', '_') END",
     )
+    # A property attribute, even an empty one, hides the name attribute.
+    key = let(attr("n", "property"), "q", f"CASE WHEN q IS NOT NULL THEN {property_key} ELSE {name_key} END")
+    metas = f"transform({select_nodes(nodes, 'meta')}, n -> {entry(key, blank_to_null(attr('n', 'content')))})"
+    return _last_wins(f"concat(array({title}), {canonical}, {metas})")
 
-    def property_key(prop: Column) -> Column:
-        key = strip_prefixes(F.lower(strip_prefixes(prop, "og:")), "twitter:")
-        return let(F.translate(key, ":", "_"), empty_to_null)
-
-    def name_key(name: Column) -> Column:
-        return let(
-            strip_prefixes(F.lower(name), "twitter:"),
-            lambda n: F.when(n.isin(*META_NAMES), n).when(
-                F.startswith(n, F.lit("og:")), F.translate(strip_prefixes(n, "og:"), ":", "_")
-            ),
-        )
-
-    def meta_entry(n: Column) -> Column:
-        # A property attribute, even an empty one, hides the name attribute.
-        key = let(
-            attr(n, "property"), lambda p: F.when(p.isNotNull(), property_key(p)).otherwise(name_key(attr(n, "name")))
-        )
-        return entry(key, blank_to_null(attr(n, "content")))
-
-    metas = F.transform(select_nodes(nodes, "meta"), meta_entry)
-    return _last_wins(F.concat(F.array(entry(F.lit("title"), blank_to_null(title))), canonical, metas))
-
-
-def _item_value(n: Column) -> Column:
-    return F.coalesce(blank_to_null(attr(n, "content")), blank_to_null(attr(n, "datetime")), blank_to_null(n["text"]))
 
+def microdata(nodes: str, options: Options) -> str:
+    values = (attr("n", "content"), attr("n", "datetime"), "n.text")
+    value = f"coalesce({', '.join(map(blank_to_null, values))})"
 
-def microdata(nodes: Column, options: Options) -> Column:
-    def rdfa_key(prop: Column) -> Column:
-        return normalise_key(strip_prefixes(prop, *RDFA_PREFIXES))
+    def items(name: str, key: Callable[[str], str]) -> str:
+        named = entry(key(blank_to_null(attr("n", name))), value)
+        return f"transform({select_nodes(nodes, f'[{name}]')}, n -> {named})"
 
-    items = F.transform(
-        select_nodes(nodes, "[itemprop]"),
-        lambda n: entry(normalise_key(blank_to_null(attr(n, "itemprop"))), _item_value(n)),
-    )
-    rdfa = F.transform(
-        select_nodes(nodes, "[property]"),
-        lambda n: entry(rdfa_key(blank_to_null(attr(n, "property"))), _item_value(n)),
-    )
-    return _last_wins(F.concat(items, rdfa))
+    rdfa = items("property", lambda prop: normalise_key(strip_prefixes(prop, *RDFA_PREFIXES)))
+    return _last_wins(f"concat({items('itemprop', normalise_key)}, {rdfa})")
 
 
-def data_attrs(nodes: Column, options: Options) -> Column:
-    def card(n: Column) -> Column:
-        data = F.filter(n["attrs"], lambda a: F.startswith(a["k"], F.lit("data-")))
-        return F.transform(
-            data, lambda a: entry(F.translate(F.substr(a["k"], F.lit(6)), "-", "_"), blank_to_null(a["v"]))
-        )
+def data_attrs(nodes: str, options: Options) -> str:
+    named = entry("translate(substr(d.k, 6), '-', '_')", blank_to_null("d.v"))
+    card = f"transform(filter(n.attrs, d -> startswith(d.k, 'data-')), d -> {named})"
+    return _first_wins(f"flatten(transform({select_nodes(nodes, CONTAINER_SELECTOR)}, n -> {card}))")
 
-    return _first_wins(F.flatten(F.transform(select_nodes(nodes, CONTAINER_SELECTOR), card)))
 
+def hidden_inputs(nodes: str, options: Options) -> str:
+    named = entry(normalise_key(blank_to_null(attr("n", "name"))), blank_to_null(attr("n", "value")))
+    inputs = select_nodes(nodes, 'input[type="hidden"]')
+    return _first_wins(f"filter(transform({inputs}, n -> {named}), i -> NOT {in_list('i.key', TOKEN_NAMES)})")
 
-def hidden_inputs(nodes: Column, options: Options) -> Column:
-    inputs = F.transform(
-        select_nodes(nodes, 'input[type="hidden"]'),
-        lambda n: entry(normalise_key(blank_to_null(attr(n, "name"))), blank_to_null(attr(n, "value"))),
-    )
-    return _first_wins(F.filter(inputs, lambda e: ~e["key"].isin(*TOKEN_NAMES)))
 
+def css_hidden(nodes: str, options: Options) -> str:
+    words = f"split(lower({attr('n', 'class')}), {raw('[' + '\\t-\\r \\x85' + '\\p{Z}]+')})"
+    class_key = f"get(filter({words}, w -> w <> '' AND NOT {in_list('w', UTILITY_CLASSES)}), 0)"
+    key = normalise_key(f"coalesce({empty_to_null(attr('n', 'id'))}, {class_key})")
 
-def css_hidden(nodes: Column, options: Options) -> Column:
-    def class_key(n: Column) -> Column:
-        words = F.split(F.lower(attr(n, "class")), r"[\t-\r \x85\p{Z}]+")
-        return F.get(F.filter(words, lambda w: (w != "") & ~w.isin(*UTILITY_CLASSES)), F.lit(0))
+    def hidden(selector: str) -> str:
+        return f"transform({select_nodes(nodes, selector)}, n -> {entry(key, blank_to_null('n.text'))})"
 
-    def hidden(n: Column) -> Column:
-        key = F.coalesce(let(attr(n, "id"), empty_to_null), class_key(n))
-        return entry(normalise_key(key), blank_to_null(n["text"]))
+    return _first_wins(f"concat({hidden(HIDDEN_STYLE_SELECTOR)}, {hidden(HIDDEN_CLASS_SELECTOR)})")
 
-    by_style = F.transform(select_nodes(nodes, HIDDEN_STYLE_SELECTOR), hidden)
-    by_class = F.transform(select_nodes(nodes, HIDDEN_CLASS_SELECTOR), hidden)
-    return _first_wins(F.concat(by_style, by_class))
 
-
-def dom_text(nodes: Column, options: Options) -> Column:
+def dom_text(nodes: str, options: Options) -> str:
     """Text of the first match of each caller-supplied selector; no selectors, no fields."""
     found = [
-        entry(F.lit(key), blank_to_null(F.get(select_nodes(nodes, selector), F.lit(0))["text"]))
+        entry(quote(key), blank_to_null(f"get({select_nodes(nodes, selector)}, 0).text"))
         for key, selector in options.dom_text_selectors.items()
     ]
-    return _last_wins(F.array(*found)) if found else _result(no_entries())
-
-
-_SCRIPTS = {LD_JSON: FULL_TEXT}
-REGISTRY = (
-    Extractor("json-ld", "json-ld", 1, 0.95, _SCRIPTS, json_ld),
-    Extractor("next-data", "next-data", 2, 0.92, {NEXT_DATA: FULL_TEXT}, next_data),
-    Extractor("state-globals", "globals", 3, 0.85, {INLINE_SCRIPT: FULL_TEXT}, state_globals),
-    Extractor("inline-vars", "inline-var", 4, 0.75, {INLINE_SCRIPT: FULL_TEXT}, inline_vars),
-    Extractor(
-        "meta-tags", "meta-tags", 5, 0.88, {"title": FULL_TEXT, 'link[rel="canonical"]': NO_TEXT, "meta": NO_TEXT}, meta_tags
-    ),
-    Extractor("microdata", "microdata", 6, 0.82, {"[itemprop]": FULL_TEXT, "[property]": FULL_TEXT}, microdata),
-    Extractor("data-attrs", "data-attr", 7, 0.78, {CONTAINER_SELECTOR: NO_TEXT}, data_attrs),
-    Extractor("hidden-inputs", "hidden-input", 8, 0.72, {'input[type="hidden"]': NO_TEXT}, hidden_inputs),
-    Extractor(
-        "css-hidden", "css-hidden", 9, 0.60, {HIDDEN_STYLE_SELECTOR: FULL_TEXT, HIDDEN_CLASS_SELECTOR: FULL_TEXT}, css_hidden
-    ),
-    Extractor("dom-text", "dom-text", 10, 0.55, {}, dom_text),
+    return _last_wins(f"array({', '.join(found)})") if found else _result(NO_ENTRIES)
+
+
+def _built_in(expression: Callable[[str, Options], str]) -> Callable[[str, Options], Column]:
+    return lambda nodes, options: F.expr(expression(nodes, options))
+
+
+_REGISTRY = (
+    ("json-ld", "json-ld", 0.95, {LD_JSON: FULL_TEXT}, json_ld),
+    ("next-data", "next-data", 0.92, {NEXT_DATA: FULL_TEXT}, next_data),
+    ("state-globals", "globals", 0.85, {INLINE_SCRIPT: FULL_TEXT}, state_globals),
+    ("inline-vars", "inline-var", 0.75, {INLINE_SCRIPT: FULL_TEXT}, inline_vars),
+    ("meta-tags", "meta-tags", 0.88, {"title": FULL_TEXT, 'link[rel="canonical"]': NO_TEXT, "meta": NO_TEXT}, meta_tags),
+    ("microdata", "microdata", 0.82, {"[itemprop]": FULL_TEXT, "[property]": FULL_TEXT}, microdata),
+    ("data-attrs", "data-attr", 0.78, {CONTAINER_SELECTOR: NO_TEXT}, data_attrs),
+    ("hidden-inputs", "hidden-input", 0.72, {'input[type="hidden"]': NO_TEXT}, hidden_inputs),
+    ("css-hidden", "css-hidden", 0.60, {HIDDEN_STYLE_SELECTOR: FULL_TEXT, HIDDEN_CLASS_SELECTOR: FULL_TEXT}, css_hidden),
+    ("dom-text", "dom-text", 0.55, {}, dom_text),
+)
+# Priorities are the positions, from 1; a smaller one wins.
+REGISTRY = tuple(
+    Extractor(name, config_name, priority, confidence, selectors, _built_in(expression))
+    for priority, (name, config_name, confidence, selectors, expression) in enumerate(_REGISTRY, start=1)
 )
 
 
-def _custom(extractor) -> Extractor:
-    def extract(nodes: Column, options: Options) -> Column:
-        entries = extractor.entries(nodes)
-        return _first_wins(entries) if extractor.first_wins else _last_wins(entries)
+def _custom(extractor: CustomExtractor) -> Extractor:
+    def extract(nodes: str, options: Options) -> Column:
+        entries = F.filter(extractor.entries(F.col(nodes)), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+        entries = F.reverse(entries) if extractor.first_wins else entries
+        return F.struct(F.coalesce(entries, F.expr(NO_ENTRIES)).alias("entries"), F.lit(False).alias("err"))
 
     selectors = {s: FULL_TEXT if wants else NO_TEXT for s, wants in extractor.selectors.items()}
     return Extractor(extractor.name, extractor.name, extractor.priority, extractor.confidence, selectors, extract)

@@ -2,61 +2,52 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DONE, ESCALATE
+from ..functions.text import quote
 from ..options import Options
 from ..schemas import FIELD
 from .extractors import Extractor
 
-_FIELD_ENTRIES = f"array<struct<key:string,value:{FIELD}>>"
+_NO_FIELDS = f"CAST(array() AS array<struct<key:string,value:{FIELD}>>)"
+_NO_TEXTS = "CAST(map() AS map<string,string>)"
 
 
-def any_fields(results: list[Column]) -> Column:
+def any_fields(results: list[str]) -> str:
     """Whether some extractor wrote a field; error flags do not matter here."""
-    return reduce(or_, [F.coalesce(F.size(r["entries"]) > 0, F.lit(False)) for r in results], F.lit(False))
+    return " OR ".join(f"coalesce(size(`{r}`.entries) > 0, false)" for r in results)
 
 
-def is_valid(result: Column, extractor: Extractor, options: Options) -> Column:
+def _is_valid(result: str, extractor: Extractor, options: Options) -> str:
     if extractor.confidence < options.min_confidence:
-        return F.lit(False)
-    return F.coalesce(~result["err"] & (F.size(result["entries"]) > 0), F.lit(False))
-
-
-def _with_source(entries: Column, e: Extractor) -> Column:
-    def field(value: Column) -> Column:
-        return F.struct(
-            value.alias("value"),
-            F.lit(e.name).alias("source"),
-            F.lit(e.confidence).alias("confidence"),
-            F.lit(e.priority).alias("priority"),
-        )
+        return "false"
+    return f"coalesce(NOT `{result}`.err AND size(`{result}`.entries) > 0, false)"
 
-    return F.transform(entries, lambda x: F.struct(x["key"].alias("key"), field(x["value"]).alias("value")))
 
-
-def merge_fields(results: dict[Extractor, Column], options: Options) -> Column:
-    """Field map in which the smallest priority number wins a key.
+def merge_fields(results: dict[Extractor, str], options: Options) -> Column:
+    """Field map in which the smallest priority number wins a key, from the result columns.
 
     One map is built from all entries, the weakest source first, so that later entries win.
     """
-    empty = F.array().cast(_FIELD_ENTRIES)
+
+    def tagged(e: Extractor, result: str) -> str:
+        field = (
+            f"named_struct('value', x.value, 'source', {quote(e.name)}, "
+            f"'confidence', {e.confidence!r}D, 'priority', {e.priority})"
+        )
+        entries = f"transform(`{result}`.entries, x -> named_struct('key', x.key, 'value', {field}))"
+        return f"CASE WHEN {_is_valid(result, e, options)} THEN {entries} ELSE {_NO_FIELDS} END"
+
     weakest_first = sorted(results.items(), key=lambda r: -r[0].priority)
-    tagged = [
-        F.when(is_valid(result, e, options), _with_source(result["entries"], e)).otherwise(empty)
-        for e, result in weakest_first
-    ]
-    return F.map_from_entries(F.concat(empty, *tagged))
+    return F.expr(f"map_from_entries(concat({', '.join([_NO_FIELDS, *(tagged(e, r) for e, r in weakest_first)])}))")
 
 
-def has_script_data(results: dict[Extractor, Column], options: Options) -> Column:
+def has_script_data(results: dict[Extractor, str], options: Options) -> Column:
     """Whether a valid result came from script tags (priorities 1 to 4); it does not change the decision."""
-    flags = [is_valid(r, e, options) for e, r in results.items() if e.priority <= 4]
-    return reduce(or_, flags, F.lit(False))
+    flags = [_is_valid(r, e, options) for e, r in results.items() if e.priority <= 4]
+    return F.expr(" OR ".join(["false", *flags]))
 
 
 def decide(is_hollow: Column, fields: Column, options: Options) -> Column:
@@ -67,23 +58,25 @@ def decide(is_hollow: Column, fields: Column, options: Options) -> Column:
 
 def candidate_rows(analysis: DataFrame, key: str, results: dict[Extractor, str]) -> DataFrame:
     """One row per page, source and field: (key, source, priority, confidence, err, field, value)."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(e.name).alias("source"),
-                F.lit(e.priority).alias("priority"),
-                F.lit(e.confidence).alias("confidence"),
-                F.col(c)["err"].alias("err"),
-                F.map_entries(F.map_from_entries(F.coalesce(F.col(c)["entries"], F.array().cast("array<struct<key:string,value:string>>")))).alias("fields"),
-            )
-            for e, c in results.items()
-        ]
-    )
-    return (
-        analysis.select(key, F.explode(rows).alias("r"))
-        .select(key, "r.source", "r.priority", "r.confidence", "r.err", F.explode("r.fields").alias("f"))
-        .select(key, "source", "priority", "confidence", "err", F.col("f.key").alias("key"), F.col("f.value").alias("value"))
+    sources = ", ".join(
+        f"named_struct('source', {quote(e.name)}, 'priority', {e.priority}, 'confidence', {e.confidence!r}D, "
+        f"'err', `{c}`.err, 'fields', coalesce(map_from_entries(`{c}`.entries), {_NO_TEXTS}))"
+        for e, c in results.items()
     )
+    by_source = analysis.select(key, F.explode(F.expr(f"array({sources})")).alias("r"))
+    return explode_fields(by_source.select(key, "r.*"), "value")
+
+
+def explode_fields(rows: DataFrame, *value_columns: str) -> DataFrame:
+    """One row per entry of the map ``fields``: its key, and its value as one column or as those of a struct.
+
+    An outer explode with a filter after it: an inner one makes the optimizer push a size test down,
+    which computes the whole map twice.
+    """
+    keep = [c for c in rows.columns if c != "fields"]
+    value = [F.col("_v").alias("value")] if value_columns == ("value",) else ["_v.*"]
+    exploded = rows.select(*keep, F.explode_outer("fields").alias("key", "_v")).filter(F.col("key").isNotNull())
+    return exploded.select(*keep, "key", *value)
 
 
 def merge_candidates(candidates: DataFrame, page_key: str, options: Options | None = None) -> DataFrame:

@@ -16,106 +16,68 @@ from ..constants import (
 )
 from ..functions.html import FULL_TEXT, LEAF_TEXT, NO_TEXT
 from ..functions.selectors import has_node, node_matches, select_nodes
-from ..functions.text import let, trim_space
+from ..functions.text import let, quote, trim_space
 from ..options import Options
 
 SELECTORS = {CAPTCHA_SELECTOR: NO_TEXT, "noscript": FULL_TEXT, APP_SHELL_SELECTOR: LEAF_TEXT, "a": FULL_TEXT}
 
 
-def text_links(nodes: Column) -> Column:
+def text_links(nodes: str) -> str:
     """``a`` nodes with text."""
-    return F.filter(nodes, lambda n: (n["tag"] == "a") & (trim_space(n["text"]) != ""))
+    return f"filter({nodes}, n -> n.tag = 'a' AND {trim_space('n.text')} <> '')"
 
 
-def page_facts(nodes: Column, body_bytes: Column, body_text_bytes: Column) -> Column:
-    """What the score is computed from."""
-    noscript = F.lower(F.array_join(F.transform(select_nodes(nodes, "noscript"), lambda n: n["text"]), ""))
-    empty_shell = F.filter(
-        nodes,
-        lambda n: node_matches(n, APP_SHELL_SELECTOR) & (n["n_children"] == 0) & (trim_space(n["text"]) == ""),
-    )
-    return F.struct(
-        has_node(nodes, CAPTCHA_SELECTOR).alias("captcha"),
-        let(
-            noscript, lambda t: F.exists(F.array(*map(F.lit, NOSCRIPT_PHRASES)), lambda p: F.contains(t, p))
-        ).alias("noscript"),
-        F.size(empty_shell).alias("n_shells"),
-        F.size(text_links(nodes)).alias("n_links"),
-        body_bytes.alias("body_bytes"),
-        body_text_bytes.alias("text_bytes"),
+def page_facts(nodes: str, body_bytes: str, body_text_bytes: str) -> str:
+    """What the score is computed from: struct<captcha, noscript, n_shells, n_links, body_bytes, text_bytes>."""
+    noscript = f"lower(array_join(transform({select_nodes(nodes, 'noscript')}, n -> n.text), ''))"
+    phrases = " OR ".join(f"contains(t, {quote(p)})" for p in NOSCRIPT_PHRASES)
+    empty = f"n.n_children = 0 AND {trim_space('n.text')} = ''"
+    return (
+        f"named_struct('captcha', {has_node(nodes, CAPTCHA_SELECTOR)}, 'noscript', {let(noscript, 't', phrases)}, "
+        f"'n_shells', size(filter({nodes}, n -> {node_matches('n', APP_SHELL_SELECTOR)} AND {empty})), "
+        f"'n_links', size({text_links(nodes)}), 'body_bytes', {body_bytes}, 'text_bytes', {body_text_bytes})"
     )
 
 
-def _capped(c: Column) -> Column:
-    return F.least(F.lit(1.0), c)
-
-
-def score_page(facts: Column, cf_challenge: Column, options: Options) -> Column:
+def score_page(facts: str, cf_challenge: str, options: Options) -> str:
     """struct<is_hollow, hollow_score, signals, page_type, page_type_confidence, penalties, total>."""
-    link_rich = facts["n_links"] >= options.link_rich_min_links
-    low_density = (
-        ~link_rich
-        & (facts["body_bytes"] > 0)
-        & (facts["text_bytes"].cast("double") / F.nullif(facts["body_bytes"], F.lit(0)) < options.text_density_ratio)
-    )
+    link_rich = f"({facts}.n_links >= {options.link_rich_min_links})"
+    density = f"{facts}.text_bytes / CAST({facts}.body_bytes AS double)"
+    low_density = f"NOT {link_rich} AND {facts}.body_bytes > 0 AND {density} < {_double(options.text_density_ratio)}"
     fired = {
-        "captcha": facts["captcha"].cast("int"),
-        "noscript-message": facts["noscript"].cast("int"),
-        "empty-app-shell": facts["n_shells"],
-        "low-text-density": F.coalesce(low_density, F.lit(False)).cast("int"),
-        "tiny-body": (~link_rich & (facts["body_bytes"] < options.tiny_body_bytes)).cast("int"),
+        "captcha": f"int({facts}.captcha)",
+        "noscript-message": f"int({facts}.noscript)",
+        "empty-app-shell": f"{facts}.n_shells",
+        "low-text-density": f"int({low_density})",
+        "tiny-body": f"int(NOT {link_rich} AND {facts}.body_bytes < {options.tiny_body_bytes})",
     }
-    signals = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), times.alias("times"), F.lit(float(options.penalty(name))).alias("penalty"))
-            for name, times in fired.items()
-        ]
+    rows = ", ".join(
+        f"named_struct('name', {quote(name)}, 'times', {times}, 'penalty', {_double(options.penalty(name))})"
+        for name, times in fired.items()
     )
-    challenge = F.coalesce(cf_challenge, F.lit(False))
-
-    def scored(hits: Column) -> Column:
-        # Penalties are added one by one, in this order, because the thresholds compare doubles.
-        steps = F.flatten(F.transform(hits, lambda s: F.array_repeat(s["penalty"], s["times"])))
-        return let(
-            _capped(F.aggregate(steps, F.lit(0.0), lambda acc, p: acc + p)),
-            lambda total: let(
-                _capped(total + F.when(challenge, F.lit(options.penalty("cf-challenge"))).otherwise(F.lit(0.0))),
-                lambda score: F.struct(
-                    (score >= options.threshold).alias("is_hollow"),
-                    score.alias("hollow_score"),
-                    F.concat(
-                        F.when(challenge, F.array(F.lit("cf-challenge"))).otherwise(F.array().cast("array<string>")),
-                        F.transform(hits, lambda s: s["name"]),
-                    ).alias("signals"),
-                    _page_type(total, link_rich, challenge, options).alias("page_type"),
-                    _type_confidence(total, facts["n_links"], link_rich, challenge, options).alias("page_type_confidence"),
-                    F.map_from_entries(F.transform(hits, lambda s: F.struct(s["name"], s["penalty"]))).alias("penalties"),
-                    total.alias("total"),
-                ),
-            ),
-        )
-
-    return let(F.filter(signals, lambda s: s["times"] > 0), scored)
-
-
-def _page_type(total: Column, link_rich: Column, challenge: Column, options: Options) -> Column:
-    return (
-        F.when(challenge | (total >= options.threshold), F.lit(APP_SHELL))
-        .when(link_rich, F.lit(LINK_RICH))
-        .when(total == 0, F.lit(CONTENT_RICH))
-        .otherwise(F.lit(MIXED))
+    challenge = f"coalesce({cf_challenge}, false)"
+    # Penalties are added one by one, in this order, because the thresholds compare doubles.
+    steps = "flatten(transform(hits, s -> array_repeat(s.penalty, s.times)))"
+    total = f"least(1D, aggregate({steps}, 0D, (acc, p) -> acc + p))"
+    score = f"least(1D, total + CASE WHEN {challenge} THEN {_double(options.penalty('cf-challenge'))} ELSE 0D END)"
+    hollow = f"total >= {_double(options.threshold)}"
+    growth = f"0.5D + {facts}.n_links / CAST({options.link_rich_min_links} AS double) * 0.2D"
+    page = (
+        f"named_struct('is_hollow', score >= {_double(options.threshold)}, 'hollow_score', score, "
+        f"'signals', concat(CASE WHEN {challenge} THEN array('cf-challenge') ELSE array() END, transform(hits, s -> s.name)), "
+        f"'page_type', CASE WHEN {challenge} OR {hollow} THEN '{APP_SHELL}' WHEN {link_rich} THEN '{LINK_RICH}' "
+        f"WHEN total = 0 THEN '{CONTENT_RICH}' ELSE '{MIXED}' END, "
+        f"'page_type_confidence', CASE WHEN {challenge} THEN 1D WHEN {hollow} THEN total "
+        f"WHEN {link_rich} THEN least({growth}, 0.95D) ELSE 1D - total END, "
+        f"'penalties', map_from_entries(transform(hits, s -> struct(s.name, s.penalty))), 'total', total)"
     )
+    return let(f"filter(array({rows}), s -> s.times > 0)", "hits", let(total, "total", let(score, "score", page)))
 
 
-def _type_confidence(total: Column, n_links: Column, link_rich: Column, challenge: Column, options: Options) -> Column:
-    growth = F.lit(0.50) + n_links.cast("double") / F.lit(float(options.link_rich_min_links)) * F.lit(0.20)
-    return (
-        F.when(challenge, F.lit(1.0))
-        .when(total >= options.threshold, total)
-        .when(link_rich, F.least(growth, F.lit(0.95)))
-        .otherwise(F.lit(1.0) - total)
-    )
+def _double(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
-def page_signals(nodes: Column, body_bytes: Column, body_text_bytes: Column, cf_challenge: Column, options: Options) -> Column:
-    return let(page_facts(nodes, body_bytes, body_text_bytes), lambda f: score_page(f, cf_challenge, options))
+def page_signals(nodes: str, body_bytes: str, body_text_bytes: str, cf_challenge: str, options: Options) -> Column:
+    facts = page_facts(nodes, body_bytes, body_text_bytes)
+    return F.expr(let(facts, "facts", score_page("facts", cf_challenge, options)))

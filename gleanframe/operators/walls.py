@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import CAPTCHA_WALLS, CHALLENGE_WALLS, COOKIE_WALLS, LOGIN_SEGMENTS, PASSWORD_SELECTOR
 from ..functions.html import NO_TEXT
 from ..functions.selectors import has_node
+from ..functions.text import quote
 
 SELECTORS = {
     3: {s: NO_TEXT for s in (*COOKIE_WALLS, PASSWORD_SELECTOR, *CHALLENGE_WALLS)},
@@ -15,17 +16,16 @@ SELECTORS = {
 }
 
 
-def _first_hit(nodes: Column, selectors: tuple[str, ...], label: str) -> list[Column]:
-    return [F.when(has_node(nodes, s), F.lit(f"{label}: {s}")) for s in selectors]
+def _first_hit(nodes: str, selectors: tuple[str, ...], label: str) -> list[str]:
+    return [f"CASE WHEN {has_node(nodes, s)} THEN {quote(f'{label}: {s}')} END" for s in selectors]
 
 
-def _login_url(rendered_url: Column) -> Column:
-    url = F.lower(rendered_url)
-    hit = F.exists(F.array(*map(F.lit, LOGIN_SEGMENTS)), lambda s: F.contains(url, s))
-    return F.when(hit, F.lit("login wall detected in URL"))
+def _login_url(rendered_url: str) -> str:
+    hit = " OR ".join(f"contains(lower({rendered_url}), {quote(s)})" for s in LOGIN_SEGMENTS)
+    return f"CASE WHEN {hit} THEN 'login wall detected in URL' END"
 
 
-def wall_reason(nodes: Column, rendered_url: Column, tier: int) -> Column:
+def wall_reason(nodes: str, rendered_url: str, tier: int) -> Column:
     """First wall in the order of the tier. Tier 4 looks for captchas and login addresses only."""
     if tier == 4:
         checks = [*_first_hit(nodes, CAPTCHA_WALLS, "captcha detected"), _login_url(rendered_url)]
@@ -33,7 +33,7 @@ def wall_reason(nodes: Column, rendered_url: Column, tier: int) -> Column:
         checks = [
             *_first_hit(nodes, COOKIE_WALLS, "cookie consent wall"),
             _login_url(rendered_url),
-            F.when(has_node(nodes, PASSWORD_SELECTOR), F.lit("login wall: password input present")),
+            f"CASE WHEN {has_node(nodes, PASSWORD_SELECTOR)} THEN 'login wall: password input present' END",
             *_first_hit(nodes, CHALLENGE_WALLS, "cloudflare challenge"),
         ]
-    return F.coalesce(*checks)
+    return F.expr(f"coalesce({', '.join(checks)})")

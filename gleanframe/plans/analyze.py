@@ -12,9 +12,8 @@ from ..functions.html import parse_html
 from ..operators import signals, walls
 from ..operators.extractors import Extractor, enabled_extractors, split_phases, wanted_selectors
 from ..operators.gate import with_gate
-from ..operators.merge import any_fields, candidate_rows, decide, has_script_data, is_valid, merge_fields
+from ..operators.merge import any_fields, candidate_rows, decide, has_script_data, merge_fields
 from ..options import Options
-from ..schemas import FIELDS
 from ..session import configure
 from ..sources.tables import cap_body
 
@@ -47,11 +46,8 @@ def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int])
 
 
 def with_signals(parsed: DataFrame, options: Options) -> DataFrame:
-    doc = F.col("doc")
-    page = signals.page_signals(
-        doc["nodes"], F.col("body_bytes"), doc["body_text_bytes"], F.col("tech_hints.cf_challenge"), options
-    )
-    return parsed.withColumn("page", F.when(doc.isNotNull(), page))
+    page = signals.page_signals("doc.nodes", "body_bytes", "doc.body_text_bytes", "tech_hints.cf_challenge", options)
+    return parsed.withColumn("page", F.when(F.col("doc").isNotNull(), page))
 
 
 def with_extractions(scored: DataFrame, options: Options, usable: Column | None = None) -> DataFrame:
@@ -60,22 +56,17 @@ def with_extractions(scored: DataFrame, options: Options, usable: Column | None
     Pages that are hollow and yielded any field in the first phase skip the second one.
     """
     first, second = split_phases(enabled_extractors(options))
-    nodes = F.col("doc.nodes")
     usable = F.col("doc").isNotNull() if usable is None else usable
-    df = scored.withColumns({_column(e): F.when(usable, e.extract(nodes, options)) for e in first})
-    skip = F.col("page.is_hollow") & any_fields([F.col(_column(e)) for e in first])
-    df = df.withColumn("skip_second", F.coalesce(skip, F.lit(False)))
+    df = scored.withColumns({_column(e): F.when(usable, e.extract("doc.nodes", options)) for e in first})
+    skip = F.expr(f"coalesce(page.is_hollow AND ({any_fields([_column(e) for e in first])}), false)")
+    df = df.withColumn("skip_second", skip if first else F.lit(False))
     run = usable & ~F.col("skip_second")
-    return df.withColumns({_column(e): F.when(run, e.extract(nodes, options)) for e in second})
-
-
-def _results(options: Options) -> dict[Extractor, Column]:
-    return {e: F.col(_column(e)) for e in enabled_extractors(options)}
+    return df.withColumns({_column(e): F.when(run, e.extract("doc.nodes", options)) for e in second})
 
 
 def with_decision(extracted: DataFrame, options: Options) -> DataFrame:
     """Adds fields, has_script_data and decision; a page that could not be parsed escalates."""
-    results = _results(options)
+    results = {e: _column(e) for e in enabled_extractors(options)}
     decided = F.when(F.col("gate").isNotNull(), F.col("gate")).when(F.col("doc").isNull(), F.lit(ESCALATE))
     return extracted.withColumns(
         {"fields": merge_fields(results, options), "has_script_data": has_script_data(results, options)}
@@ -128,7 +119,7 @@ def analyze_rendered(rendered: DataFrame, tier: int, options: Options | None = N
     parsed = with_document(with_gate(rendered), options, walls.SELECTORS[tier])
     parsed = parsed.withColumn(
         "escalation_reason",
-        F.when(F.col("doc").isNotNull(), walls.wall_reason(F.col("doc.nodes"), F.col("rendered_url"), tier)),
+        F.when(F.col("doc").isNotNull(), walls.wall_reason("doc.nodes", "rendered_url", tier)),
     )
     free = F.col("doc").isNotNull() & F.col("escalation_reason").isNull()
     scored = with_signals(parsed, options).withColumn("page", F.when(free, F.col("page")))
@@ -141,5 +132,3 @@ def analyze_rendered(rendered: DataFrame, tier: int, options: Options | None = N
         *keep, *analysis_columns(), F.coalesce("escalation_reason", F.lit("")).alias("escalation_reason")
     )
 
-
-__all__ = ["analyze", "analyze_rendered", "candidates", "extract_pages", "is_valid", "FIELDS"]

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import MAX_BODY_BYTES
-from ..functions.text import trim_space
+from ..constants import MAX_BODY_BYTES, WHITE_SPACE
 from ..schemas import RENDERED_PAGES, RESPONSES
 
 
@@ -72,7 +71,7 @@ def fetch_target(url: Column, api_endpoint: Column) -> Column:
 
 def media_type(content_type: Column) -> Column:
     """Text before ';', trimmed; without ';' the value stays as it is."""
-    cut = trim_space(F.substring_index(content_type, ";", 1))
+    cut = F.trim(F.substring_index(content_type, ";", 1), F.lit(WHITE_SPACE))
     return F.when(F.contains(content_type, F.lit(";")), cut).otherwise(content_type)
 
 
