@@ -91,6 +91,9 @@ def apply_completions(analysis: DataFrame, completions: DataFrame, options: Opti
     one = completions.groupBy(key).agg(F.min(F.struct("completion", "error")).alias("c"))
     parsed = one.select(F.col(key).alias("_key"), completion_result("c.completion", "c.error").alias("_result"))
     eligible = is_eligible(analysis["decision"], analysis["fields"])
+    if "escalation_reason" in analysis.columns:
+        # Walled pages are not analysed, so they never reach the fallback.
+        eligible = eligible & (analysis["escalation_reason"] == "")
     joined = analysis.join(parsed, (analysis[key] == parsed["_key"]) & eligible, "left")
     found = F.coalesce(F.size(F.col("_result.fields")) > 0, F.lit(False))
     return joined.withColumns(

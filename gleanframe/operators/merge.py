@@ -70,13 +70,12 @@ def candidate_rows(analysis: DataFrame, key: str, results: dict[Extractor, str])
 def explode_fields(rows: DataFrame, *value_columns: str) -> DataFrame:
     """One row per entry of the map ``fields``: its key, and its value as one column or as those of a struct.
 
-    An outer explode with a filter after it: an inner one makes the optimizer push a size test down,
+    Explodes the entries and not the column: of a bare column the optimizer pushes a size test down,
     which computes the whole map twice.
     """
     keep = [c for c in rows.columns if c != "fields"]
-    value = [F.col("_v").alias("value")] if value_columns == ("value",) else ["_v.*"]
-    exploded = rows.select(*keep, F.explode_outer("fields").alias("key", "_v")).filter(F.col("key").isNotNull())
-    return exploded.select(*keep, "key", *value)
+    value = "_f.value" if value_columns == ("value",) else "_f.value.*"
+    return rows.select(*keep, F.explode(F.map_entries("fields")).alias("_f")).select(*keep, "_f.key", value)
 
 
 def merge_candidates(candidates: DataFrame, page_key: str, options: Options | None = None) -> DataFrame:

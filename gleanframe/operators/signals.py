@@ -19,6 +19,7 @@ from ..functions.selectors import has_node, node_matches, select_nodes
 from ..functions.text import let, quote, trim_space
 from ..options import Options
 
+COLUMNS = ("is_hollow", "hollow_score", "signals", "page_type", "page_type_confidence", "penalties", "total")
 SELECTORS = {CAPTCHA_SELECTOR: NO_TEXT, "noscript": FULL_TEXT, APP_SHELL_SELECTOR: LEAF_TEXT, "a": FULL_TEXT}
 
 

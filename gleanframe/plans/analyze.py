@@ -33,9 +33,9 @@ def _column(e: Extractor) -> str:
     return f"x_{e.name}"
 
 
-def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int]) -> DataFrame:
+def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int], signals_only: bool = False) -> DataFrame:
     """Adds body_bytes and doc. Gated rows send no body to Python and get no document."""
-    wanted = wanted_selectors(enabled_extractors(options), signals.SELECTORS, *more)
+    wanted = wanted_selectors([] if signals_only else enabled_extractors(options), signals.SELECTORS, *more)
     body = cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes)
     return gated.withColumns(
         {
@@ -94,13 +94,33 @@ def analysis_columns() -> list[Column]:
     ]
 
 
+def computed_once(*columns: Column) -> Column:
+    """The columns as output of a generator over one row.
+
+    The optimizer pushes a filter on a computed column below the projection that computes it, and so
+    computes everything, the parse included, a second time. It does not do so with a generator, while
+    filters on columns that are passed on still reach the scan.
+    """
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def analyze(responses: DataFrame, options: Options | None = None) -> DataFrame:
     """Responses in, one analysis row per response out; other input columns are passed on.
 
     Needs status, headers, body and content_type. Works on a stream as it is.
     """
     keep = [c for c in responses.columns if c not in _NOT_PASSED_ON | set(ANALYSIS_COLUMNS)]
-    return extract_pages(responses, options).select(*keep, *analysis_columns())
+    return extract_pages(responses, options).select(*keep, computed_once(*analysis_columns()))
+
+
+def classify(responses: DataFrame, options: Options | None = None) -> DataFrame:
+    """Signals and class only, without extraction: (passed-on columns, gate, hollow_score, page_type, ...)."""
+    configure(responses.sparkSession)
+    options = options or Options()
+    scored = with_signals(with_document(with_gate(responses), options, signals_only=True), options)
+    page = F.col("page")
+    keep = [c for c in responses.columns if c not in _NOT_PASSED_ON]
+    return scored.select(*keep, computed_once(F.col("gate"), *[page[c].alias(c) for c in signals.COLUMNS]))
 
 
 def candidates(responses: DataFrame, options: Options | None = None, key: str = "page_id") -> DataFrame:
@@ -128,7 +148,6 @@ def analyze_rendered(rendered: DataFrame, tier: int, options: Options | None = N
         "decision", F.when(F.col("escalation_reason").isNotNull(), F.lit(ESCALATE)).otherwise(F.col("decision"))
     )
     keep = [c for c in rendered.columns if c not in _NOT_PASSED_ON | {"rendered_url", "final_url", "content_type"}]
-    return decided.select(
-        *keep, *analysis_columns(), F.coalesce("escalation_reason", F.lit("")).alias("escalation_reason")
-    )
+    reason = F.coalesce("escalation_reason", F.lit("")).alias("escalation_reason")
+    return decided.select(*keep, computed_once(*analysis_columns(), reason))
 

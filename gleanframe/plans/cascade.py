@@ -36,10 +36,7 @@ def render_results(
     pages = rendered.filter(F.col("tier") == tier)
     result = analyze_rendered(rendered_as_responses(pages), tier, options)
     if completions is not None:
-        free = F.col("escalation_reason") == ""
-        # Walled pages are not analysed, so they never reach the fallback.
-        walled = result.filter(~free)
-        result = apply_completions(result.filter(free), completions, options, key).unionByName(walled)
+        result = apply_completions(result, completions, options, key)
     best = F.min_by(F.struct(*RESULT_COLUMNS), F.struct("escalation_reason", F.to_json("fields"), "hollow_score"))
     return result.groupBy(key).agg(best.alias(f"tier{tier}"))
 

@@ -9,14 +9,15 @@ from ..functions.html import text_blocks
 from ..operators.fallback import clean_text, is_eligible, prompt_text
 from ..options import Options
 from ..sources.tables import cap_body
-from .analyze import extract_pages
+from .analyze import computed_once, extract_pages
 
 
 def readable_text(responses: DataFrame, options: Options | None = None, key: str = "page_id") -> DataFrame:
     """(key, clean_text) of every response."""
     options = options or Options()
     body = cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes)
-    return responses.select(key, text_blocks(body).alias("blocks")).select(key, clean_text("blocks", options.max_text_bytes).alias("clean_text"))
+    blocks = responses.select(key, text_blocks(body).alias("blocks"))
+    return blocks.select(key, computed_once(clean_text("blocks", options.max_text_bytes).alias("clean_text")))
 
 
 def prompts(responses: DataFrame, options: Options | None = None, key: str = "page_id") -> DataFrame:
@@ -25,12 +26,12 @@ def prompts(responses: DataFrame, options: Options | None = None, key: str = "pa
     Bodies of other rows go into the second parse as NULL: those rows cost next to nothing there.
     """
     options = options or Options()
-    pages = extract_pages(responses, options)
     eligible = is_eligible(F.col("decision"), F.col("fields")) & F.col("doc").isNotNull()
-    body = F.when(eligible, cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes))
-    return (
-        pages.select(key, text_blocks(body).alias("blocks"))
-        .select(key, clean_text("blocks", options.max_text_bytes).alias("clean_text"))
-        .filter(F.col("clean_text") != "")
-        .select(key, "clean_text", prompt_text(F.col("clean_text")).alias("prompt"))
+    pages = extract_pages(responses, options).select(key, "body", computed_once(eligible.alias("eligible")))
+    body = F.when(F.col("eligible"), cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes))
+    texts = pages.select(key, text_blocks(body).alias("blocks")).select(
+        key, F.array(clean_text("blocks", options.max_text_bytes)).alias("texts")
     )
+    # An explode instead of a filter, which would be pushed below the parse and repeat it.
+    found = texts.select(key, F.explode(F.filter("texts", lambda t: t != "")).alias("clean_text"))
+    return found.select(key, "clean_text", prompt_text(F.col("clean_text")).alias("prompt"))

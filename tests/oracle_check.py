@@ -30,6 +30,12 @@ def _cell(v):
     return v
 
 
+# DuckDB type of each Spark type that the queries return.
+TYPES = {
+    "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP",
+}
+
+
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(repr(tuple(_cell(r[i]) for i in order)) for r in rows), sorted(names)
@@ -46,7 +52,12 @@ def compare(spark, con, name, folder):
     if name not in ORACLE:
         return None if got else "no rows", len(got), seconds
     result = con.execute(ORACLE[name])
-    want, want_names = rows_of([d[0] for d in result.description], result.fetchall())
+    names = [d[0] for d in result.description]
+    want, want_names = rows_of(names, result.fetchall())
+    types = {d[0]: str(d[1]) for d in result.description}
+    wrong = {c: (t, types.get(c)) for c, t in df.dtypes if TYPES.get(t) != types.get(c)}
+    if wrong:
+        return f"types {wrong}", len(got), seconds
     if got_names != want_names:
         return f"columns {got_names} != {want_names}", len(got), seconds
     if got != want:
