@@ -62,6 +62,19 @@ SPECIAL = (
     | frozenset("applet body button frameset head html marquee object select".split())
 )
 NOT_REOPENING = BLOCKS_CLOSING_P | HEAD | TABLE_PARTS | frozenset("iframe noembed param source track textarea".split())
+# Scopes and limits of the implied end tags, built from the classes above.
+BUTTON_SCOPE = SCOPE | {"button"}
+P_ONLY = frozenset(["p"])
+ITEM_LIMITS = {
+    tags: SPECIAL - {"address", "div", "p"} - tags for tags in (frozenset(["li"]), frozenset(["dd", "dt"]))
+}
+ITEMS = {tag: tags for tags in ITEM_LIMITS for tag in tags}
+TABLES = frozenset(["table", "template"])
+TABLE_LIMITS = TABLES | {"html"}
+CELLS = frozenset(["td", "th"])
+ROW_CLOSERS = frozenset(["tr", "caption", "colgroup"])
+# Start tags that may close other elements, or be ignored, before they open their own.
+ROOM_MAKERS = TABLE_PARTS | frozenset("a button dd dt form image li optgroup option".split())
 # Open stacks deeper than this are a parse error.
 MAX_DEPTH = 512
 
@@ -89,21 +102,24 @@ class _Tree:
     """Nodes in document order; the text of a subtree is one slice of ``parts``."""
 
     def __init__(self):
-        self.nodes, self.parts, self.owners, self.stack, self.formatting = [], [], [], [], []
+        self.nodes, self.parts, self.owners, self.formatting = [], [], [], []
+        self.stack, self.tags = [], []  # open nodes, and their tags
         self.head = self.body = None
         self.foreign = 0  # open svg and math elements
         self.push("html", [])
 
     def push(self, tag, attrs, stays_open=True):
-        parent = self.stack[-1] if self.stack else -1
-        if parent >= 0:
-            self.nodes[parent].children += 1
+        nodes, stack = self.nodes, self.stack
+        idx = len(nodes)
+        parent = stack[-1] if stack else -1
+        if stack:
+            nodes[parent].children += 1
         node = _Node(tag, attrs, parent, len(self.parts))
-        self.nodes.append(node)
-        idx = len(self.nodes) - 1
+        nodes.append(node)
         if stays_open:
-            self.stack.append(idx)
-            if len(self.stack) > MAX_DEPTH:
+            stack.append(idx)
+            self.tags.append(tag)
+            if len(stack) > MAX_DEPTH:
                 raise ValueError("open elements nest too deeply")
             if tag in MARKERS:
                 self.formatting.append(None)
@@ -114,19 +130,22 @@ class _Tree:
         return idx
 
     def pop_to(self, depth):
+        stop, end = len(self.parts), len(self.nodes) - 1
         while len(self.stack) > depth:
             node = self.nodes[self.stack.pop()]
-            node.stop, node.end = len(self.parts), len(self.nodes) - 1
-            if node.tag in MARKERS:
+            node.stop, node.end = stop, end
+            tag = self.tags.pop()
+            if tag in MARKERS:
                 while self.formatting and self.formatting.pop() is not None:
                     pass
-            elif node.tag in FOREIGN:
+            elif tag in FOREIGN:
                 self.foreign -= 1
 
     def find(self, tags, limits):
         """Stack position of the nearest open element among tags; -1 if a limit comes first."""
-        for depth in range(len(self.stack) - 1, -1, -1):
-            tag = self.nodes[self.stack[depth]].tag
+        depth = len(self.tags)
+        for tag in reversed(self.tags):
+            depth -= 1
             if tag in tags:
                 return depth
             if tag in limits:
@@ -134,7 +153,7 @@ class _Tree:
         return -1
 
     def is_open(self, tag):
-        return self.find((tag,), ()) >= 0
+        return tag in self.tags
 
     def close(self, tags, limits):
         depth = self.find(tags, limits)
@@ -213,16 +232,18 @@ class _Tree:
         if self.foreign:
             self.push(tag, attrs, not self_closing)
             return not self_closing
-        if tag == "image":
-            tag = "img"
-        if not self.make_room(tag):
-            return False
+        if tag in ROOM_MAKERS:
+            if tag == "image":
+                tag = "img"
+            elif not self.make_room(tag):
+                return False
         if tag in BLOCKS_CLOSING_P:
-            self.close({"p"}, SCOPE | {"button"})
+            if "p" in self.tags:
+                self.close(P_ONLY, BUTTON_SCOPE)
+            if tag in HEADINGS and self.tags[-1] in HEADINGS:
+                self.pop_to(len(self.stack) - 1)
         elif self.formatting and tag not in NOT_REOPENING:
             self.reopen_formatting()
-        if tag in HEADINGS and self.nodes[self.stack[-1]].tag in HEADINGS:
-            self.pop_to(len(self.stack) - 1)
         idx = self.push(tag, attrs, not (tag in VOID or (self_closing and tag in FOREIGN)))
         if tag in FORMATTING:
             self.remember_formatting(idx)
@@ -230,16 +251,14 @@ class _Tree:
 
     def make_room(self, tag):
         """Close what the start tag implies closed; False when the tag has no place here."""
-        if tag == "li":
-            self.close({"li"}, SPECIAL - {"address", "div", "p", "li"})
-        elif tag in ("dd", "dt"):
-            self.close({"dd", "dt"}, SPECIAL - {"address", "div", "p", "dd", "dt"})
+        if tag in ITEMS:
+            self.close(ITEMS[tag], ITEM_LIMITS[ITEMS[tag]])
         elif tag in ("option", "optgroup"):
-            self.close({"option"}, SPECIAL)
+            self.close(("option",), SPECIAL)
             if tag == "optgroup":
-                self.close({"optgroup"}, SPECIAL)
+                self.close(("optgroup",), SPECIAL)
         elif tag == "button":
-            self.close({"button"}, SCOPE)
+            self.close(("button",), SCOPE)
         elif tag == "form":
             return not self.is_open("form")
         elif tag == "a":
@@ -250,13 +269,13 @@ class _Tree:
                     self.end("a")
                     break
         elif tag in TABLE_PARTS:
-            table = self.find({"table", "template"}, ())
+            table = self.find(TABLES, ())
             if table < 0:
                 return False
             if tag in ("td", "th"):
-                self.close({"td", "th"}, {"table", "template"})
+                self.close(CELLS, TABLES)
             elif tag == "tr":
-                self.close({"tr", "caption", "colgroup"}, {"table", "template"})
+                self.close(ROW_CLOSERS, TABLES)
             else:
                 self.pop_to(table + 1)
         return True
@@ -272,20 +291,20 @@ class _Tree:
                 self.pop_to(1)
                 self.head = 0 if self.head is None else self.head
         elif tag == "p":
-            if not self.close({"p"}, SCOPE | {"button"}):
+            if not self.close(P_ONLY, BUTTON_SCOPE):
                 self.push("p", [], False)
         elif tag in FORMATTING:
             self.end_formatting(tag)
         elif tag in HEADINGS:
             self.close(HEADINGS, SCOPE)
         elif tag == "template":
-            self.close({"template"}, ())
+            self.close(("template",), ())
         elif tag == "table" or tag in TABLE_PARTS:
-            self.close({tag}, {"table", "template", "html"})
+            self.close((tag,), TABLE_LIMITS - {tag})
         elif tag in BLOCKS_CLOSING_P or tag in MARKERS or tag == "button":
-            self.close({tag}, SCOPE)
+            self.close((tag,), SCOPE)
         else:
-            self.close({tag}, SPECIAL)
+            self.close((tag,), SPECIAL)
 
     def end_formatting(self, tag):
         """Close a formatting element; one that holds open blocks stays open but is not reopened later."""
@@ -293,12 +312,12 @@ class _Tree:
         while at >= 0 and self.formatting[at] is not None and self.nodes[self.formatting[at]].tag != tag:
             at -= 1
         if at < 0 or self.formatting[at] is None:
-            self.close({tag}, SPECIAL)
+            self.close((tag,), SPECIAL)
             return
         idx = self.formatting.pop(at)
         if idx in self.stack:
             depth = self.stack.index(idx)
-            if not any(self.nodes[i].tag in SPECIAL for i in self.stack[depth + 1 :]):
+            if SPECIAL.isdisjoint(self.tags[depth + 1 :]):
                 self.pop_to(depth)
 
 
@@ -410,8 +429,10 @@ def _index(wanted):
         if tag is not None:
             by_tag.setdefault(tag, []).append((tests, mode))
         else:
-            name = next((t[0] for t in tests if t[1] != "absent"), None)
-            by_attr.setdefault(name, []).append((tests, mode))
+            names = [t[0] for t in tests if t[1] != "absent"]
+            if not names:
+                raise ValueError("a selector needs a tag, or an attribute that is there")
+            by_attr.setdefault(names[0], []).append((tests, mode))
     return by_tag, by_attr
 
 
@@ -422,7 +443,7 @@ def _text_mode(node, by_tag, by_attr):
     for tests, wanted in by_tag.get(node.tag, ()):
         if wanted > mode and _passes(tests, attrs):
             mode = wanted
-    for name in {k for k, _ in attrs} | {None} if attrs else (None,):
+    for name, _ in attrs:
         for tests, wanted in by_attr.get(name, ()):
             if wanted > mode and _passes(tests, attrs):
                 mode = wanted

@@ -300,8 +300,8 @@ def j4_job_view(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.job_view(_stage_rows(spark, folder)).select(
         "job_id",
         "url",
-        "created_at",
-        "updated_at",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
         "status",
         F.col("tier2.decision").alias("tier2_decision"),
         F.col("tier3.decision").alias("tier3_decision"),

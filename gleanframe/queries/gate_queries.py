@@ -260,7 +260,7 @@ def g4_short_circuit(spark: SparkSession, folder: str) -> DataFrame:
 def g5_due_backoffs(spark: SparkSession, folder: str) -> DataFrame:
     gated = with_gate(event_responses(spark, folder)).withColumnRenamed("gate", "decision")
     now = F.lit("2024-01-05 00:00:00").cast("timestamp")
-    return due_backoffs(gated, now).select("page_id", "retry_at")
+    return due_backoffs(gated, now).select("page_id", F.col("retry_at").cast("timestamp_ntz").alias("retry_at"))
 
 
 @query(

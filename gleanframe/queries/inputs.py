@@ -115,7 +115,7 @@ def event_responses(spark: SparkSession, folder: str) -> DataFrame:
             "content_type"
         ),
         F.col("user_id").alias("elapsed_ms"),
-        F.col("ts").alias("fetched_at"),
+        F.col("ts").cast("timestamp").alias("fetched_at"),
     )
 
 
