@@ -65,6 +65,7 @@ NOT_REOPENING = BLOCKS_CLOSING_P | HEAD | TABLE_PARTS | frozenset("iframe noembe
 # Scopes and limits of the implied end tags, built from the classes above.
 BUTTON_SCOPE = SCOPE | {"button"}
 P_ONLY = frozenset(["p"])
+LIST_SCOPE = SCOPE | {"ol", "ul"}
 ITEM_LIMITS = {
     tags: SPECIAL - {"address", "div", "p"} - tags for tags in (frozenset(["li"]), frozenset(["dd", "dt"]))
 }
@@ -295,6 +296,8 @@ class _Tree:
                 self.push("p", [], False)
         elif tag in FORMATTING:
             self.end_formatting(tag)
+        elif tag == "li":
+            self.close(("li",), LIST_SCOPE)
         elif tag in HEADINGS:
             self.close(HEADINGS, SCOPE)
         elif tag == "template":

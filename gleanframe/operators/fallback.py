@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DONE, ESCALATE, PROMPT
+from ..functions.joins import attach
 from ..functions.json import as_object, strict_json
 from ..functions.text import cut_utf8, let, trim_space
 from ..options import Options
@@ -81,24 +82,26 @@ def fallback_fields(fields: Column, options: Options) -> Column:
     ).cast(FIELDS)
 
 
-def apply_completions(analysis: DataFrame, completions: DataFrame, options: Options | None = None, key: str = "page_id") -> DataFrame:
+def apply_completions(
+    analysis: DataFrame, completions: DataFrame, options: Options | None = None, key: str = "page_id", salts: int = 1
+) -> DataFrame:
     """Replaces the fields of eligible rows by those of their completion and sets them Done.
 
     The minimum confidence does not apply here. Several completions of a page count as one: the
-    smallest by text, so that the result is the same on every run.
+    smallest by text, so that the result is the same on every run. For ``salts`` see ``attach``.
     """
     options = options or Options()
     one = completions.groupBy(key).agg(F.min(F.struct("completion", "error")).alias("c"))
-    parsed = one.select(F.col(key).alias("_key"), completion_result("c.completion", "c.error").alias("_result"))
-    eligible = is_eligible(analysis["decision"], analysis["fields"])
+    parsed = one.select(key, completion_result("c.completion", "c.error").alias("_result"))
+    eligible = is_eligible(F.col("decision"), F.col("fields"))
     if "escalation_reason" in analysis.columns:
         # Walled pages are not analysed, so they never reach the fallback.
-        eligible = eligible & (analysis["escalation_reason"] == "")
-    joined = analysis.join(parsed, (analysis[key] == parsed["_key"]) & eligible, "left")
+        eligible = eligible & (F.col("escalation_reason") == "")
+    joined = attach(analysis, parsed, key, eligible, salts)
     found = F.coalesce(F.size(F.col("_result.fields")) > 0, F.lit(False))
     return joined.withColumns(
         {
             "fields": F.when(found, fallback_fields(F.col("_result.fields"), options)).otherwise(F.col("fields")),
             "decision": F.when(found, F.lit(DONE)).otherwise(F.col("decision")),
         }
-    ).drop("_key", "_result")
+    ).drop("_result")

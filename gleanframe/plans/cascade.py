@@ -1,15 +1,18 @@
 """The cascade: tier 2 on responses, tiers 3 and 4 on rendered pages of escalated rows.
 
-Rendered HTML is analysed where it lies; only the small result rows are shuffled and joined. Joins
-are on the page key, which occurs once per side, so no key is hot.
+Rendered HTML is analysed where it lies; only the small result rows are shuffled, aggregated to one
+per page and joined, in one join for both tiers.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ABORT, BACKOFF, DONE, ESCALATE
+from ..functions.joins import attach
 from ..operators.fallback import apply_completions
 from ..options import Options
 from ..sources.tables import rendered_as_responses
@@ -29,36 +32,36 @@ def encode_decision(number: Column) -> Column:
     return F.coalesce(F.get(names, number), F.lit("Unknown"))
 
 
-def render_results(
+def tier_results(
     rendered: DataFrame, tier: int, options: Options | None = None, key: str = "page_id", completions: DataFrame | None = None
 ) -> DataFrame:
-    """One result row per page rendered in this tier; of several copies of a page the smallest counts."""
-    pages = rendered.filter(F.col("tier") == tier)
-    result = analyze_rendered(rendered_as_responses(pages), tier, options)
+    """Result rows (key, copy, tier, result) of all pages rendered in a tier.
+
+    ``copy`` tells copies of a page apart by their content.
+    """
+    pages = rendered_as_responses(rendered.filter(F.col("tier") == tier))
+    result = analyze_rendered(pages.withColumn("copy", F.xxhash64("body", "rendered_url")), tier, options)
     if completions is not None:
         result = apply_completions(result, completions, options, key)
-    best = F.min_by(F.struct(*RESULT_COLUMNS), F.struct("escalation_reason", F.to_json("fields"), "hollow_score"))
-    return result.groupBy(key).agg(best.alias(f"tier{tier}"))
+    return result.select(key, "copy", F.lit(tier).alias("tier"), F.struct(*RESULT_COLUMNS).alias("result"))
+
+
+def one_row_per_page(results: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, tier3, tier4) of tier results; of several copies of a page the first by content counts.
+
+    One aggregate over both tiers: copies of a page meet before the shuffle, and only results move.
+    """
+    tiers = [F.min_by("result", F.when(F.col("tier") == t, F.col("copy"))).alias(f"tier{t}") for t in (3, 4)]
+    return results.groupBy(key).agg(*tiers)
 
 
-def follow_tiers(tier2: DataFrame, tier3: DataFrame | None, tier4: DataFrame | None, key: str = "page_id") -> DataFrame:
+def follow_tiers(tier2: DataFrame, results: DataFrame, key: str = "page_id", salts: int = 1) -> DataFrame:
     """Joins tier results: a tier is reached only by rows that escalated in the one before.
 
-    tier3 and tier4 are (key, tierN struct) tables; None means that the tier does not exist. A page
-    without a row in a tier keeps its last result.
+    A page without a row in a tier keeps its last result.
     """
-    out = tier2
-    reached = F.col("tier2.decision") == ESCALATE
-    for tier, results in ((3, tier3), (4, tier4)):
-        name = f"tier{tier}"
-        if results is None:
-            out = out.withColumn(name, F.lit(None).cast(out.schema["tier2"].dataType))
-            reached = F.lit(False)
-            continue
-        right = results.select(F.col(key).alias(f"_key{tier}"), name)
-        out = out.join(right, (F.col(key) == F.col(f"_key{tier}")) & reached, "left").drop(f"_key{tier}")
-        reached = F.col(f"{name}.decision") == ESCALATE
-    return out
+    joined = attach(tier2, results, key, F.col("tier2.decision") == ESCALATE, salts)
+    return joined.withColumn("tier4", F.when(F.col("tier3.decision") == ESCALATE, F.col("tier4")))
 
 
 def final_result() -> list[Column]:
@@ -81,10 +84,12 @@ def run_cascade(
     key: str = "page_id",
     completions: DataFrame | None = None,
     tiers: tuple[int, ...] = (3, 4),
+    salts: int = 1,
 ) -> DataFrame:
     """One result row per response: (key, url, elapsed_ms, tier2, tier3, tier4, tier, decision, ...).
 
-    ``completions`` has a row per page and, if it has a column ``tier``, per tier.
+    ``completions`` has a row per page and, if it has a column ``tier``, per tier. ``key`` should be
+    unique among the responses; for one that is not, such as the address, set ``salts`` (see ``attach``).
     """
 
     def of_tier(tier: int) -> DataFrame | None:
@@ -94,14 +99,15 @@ def run_cascade(
 
     analysis = analyze(responses, options)
     if completions is not None:
-        analysis = apply_completions(analysis, of_tier(2), options, key)
-    tier2 = analysis.withColumn("escalation_reason", F.lit("")).select(
-        key, "url", "elapsed_ms", F.struct(*RESULT_COLUMNS).alias("tier2")
-    )
-    results = {
-        t: None if rendered is None or t not in tiers else render_results(rendered, t, options, key, of_tier(t)) for t in (3, 4)
-    }
-    return follow_tiers(tier2, results[3], results[4], key).select("*", *final_result())
+        analysis = apply_completions(analysis, of_tier(2), options, key, salts)
+    passed_on = [c for c in dict.fromkeys((key, "page_id", "url", "elapsed_ms")) if c in analysis.columns]
+    tier2 = analysis.withColumn("escalation_reason", F.lit("")).select(*passed_on, F.struct(*RESULT_COLUMNS).alias("tier2"))
+    parts = [tier_results(rendered, t, options, key, of_tier(t)) for t in tiers if rendered is not None]
+    if parts:
+        out = follow_tiers(tier2, one_row_per_page(reduce(DataFrame.unionByName, parts), key), key, salts)
+    else:
+        out = tier2.withColumns({f"tier{t}": F.lit(None).cast(tier2.schema["tier2"].dataType) for t in (3, 4)})
+    return out.select("*", *final_result())
 
 
 def public_result(results: DataFrame) -> DataFrame:

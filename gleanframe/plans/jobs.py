@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import ABORT, JOB_ABORTED, JOB_CREATED, JOB_TIER_STATUS
+from ..functions.joins import drop_matching
 from ..options import Options
 from ..schemas import FIELDS, HINTS, RENDER_RESULT, STAGES, TIER1, TIER2
 from ..sources.tables import tier1_record
@@ -120,10 +121,15 @@ def get_job(stages: DataFrame, job: str, with_body: bool = True) -> DataFrame:
     return found
 
 
-def pending(jobs: DataFrame, stages: DataFrame, stage: int) -> DataFrame:
-    """Jobs that have no stored result of a stage yet."""
-    done = stages.filter((F.col("stage") == stage) & F.col(f"tier{stage}").isNotNull()).select("job_id")
-    return jobs.join(done, "job_id", "left_anti")
+def done_jobs(stages: DataFrame, stage: int) -> DataFrame:
+    """Distinct ids of the jobs that have a stored result of a stage."""
+    stored = F.lit(True) if stage == 0 else F.col(f"tier{stage}").isNotNull()
+    return stages.filter((F.col("stage") == stage) & stored).select("job_id").distinct()
+
+
+def pending(jobs: DataFrame, stages: DataFrame, stage: int, salts: int = 1) -> DataFrame:
+    """Rows of jobs that have no stored result of a stage yet. For ``salts`` see ``attach``."""
+    return drop_matching(jobs, done_jobs(stages, stage), "job_id", salts)
 
 
 def stored_analysis(stages: DataFrame) -> DataFrame:

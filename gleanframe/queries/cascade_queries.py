@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..options import Options
 from ..plans import jobs
 from ..plans.analyze import analyze, analyze_rendered
+from ..plans.batch import run_batch
 from ..plans.cascade import decode_decision, encode_decision, public_result, run_cascade
 from ..sources.tables import pages_as_responses, rendered_as_responses
 from ..streaming.stream import write_analysis_stream
@@ -196,6 +197,36 @@ def r8_decision_codec(spark: SparkSession, folder: str) -> DataFrame:
     return stored.withColumn("decision", decode_decision(F.col("stored")))
 
 
+@query(
+    "r1_cascade_hot_address",
+    """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 <> 0 THEN 2 WHEN hot THEN 4 ELSE 3 END AS tier,
+              CASE o_orderkey % 3 WHEN 1 THEN 'Abort' ELSE 'Done' END AS decision,
+              CASE WHEN o_orderkey % 3 = 2 THEN 'found' WHEN o_orderkey % 3 = 0 THEN CASE WHEN hot THEN 'tier4' ELSE 'tier3' END END AS description
+       FROM (SELECT o_orderkey, o_orderstatus = 'F' AS hot FROM orders)""",
+)
+def r1_cascade_hot_address(spark: SparkSession, folder: str) -> DataFrame:
+    """The cascade keyed by an address that many responses share: all orders of one status have the same one.
+
+    Its renders are there in many copies, too. It is walled in tier 3 and done in tier 4.
+    """
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderstatus")
+    hot = F.col("o_orderstatus") == "F"
+    address = F.when(hot, "https://example.com/hot").otherwise(text("https://example.com/", Col("page_id")))
+    keyed = orders.select("page_id", address.alias("address"), "o_orderstatus")
+    responses = _order_responses(spark, folder).drop("url").join(keyed.select("page_id", F.col("address").alias("url")), "page_id")
+    both = keyed.withColumn("tier", F.explode(F.array(F.lit(3), F.lit(4))))
+    full = page(prose(), text('<meta name="description" content="tier', Col("tier"), '">'))
+    renders = both.select(
+        "page_id",
+        F.col("address").alias("url"),
+        "tier",
+        F.when(hot & (F.col("tier") == 3), "https://example.com/login").otherwise("https://example.com/").alias("rendered_url"),
+        full.alias("html"),
+    )
+    result = run_cascade(responses, renders, key="url", salts=8)
+    return _described(result).select("page_id", "tier", "decision", "description")
+
+
 # Job store ---------------------------------------------------------------------------------------
 
 
@@ -373,6 +404,31 @@ def j8_stage_sink(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.read_stages(spark, path).groupBy("stage").agg(F.count("*").alias("n"))
 
 
+_BATCH_SQL = f"""
+SELECT {_JOB_SQL.replace("b1", "b")} AS job_id, tier, decision, page_type, description, c.escalation_reason,
+       CASE tier WHEN 2 THEN 'tier2_complete' WHEN 3 THEN 'tier3_complete' ELSE 'tier4_complete' END AS status
+FROM ({_CASCADE_SQL}) c JOIN orders ON o_orderkey = page_id
+"""
+
+
+@query("j6_batch_in_two_runs", _BATCH_SQL)
+def j6_batch_in_two_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch that first knows no rendered pages, and is picked up by a second run that does."""
+    path = work_folder(spark)
+    responses, renders = _order_responses(spark, folder), _order_renders(spark, folder)
+    run_batch(responses, None, path, "b", "1")
+    result = run_batch(responses, renders, path, "b", "2")
+    return result.select(
+        "job_id",
+        "tier",
+        "decision",
+        "page_type",
+        F.try_element_at("fields", F.lit("description"))["value"].alias("description"),
+        "escalation_reason",
+        "status",
+    )
+
+
 @query(
     "stream_analysis",
     """SELECT url, CASE WHEN strlen(html) < 5120 THEN 'mixed' ELSE 'content-rich' END AS page_type, 'Done' AS decision,

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.html import FULL_TEXT, NO_TEXT, parse_html
 from ..functions.selectors import attr, select_nodes
 from ..functions.text import let, trim_space
-from ..operators.signals import page_facts, page_signals, text_links
+from ..operators.merge import explode_fields
+from ..operators.signals import page_facts, page_signals
 from ..options import Options
-from ..plans.analyze import analyze, extract_pages
+from ..plans.analyze import analyze, classify, extract_pages
+from ..plans.links import link_table
 from .inputs import SIGNAL_SQL, as_pages, page, pages, prose, signal_pages, table, text, variant
 from .registry import query
 
@@ -118,10 +120,17 @@ def h5_attribute_read(spark: SparkSession, folder: str) -> DataFrame:
        FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=".*?">.*?</a>')) AS a FROM pages)""",
 )
 def h6_link_table(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = _parsed(spark, folder, {"a": FULL_TEXT})
-    links = f"transform({text_links('doc.nodes')}, n -> named_struct('href', {attr('n', 'href')}, 'text', {trim_space('n.text')}))"
-    rows = parsed.select("page_id", F.expr(links).alias("links"))
-    return rows.select("page_id", F.explode_outer("links").alias("link")).filter("link IS NOT NULL").select("page_id", "link.*")
+    return link_table(pages(spark, folder))
+
+
+@query(
+    "page_class_only",
+    f"""SELECT page_id, CASE WHEN {_TINY} THEN 'mixed' ELSE 'content-rich' END AS page_type,
+               CASE WHEN {_TINY} THEN 'tiny-body' ELSE '' END AS signals FROM pages""",
+)
+def page_class_only(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes without extraction: the parse is pruned to what the signals need."""
+    return classify(pages(spark, folder)).select("page_id", "page_type", F.array_join("signals", ",").alias("signals"))
 
 
 @query(
@@ -139,8 +148,6 @@ def page_class(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT page_id, 'title' AS key, {_TITLE_SQL} AS value, 'meta-tags' AS source, 0.88::DOUBLE AS confidence, 5 AS priority FROM pages",
 )
 def page_fields(spark: SparkSession, folder: str) -> DataFrame:
-    from ..operators.merge import explode_fields
-
     return explode_fields(analyze(pages(spark, folder)).select("page_id", "fields"), "*")
 
 

@@ -165,3 +165,9 @@ def test_options_of_a_missing_file(tmp_path):
     file.write_text("tier2:\n  hollow:\n    tiny_body_bytes: 7\n  llm:\n    max_text_bytes: 9\n")
     options = Options.from_yaml(str(file))
     assert (options.tiny_body_bytes, options.max_text_bytes) == (7, 9)
+
+
+def test_large_script_state(analyzed):
+    big = '{"a":"' + "x" * 1_000_000 + '"}'
+    _, fields = analyzed(f"<script>window.__NUXT__={big};var A={big};</script>" + PROSE)
+    assert len(fields["a"][0]) == 1_000_000

@@ -14,7 +14,9 @@ from gleanframe.plans.cascade import run_cascade
 from gleanframe.plans.prompts import prompts, readable_text
 from gleanframe.operators.fallback import apply_completions, completion_result
 from gleanframe.schemas import COMPLETIONS, RENDERED_PAGES, RESPONSES
-from gleanframe.sources.tables import pages_as_responses, rendered_as_responses
+from gleanframe.plans.batch import run_batch
+from gleanframe.plans.links import followable_links, link_table
+from gleanframe.sources.tables import pages_as_responses, read_rendered_pages, read_responses, rendered_as_responses
 from gleanframe.streaming.stream import write_analysis_stream
 
 SHELL = '<nav>Menu of the site</nav><div id="root"></div><p>A paragraph that is long enough to be read.</p>'
@@ -225,3 +227,57 @@ def test_cascade_shuffles_results_and_not_pages(spark):
         if "Exchange" in line:
             assert "html" not in line and "body" not in line
     assert plan.count("ArrowEvalPython") == 3
+
+
+def test_batch_is_picked_up(spark, folder):
+    path = f"{folder}/batch"
+    shell = '<div id="root"></div>'
+    base = responses(spark, [FULL, shell, shell])
+    renders = rendered(spark, [(1, 3, "u", FULL), (2, 3, "u", shell), (2, 4, "u", '<i data-sitekey="x"></i>'), (0, 3, "u", FULL)])
+    first = run_batch(base.filter("page_id < 2"), None, path, "b", "1")
+    assert sorted((r.tier, r.decision) for r in first.collect()) == [(2, "Done"), (2, "Escalate")]
+    stored = jobs.read_stages(spark, path).count()
+    again = run_batch(base.filter("page_id < 2"), None, path, "b", "2")
+    assert again.count() == 2 and jobs.read_stages(spark, path).count() == stored
+    rows = {r.url[-1]: r for r in run_batch(base, renders, path, "b", "3").collect()}
+    assert {k: (r.tier, r.decision, r.status) for k, r in rows.items()} == {
+        "0": (2, "Done", "tier2_complete"),
+        "1": (3, "Done", "tier3_complete"),
+        "2": (4, "Escalate", "tier4_complete"),
+    }
+    assert rows["2"].escalation_reason == "captcha detected: [data-sitekey]"
+    assert rows["1"].fields["title"].value == "rendered"
+    # Another batch does not see these jobs.
+    assert {r.tier for r in run_batch(base, None, path, "c", "1").collect()} == {2}
+
+
+def test_sources_read_their_files(spark, folder):
+    responses(spark, [FULL]).write.parquet(f"{folder}/in")
+    assert analyze(read_responses(spark, f"{folder}/in")).first().fields["title"].value == "rendered"
+    rendered(spark, [(1, 4, "u", FULL)]).write.parquet(f"{folder}/rendered")
+    assert read_rendered_pages(spark, f"{folder}/rendered").first().tier == 4
+
+
+def test_links(spark):
+    page = '<a href="/a"> A </a><a>no address</a><a href="https://www.google-analytics.com/x">t</a><a href="/b"> </a>'
+    rows = link_table(responses(spark, [page])).collect()
+    assert [(r.href, r.text) for r in rows] == [("/a", "A"), (None, "no address"), ("https://www.google-analytics.com/x", "t")]
+    assert [r.href for r in followable_links(responses(spark, [page])).collect()] == ["/a"]
+
+
+def test_salted_joins_agree(spark):
+    from gleanframe.functions.joins import attach, drop_matching
+
+    left = spark.range(0, 2000, numPartitions=7).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain, salted = (sorted(map(tuple, attach(left, right, "k", F.col("id") > 5, n).collect()), key=str) for n in (1, 4))
+    assert plain == salted and len(plain) == 2000
+    plain, salted = (sorted(map(tuple, drop_matching(left, right.select("k"), "k", n).collect())) for n in (1, 4))
+    assert plain == salted and all(k >= 1000 for k, _ in plain)
+
+
+def test_first_run_shuffles_no_bodies(spark, folder):
+    from gleanframe.plans.batch import _stored, _todo
+
+    base = responses(spark, [FULL]).withColumn("job_id", F.lit("j"))
+    assert "Exchange" not in plan_of(_todo(base, _stored(base, f"{folder}/nothing"), 1, 1))

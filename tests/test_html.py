@@ -54,6 +54,7 @@ def attrs(src, tag):
         ("<p><b>x</p><p>y</p>", "p(b) p(b)"),
         ("<div></p></div>", "div(p)"),
         ("<button>a<button>b", "button button"),
+        ("<ul><li>a<ul></li><li>b</ul>", "ul(li(ul(li)))"),
         ("<p>a</body></html><i>late</i>", "p(i)"),
     ],
 )
