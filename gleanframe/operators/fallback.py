@@ -39,8 +39,9 @@ def clean_text(blocks: str, max_bytes: int) -> Column:
     return F.expr(let(f"coalesce({chosen}, '')", "t", cut_utf8("t", max_bytes)))
 
 
-def is_eligible(decision: Column, fields: Column) -> Column:
-    return (decision == ESCALATE) & (F.size(fields) == 0)
+def is_eligible(decision: Column, fields: Column, page_type: Column) -> Column:
+    """Escalated without a field. Gated, walled and unparseable pages have no page type and never get here."""
+    return (decision == ESCALATE) & (F.size(fields) == 0) & (page_type != "")
 
 
 def prompt_text(text: Column) -> Column:
@@ -93,10 +94,7 @@ def apply_completions(
     options = options or Options()
     one = completions.groupBy(key).agg(F.min(F.struct("completion", "error")).alias("c"))
     parsed = one.select(key, completion_result("c.completion", "c.error").alias("_result"))
-    eligible = is_eligible(F.col("decision"), F.col("fields"))
-    if "escalation_reason" in analysis.columns:
-        # Walled pages are not analysed, so they never reach the fallback.
-        eligible = eligible & (F.col("escalation_reason") == "")
+    eligible = is_eligible(F.col("decision"), F.col("fields"), F.col("page_type"))
     joined = attach(analysis, parsed, key, eligible, salts)
     found = F.coalesce(F.size(F.col("_result.fields")) > 0, F.lit(False))
     return joined.withColumns(

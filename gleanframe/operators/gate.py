@@ -10,6 +10,9 @@ from ..constants import ABORT, BACKOFF, ESCALATE
 # Texts that both a strict float parser and a SQL cast accept as the same number.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+# Fixed value: longest delay, 2^63 - 1 nanoseconds.
+_MAX_SECONDS = 9223372036.854775807
+
 
 def header(headers: Column, name: str) -> Column:
     """First value of a header, by case-insensitive name; '' when absent."""
@@ -30,10 +33,10 @@ def tech_hints(headers: Column, content_type: Column) -> Column:
 
 
 def retry_after(headers: Column) -> Column:
-    """Positive seconds, else 0; an HTTP date counts as 0."""
+    """Positive seconds, else 0; an HTTP date counts as 0, and so does a delay of centuries."""
     value = header(headers, "retry-after")
     seconds = F.when(F.rlike(value, F.lit(_NUMBER)), value.try_cast("double"))
-    return F.when(seconds > 0, seconds).otherwise(F.lit(0.0))
+    return F.when((seconds > 0) & (seconds < _MAX_SECONDS), seconds).otherwise(F.lit(0.0))
 
 
 def status_gate(status: Column, cf_challenge: Column, retry_after_s: Column) -> Column:

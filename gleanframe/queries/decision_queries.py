@@ -161,20 +161,17 @@ def l1_eligibility(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.fallback import is_eligible
 
     result = analyze(_document_pages(spark, folder), Options(tiny_body_bytes=1))
-    return result.select("page_id", is_eligible(F.col("decision"), F.col("fields")).alias("eligible"))
+    return result.select("page_id", is_eligible(F.col("decision"), F.col("fields"), F.col("page_type")).alias("eligible"))
 
 
 @query(
     "l2_clean_text",
-    """SELECT doc_id AS page_id, true AS has_heading, true AS within_limit, true AS without_boilerplate,
-              strlen('Story ' || doc_id || chr(10) || text) > 400 OR NULL AS is_cut FROM documents""".replace(
-        "strlen('Story ' || doc_id || chr(10) || text) > 400 OR NULL", "true"
-    ),
+    "SELECT doc_id AS page_id, true AS has_heading, true AS within_limit, true AS without_boilerplate, true AS is_full FROM documents",
 )
 def l2_clean_text(spark: SparkSession, folder: str) -> DataFrame:
     """Readable text of every article: starts with its heading, keeps the limit in bytes, holds no boilerplate.
 
-    is_cut is true if the text is as long as the limit allows or the article is short.
+    is_full is true if the text is as long as the limit allows or the article is short.
     """
     cleaned = readable_text(_document_pages(spark, folder), Options(max_text_bytes=400))
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), F.octet_length("text").alias("n"))
@@ -185,13 +182,10 @@ def l2_clean_text(spark: SparkSession, folder: str) -> DataFrame:
         F.startswith("clean_text", text("Story ", Col("page_id"))).alias("has_heading"),
         (size <= 402).alias("within_limit"),
         (~F.contains("clean_text", F.lit("oilerplate"))).alias("without_boilerplate"),
-        ((F.col("n") < 500) | (size >= 397)).alias("is_cut"),
+        ((F.col("n") < 500) | (size >= 397)).alias("is_full"),
     )
 
 
-_PLAIN_SQL = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-
-
 @query(
     "l3_prompt",
     """SELECT page_id, md5(head || text) AS prompt_md5 FROM (SELECT page_id, '{head}' AS head,

@@ -281,3 +281,26 @@ def test_first_run_shuffles_no_bodies(spark, folder):
 
     base = responses(spark, [FULL]).withColumn("job_id", F.lit("j"))
     assert "Exchange" not in plan_of(_todo(base, _stored(base, f"{folder}/nothing"), 1, 1))
+
+
+def test_challenged_page_takes_no_completion(spark):
+    base = responses(spark, [SHELL]).withColumn("headers", F.expr("map('CF-Mitigated', array('challenge'))"))
+    done = spark.createDataFrame([(0, '{"title":"x"}', None)], COMPLETIONS)
+    row = apply_completions(analyze(base), done).first()
+    assert (row.decision, row.fields) == ("Escalate", {})
+    assert prompts(base).count() == 0
+
+
+def test_due_backoffs(spark):
+    from gleanframe.operators.gate import due_backoffs
+
+    base = responses(spark, ["", ""]).withColumns(
+        {
+            "status": F.lit(429),
+            "fetched_at": F.lit("2024-01-01 00:00:00").cast("timestamp"),
+            "headers": F.expr("map('Retry-After', array(CASE page_id WHEN 0 THEN '1.5' ELSE '1e300' END))"),
+        }
+    )
+    rows = due_backoffs(analyze(base), F.lit("2024-01-01 00:00:01").cast("timestamp")).collect()
+    assert [(r.page_id, r.retry_after_s) for r in rows] == [(1, 0.0)]
+    assert due_backoffs(analyze(base), F.lit("2024-01-01 00:00:02").cast("timestamp")).count() == 2
