@@ -171,3 +171,10 @@ def test_large_script_state(analyzed):
     big = '{"a":"' + "x" * 1_000_000 + '"}'
     _, fields = analyzed(f"<script>window.__NUXT__={big};var A={big};</script>" + PROSE)
     assert len(fields["a"][0]) == 1_000_000
+
+
+def test_text_repeated_by_nested_nodes(analyzed):
+    row, fields = analyzed("".join(f"<div itemprop=p{i}>" for i in range(40)) + PROSE)
+    assert len(fields) == 40 and row.decision == "Done"
+    row, fields = analyzed("".join(f"<div itemprop=p{i}>" for i in range(60)) + PROSE)
+    assert (fields, row.decision, row.page_type) == ({}, "Escalate", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from gleanframe.functions import html as H
+from gleanframe.functions import htmltree as H
 from gleanframe.functions.selectors import compile_selector
 
 
