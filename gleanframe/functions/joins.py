@@ -30,11 +30,20 @@ def attach(left: DataFrame, right: DataFrame, key: str, condition: Column | None
     return left.join(right, on, "left").drop("_right_key", "_salt", "_right_salt")
 
 
-def drop_matching(left: DataFrame, keys: DataFrame, key: str, salts: int = 1) -> DataFrame:
-    """Left rows whose key is not in a table of distinct keys; salted as in :func:`attach`."""
+def _filtered(left: DataFrame, keys: DataFrame, key: str, how: str, salts: int) -> DataFrame:
     left, keys = _salted(left, keys, salts)
     keys = keys.withColumnRenamed(key, "_right_key")
     on = left[key] == keys["_right_key"]
     if salts > 1:
         on = on & (left["_salt"] == keys["_right_salt"])
-    return left.join(keys, on, "left_anti").drop("_salt")
+    return left.join(keys, on, how).drop("_salt")
+
+
+def keep_matching(left: DataFrame, keys: DataFrame, key: str, salts: int = 1) -> DataFrame:
+    """Left rows whose key is in a table of distinct keys; salted as in :func:`attach`."""
+    return _filtered(left, keys, key, "left_semi", salts)
+
+
+def drop_matching(left: DataFrame, keys: DataFrame, key: str, salts: int = 1) -> DataFrame:
+    """Left rows whose key is not in a table of distinct keys; salted as in :func:`attach`."""
+    return _filtered(left, keys, key, "left_anti", salts)

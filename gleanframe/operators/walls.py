@@ -25,15 +25,18 @@ def _login_url(rendered_url: str) -> str:
     return f"CASE WHEN {hit} THEN 'login wall detected in URL' END"
 
 
-def wall_reason(nodes: str, rendered_url: str, tier: int) -> Column:
-    """First wall in the order of the tier. Tier 4 looks for captchas and login addresses only."""
+def _checks(nodes: str, rendered_url: str, tier: int) -> list[str]:
     if tier == 4:
-        checks = [*_first_hit(nodes, CAPTCHA_WALLS, "captcha detected"), _login_url(rendered_url)]
-    else:
-        checks = [
-            *_first_hit(nodes, COOKIE_WALLS, "cookie consent wall"),
-            _login_url(rendered_url),
-            f"CASE WHEN {has_node(nodes, PASSWORD_SELECTOR)} THEN 'login wall: password input present' END",
-            *_first_hit(nodes, CHALLENGE_WALLS, "cloudflare challenge"),
-        ]
-    return F.expr(f"coalesce({', '.join(checks)})")
+        return [*_first_hit(nodes, CAPTCHA_WALLS, "captcha detected"), _login_url(rendered_url)]
+    return [
+        *_first_hit(nodes, COOKIE_WALLS, "cookie consent wall"),
+        _login_url(rendered_url),
+        f"CASE WHEN {has_node(nodes, PASSWORD_SELECTOR)} THEN 'login wall: password input present' END",
+        *_first_hit(nodes, CHALLENGE_WALLS, "cloudflare challenge"),
+    ]
+
+
+def wall_reason(nodes: str, rendered_url: str, tier: str) -> Column:
+    """First wall in the order of the row's tier. Tier 4 looks for captchas and login addresses only."""
+    cases = " ".join(f"WHEN {t} THEN coalesce({', '.join(_checks(nodes, rendered_url, t))})" for t in SELECTORS)
+    return F.expr(f"CASE {tier} {cases} END")

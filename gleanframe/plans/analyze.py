@@ -129,18 +129,18 @@ def candidates(responses: DataFrame, options: Options | None = None, key: str =
     return candidate_rows(extract_pages(responses, options), key, {e: _column(e) for e in enabled_extractors(options)})
 
 
-def analyze_rendered(rendered: DataFrame, tier: int, options: Options | None = None) -> DataFrame:
+def analyze_rendered(rendered: DataFrame, tier: int | None = None, options: Options | None = None) -> DataFrame:
     """Analysis of rendered pages (responses with rendered_url), with the wall check of the tier first.
 
-    A wall gives Escalate with its reason and nothing else.
+    A wall gives Escalate with its reason and nothing else. Without ``tier`` the column ``tier`` counts, so
+    that one scan and one parse serve all tiers.
     """
     configure(rendered.sparkSession)
     options = options or Options()
-    parsed = with_document(with_gate(rendered), options, walls.SELECTORS[tier])
-    parsed = parsed.withColumn(
-        "escalation_reason",
-        F.when(F.col("doc").isNotNull(), walls.wall_reason("doc.nodes", "rendered_url", tier)),
-    )
+    selectors = [walls.SELECTORS[t] for t in walls.SELECTORS if tier in (None, t)]
+    parsed = with_document(with_gate(rendered), options, *selectors)
+    reason = walls.wall_reason("doc.nodes", "rendered_url", "tier" if tier is None else str(tier))
+    parsed = parsed.withColumn("escalation_reason", F.when(F.col("doc").isNotNull(), reason))
     free = F.col("doc").isNotNull() & F.col("escalation_reason").isNull()
     scored = with_signals(parsed, options).withColumn("page", F.when(free, F.col("page")))
     decided = with_decision(with_extractions(scored, options, free), options)

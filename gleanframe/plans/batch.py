@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import ESCALATE
+from ..functions.joins import keep_matching
 from ..options import Options
 from ..sources.tables import rendered_as_responses, stored_as_responses
 from . import jobs
@@ -60,7 +61,7 @@ def run_batch(
 
     A job is an address in a batch. ``run`` names this attempt: a new attempt takes a new name, and
     skips every job and tier that an earlier one stored. One response per address is expected; of
-    several, the one that was stored last counts; set ``salts`` where one address has very many.
+    several, the one that was stored last counts; set ``salts`` (see ``attach``) where one has very many.
     """
     options = options or Options()
     now = F.current_timestamp() if now is None else now
@@ -88,7 +89,7 @@ def run_batch(
         escalated = before.filter(F.col("decision") == ESCALATE).select("job_id")
         pages = with_job(rendered_as_responses(rendered.filter(F.col("tier") == tier)))
         results = analyze_rendered(pages.withColumn("elapsed_ms", F.lit(0).cast("bigint")), tier, options)
-        todo = _todo(results.join(escalated, "job_id", "left_semi"), stages, tier, salts)
+        todo = _todo(keep_matching(results, escalated, "job_id", salts), stages, tier, salts)
         jobs.write_stage(jobs.render_rows(todo, tier, now), path)
     return batch_results(of_batch())
 

@@ -6,8 +6,6 @@ per page and joined, in one join for both tiers.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +31,25 @@ def encode_decision(number: Column) -> Column:
 
 
 def tier_results(
-    rendered: DataFrame, tier: int, options: Options | None = None, key: str = "page_id", completions: DataFrame | None = None
+    rendered: DataFrame,
+    tiers: tuple[int, ...] = (3, 4),
+    options: Options | None = None,
+    key: str = "page_id",
+    completions: DataFrame | None = None,
+    salts: int = 1,
 ) -> DataFrame:
-    """Result rows (key, copy, tier, result) of all pages rendered in a tier.
+    """Result rows (key, copy, tier, result) of all pages rendered in the tiers, from one scan and one parse.
 
     ``copy`` tells copies of a page apart by their content.
     """
-    pages = rendered_as_responses(rendered.filter(F.col("tier") == tier))
-    result = analyze_rendered(pages.withColumn("copy", F.xxhash64("body", "rendered_url")), tier, options)
+    pages = rendered_as_responses(rendered.filter(F.col("tier").isin(*tiers)))
+    result = analyze_rendered(pages.withColumn("copy", F.xxhash64("body", "rendered_url")), options=options)
     if completions is not None:
-        result = apply_completions(result, completions, options, key)
-    return result.select(key, "copy", F.lit(tier).alias("tier"), F.struct(*RESULT_COLUMNS).alias("result"))
+        by_tier = "tier" in completions.columns
+        page = F.struct(key, "tier") if by_tier else F.col(key)
+        completions = completions.withColumn("_page", page).select("_page", "completion", "error")
+        result = apply_completions(result.withColumn("_page", page), completions, options, "_page", salts)
+    return result.select(key, "copy", "tier", F.struct(*RESULT_COLUMNS).alias("result"))
 
 
 def one_row_per_page(results: DataFrame, key: str = "page_id") -> DataFrame:
@@ -92,19 +98,15 @@ def run_cascade(
     unique among the responses; for one that is not, such as the address, set ``salts`` (see ``attach``).
     """
 
-    def of_tier(tier: int) -> DataFrame | None:
-        if completions is None or "tier" not in completions.columns:
-            return completions
-        return completions.filter(F.col("tier") == tier)
-
     analysis = analyze(responses, options)
     if completions is not None:
-        analysis = apply_completions(analysis, of_tier(2), options, key, salts)
+        first = completions.filter(F.col("tier") == 2) if "tier" in completions.columns else completions
+        analysis = apply_completions(analysis, first, options, key, salts)
     passed_on = [c for c in dict.fromkeys((key, "page_id", "url", "elapsed_ms")) if c in analysis.columns]
     tier2 = analysis.withColumn("escalation_reason", F.lit("")).select(*passed_on, F.struct(*RESULT_COLUMNS).alias("tier2"))
-    parts = [tier_results(rendered, t, options, key, of_tier(t)) for t in tiers if rendered is not None]
-    if parts:
-        out = follow_tiers(tier2, one_row_per_page(reduce(DataFrame.unionByName, parts), key), key, salts)
+    if rendered is not None and tiers:
+        results = tier_results(rendered, tiers, options, key, completions, salts)
+        out = follow_tiers(tier2, one_row_per_page(results, key), key, salts)
     else:
         out = tier2.withColumns({f"tier{t}": F.lit(None).cast(tier2.schema["tier2"].dataType) for t in (3, 4)})
     return out.select("*", *final_result())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..constants import ABORT, JOB_ABORTED, JOB_CREATED, JOB_TIER_STATUS
-from ..functions.joins import drop_matching
+from ..functions.joins import drop_matching, keep_matching
 from ..options import Options
 from ..schemas import FIELDS, HINTS, RENDER_RESULT, STAGES, TIER1, TIER2
 from ..sources.tables import tier1_record
@@ -99,7 +99,7 @@ def job_view(stages: DataFrame, with_body: bool = False) -> DataFrame:
 
     def latest(column: str | Column) -> Column:
         c = F.col(column) if isinstance(column, str) else column
-        return F.max_by(c, F.when(c.isNotNull(), F.struct("updated_at", "stage")))
+        return F.max_by(c, F.when(c.isNotNull(), F.struct("updated_at", "stage", "batch_id")))
 
     rows = stages if with_body else stages.withColumn("tier1", _without_body(stages))
     return rows.groupBy("job_id").agg(
@@ -134,7 +134,7 @@ def pending(jobs: DataFrame, stages: DataFrame, stage: int, salts: int = 1) -> D
 
 def stored_analysis(stages: DataFrame) -> DataFrame:
     """Latest stored tier-2 rows as analysis rows again; unknown decisions read as Escalate."""
-    t = F.max_by("tier2", "updated_at")
+    t = F.max_by("tier2", F.struct("updated_at", "batch_id"))
     rows = stages.filter((F.col("stage") == 2) & F.col("tier2").isNotNull()).groupBy("job_id").agg(F.max("url").alias("url"), t.alias("t"))
     names = ("page_type", "page_type_confidence", "hollow_score", "tech_hints", "fields", "elapsed_ms")
     return rows.select(
@@ -148,4 +148,4 @@ def resume_analysis(jobs: DataFrame, stages: DataFrame, analyzed: DataFrame) ->
     ``analyzed`` should come from ``pending(jobs, stages, 2)``, so that stored jobs are not analysed again.
     """
     stored = stored_analysis(stages)
-    return stored.join(jobs.select("job_id"), "job_id", "left_semi").unionByName(analyzed.select(*stored.columns))
+    return keep_matching(stored, jobs.select("job_id").distinct(), "job_id").unionByName(analyzed.select(*stored.columns))

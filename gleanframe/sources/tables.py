@@ -9,14 +9,18 @@ from ..constants import MAX_BODY_BYTES, WHITE_SPACE
 from ..schemas import RENDERED_PAGES, RESPONSES
 
 
+# Scans of this many splits or more are never redistributed.
+MOST_SPREAD = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a scan that has fewer partitions than the cluster has cores.
 
-    Parsing is CPU-bound and one small file is one task. A scan of many files is left as it is, so
-    nothing is shuffled at scale. Use it on scans only.
+    Parsing is CPU-bound and one small file is one task. A scan of many splits is left as it is, however
+    many cores there are, so at most a few gigabytes are ever shuffled. Use it on scans only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +53,7 @@ def pages_as_responses(pages: DataFrame) -> DataFrame:
 def rendered_as_responses(rendered: DataFrame) -> DataFrame:
     """Rendered HTML as synthetic responses: status 200, HTML, no headers, final address = requested address."""
     return rendered.select(
-        "page_id",
-        "url",
-        "rendered_url",
+        *[c for c in ("page_id", "url", "tier", "rendered_url") if c in rendered.columns],
         F.lit(200).alias("status"),
         _no_headers().alias("headers"),
         F.col("html").cast("binary").alias("body"),
