@@ -65,10 +65,8 @@ def completion_result(completion: str, error: str) -> Column:
     result = f"named_struct('fields', {fields}, 'err', NOT coalesce(ok, false))"
     parsed = let(strict_json("c"), "v", let(as_object("v"), "m", let(values, "vs", let(ok, "ok", result))))
     usable = f"CASE WHEN {error} IS NULL THEN {strip_fence(completion)} END"
-    no_fields = "CAST(map() AS map<string,string>)"
-    return F.expr(
-        let(let(usable, "c", parsed), "o", f"named_struct('fields', coalesce(o.fields, {no_fields}), 'err', coalesce(o.err, true))")
-    )
+    fields = "coalesce(o.fields, CAST(map() AS map<string,string>))"
+    return F.expr(let(let(usable, "c", parsed), "o", f"named_struct('fields', {fields}, 'err', coalesce(o.err, true))"))
 
 
 def fallback_fields(fields: Column, options: Options) -> Column:

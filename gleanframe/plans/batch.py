@@ -59,9 +59,10 @@ def run_batch(
 ) -> DataFrame:
     """Runs what the store at ``path`` still lacks for the batch; returns the results per job.
 
-    A job is an address in a batch. ``run`` names this attempt: a new attempt takes a new name, and
-    skips every job and tier that an earlier one stored. One response per address is expected; of
-    several, the one that was stored last counts; set ``salts`` (see ``attach``) where one has very many.
+    A job is an address in a batch. ``run`` names this attempt: a new name skips every job and tier that
+    other attempts stored, the same name does its own part again and replaces it. One response per
+    address is expected; of several, the one that was stored last counts; set ``salts`` (see ``attach``)
+    where one has very many.
     """
     options = options or Options()
     now = F.current_timestamp() if now is None else now
@@ -73,24 +74,25 @@ def run_batch(
     def of_batch() -> DataFrame:
         return _stored(responses, path).filter(F.col("batch_id").startswith(f"{batch}."))
 
+    def todo(rows: DataFrame, stage: int) -> DataFrame:
+        # What this very run wrote before is about to be replaced, so it does not count as stored.
+        return _todo(rows, of_batch().filter(F.col("batch_id") != part), stage, salts)
+
     fetched = with_job(responses)
-    stages = of_batch()
-    created = jobs.created_rows(fetched.select("url", "batch_id"), now).withColumn("job_id", jobs.job_id(F.col("url"), F.lit(batch)))
-    jobs.write_stage(_todo(created, stages, 0, salts), path)
-    jobs.write_stage(jobs.tier1_rows(_todo(fetched, stages, 1, salts), now), path)
+    created = with_job(jobs.created_rows(fetched, now))
+    jobs.write_stage(todo(created, 0), path)
+    jobs.write_stage(jobs.tier1_rows(todo(fetched, 1), now), path)
 
-    stages = of_batch()
-    todo = _todo(stored_as_responses(stages.filter(F.col("stage") == 1)), stages, 2, salts).withColumn("batch_id", part)
-    jobs.write_stage(jobs.tier2_rows(analyze(todo, options), now, options), path)
+    stored = stored_as_responses(of_batch().filter(F.col("stage") == 1)).withColumn("batch_id", part)
+    jobs.write_stage(jobs.tier2_rows(analyze(todo(stored, 2), options), now, options), path)
 
     for tier in (3, 4) if rendered is not None else ():
-        stages = of_batch()
-        before = _latest(stages, tier - 1, F.col(f"tier{tier - 1}.decision").alias("decision"))
+        before = _latest(of_batch(), tier - 1, F.col(f"tier{tier - 1}.decision").alias("decision"))
         escalated = before.filter(F.col("decision") == ESCALATE).select("job_id")
         pages = with_job(rendered_as_responses(rendered.filter(F.col("tier") == tier)))
         results = analyze_rendered(pages.withColumn("elapsed_ms", F.lit(0).cast("bigint")), tier, options)
-        todo = _todo(keep_matching(results, escalated, "job_id", salts), stages, tier, salts)
-        jobs.write_stage(jobs.render_rows(todo, tier, now), path)
+        reached = keep_matching(results, escalated, "job_id", salts)
+        jobs.write_stage(jobs.render_rows(todo(reached, tier), tier, now), path)
     return batch_results(of_batch())
 
 

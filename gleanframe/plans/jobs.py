@@ -13,10 +13,11 @@ from pyspark.sql.types import StructType
 from ..constants import ABORT, JOB_ABORTED, JOB_CREATED, JOB_TIER_STATUS
 from ..functions.joins import drop_matching, keep_matching
 from ..options import Options
-from ..schemas import FIELDS, HINTS, RENDER_RESULT, STAGES, TIER1, TIER2
+from ..schemas import FIELDS, RENDER_RESULT, STAGES, TIER1, TIER2
 from ..sources.tables import tier1_record
 from .cascade import decode_decision
 
+_PAGE = ("decision", "page_type", "page_type_confidence", "hollow_score")
 _STAGE_TYPES = {1: TIER1, 2: TIER2, 3: RENDER_RESULT, 4: RENDER_RESULT}
 
 
@@ -59,9 +60,7 @@ def tier1_rows(responses: DataFrame, now: Column) -> DataFrame:
 
 def tier2_rows(analysis: DataFrame, now: Column, options: Options | None = None) -> DataFrame:
     """Stage 2 rows of an analysis with job_id, batch_id and elapsed_ms."""
-    record = F.struct(
-        "decision", "page_type", "page_type_confidence", "hollow_score", "tech_hints", "fields", "elapsed_ms", now.alias("analyzed_at")
-    )
+    record = F.struct(*_PAGE, "tech_hints", "fields", "elapsed_ms", now.alias("analyzed_at"))
     status = F.lit(JOB_TIER_STATUS[2])
     if options is not None and options.mark_aborted:
         status = F.when(F.col("decision") == ABORT, F.lit(JOB_ABORTED)).otherwise(status)
@@ -70,9 +69,7 @@ def tier2_rows(analysis: DataFrame, now: Column, options: Options | None = None)
 
 def render_rows(results: DataFrame, tier: int, now: Column) -> DataFrame:
     """Stage 3 or 4 rows; they also carry the final decision and fields."""
-    record = F.struct(
-        "decision", "page_type", "page_type_confidence", "hollow_score", "escalation_reason", "fields", "elapsed_ms", now.alias("rendered_at")
-    )
+    record = F.struct(*_PAGE, "escalation_reason", "fields", "elapsed_ms", now.alias("rendered_at"))
     return _stage_rows(results, tier, F.lit(JOB_TIER_STATUS[tier]), record, now, True)
 
 
@@ -135,8 +132,9 @@ def pending(jobs: DataFrame, stages: DataFrame, stage: int, salts: int = 1) -> D
 def stored_analysis(stages: DataFrame) -> DataFrame:
     """Latest stored tier-2 rows as analysis rows again; unknown decisions read as Escalate."""
     t = F.max_by("tier2", F.struct("updated_at", "batch_id"))
-    rows = stages.filter((F.col("stage") == 2) & F.col("tier2").isNotNull()).groupBy("job_id").agg(F.max("url").alias("url"), t.alias("t"))
-    names = ("page_type", "page_type_confidence", "hollow_score", "tech_hints", "fields", "elapsed_ms")
+    tier2 = stages.filter((F.col("stage") == 2) & F.col("tier2").isNotNull())
+    rows = tier2.groupBy("job_id").agg(F.max("url").alias("url"), t.alias("t"))
+    names = (*_PAGE[1:], "tech_hints", "fields", "elapsed_ms")
     return rows.select(
         "job_id", "url", decode_decision(F.col("t.decision")).alias("decision"), *[F.col(f"t.{n}") for n in names]
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..plans import jobs
 from ..plans.analyze import analyze, analyze_rendered
 from ..plans.batch import run_batch
 from ..plans.cascade import decode_decision, encode_decision, public_result, run_cascade
+from ..schemas import FIELDS, HINTS
 from ..sources.tables import pages_as_responses, rendered_as_responses
 from ..streaming.stream import write_analysis_stream
 from .inputs import GATE_SQL, Col, as_pages, choose, event_responses, page, prose, table, text, variant
@@ -245,7 +247,7 @@ _JOB_SQL = "sha256('b1' || chr(10) || 'https://example.com/' || o_orderkey)"
 
 
 def _no_analysis(df: DataFrame, decision: Column) -> DataFrame:
-    empty = F.create_map().cast(jobs.FIELDS)
+    empty = F.create_map().cast(FIELDS)
     return df.withColumns(
         {
             "decision": decision,
@@ -362,15 +364,18 @@ def j6_resume(spark: SparkSession, folder: str) -> DataFrame:
     stages = jobs.tier2_rows(_no_analysis(stored_part, F.lit("Done")), _day(1))
     todo = jobs.pending(orders, stages, 2)
     analyzed = _no_analysis(todo, F.lit("Abort")).withColumn("page_type", F.lit("now"))
-    result = jobs.resume_analysis(orders, stages, analyzed.withColumn("tech_hints", F.lit(None).cast(jobs.HINTS)))
+    result = jobs.resume_analysis(orders, stages, analyzed.withColumn("tech_hints", F.lit(None).cast(HINTS)))
     return result.select("job_id", "decision", (F.col("page_type") == "now").alias("analysed_now"))
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the cluster."""
+    """A new folder below the shared checkpoint folder; a local session without one gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/gleanframe-{uuid.uuid4().hex}"
 
 

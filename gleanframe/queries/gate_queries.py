@@ -12,7 +12,7 @@ from ..options import ExtractorOption, Options
 from ..plans.analyze import analyze
 from ..plans.cascade import public_result
 from ..sources import tables as src
-from .inputs import GATE_SQL, as_pages, choose, event_responses, page, pages, prose, table, text, variant
+from .inputs import GATE_SQL, as_pages, choose, event_responses, page, pages, table, text, variant
 from .registry import query
 
 

@@ -46,25 +46,9 @@ def prose() -> Column:
 
 def as_pages(df: DataFrame, page_id: str, html: Column, *keep: str) -> DataFrame:
     """Rows as plain 200 responses with the composed HTML."""
-    rows = df.select(
-        F.col(page_id).alias("page_id"), text("https://example.com/", F.col(page_id)).alias("url"), html.alias("html"), *keep
-    )
-    responses = pages_as_responses(rows)
-    return rows.select(*[c for c in responses.columns if c in rows.columns], *keep, *_missing(responses, rows))
-
-
-def _missing(responses: DataFrame, rows: DataFrame) -> list[Column]:
-    html = F.col("html").cast("binary")
-    known = {
-        "status": F.lit(200),
-        "headers": F.create_map().cast("map<string,array<string>>"),
-        "body": html,
-        "final_url": F.col("url"),
-        "content_type": F.lit("text/html"),
-        "elapsed_ms": F.lit(0).cast("bigint"),
-        "fetched_at": F.lit(None).cast("timestamp"),
-    }
-    return [known[c].alias(c) for c in responses.columns if c not in rows.columns]
+    key = F.col(page_id)
+    rows = df.select(key.alias("page_id"), text("https://example.com/", key).alias("url"), html.alias("html"), *keep)
+    return pages_as_responses(rows, *keep)
 
 
 def variant(key: str, n: int) -> Column:

@@ -35,8 +35,8 @@ def read_rendered_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.schema(RENDERED_PAGES).parquet(path))
 
 
-def pages_as_responses(pages: DataFrame) -> DataFrame:
-    """A (page_id, url, html) table as plain 200 responses."""
+def pages_as_responses(pages: DataFrame, *keep: str) -> DataFrame:
+    """A (page_id, url, html) table as plain 200 responses; further columns are kept by name."""
     return pages.select(
         "page_id",
         "url",
@@ -47,6 +47,7 @@ def pages_as_responses(pages: DataFrame) -> DataFrame:
         F.lit("text/html").alias("content_type"),
         F.lit(0).cast("bigint").alias("elapsed_ms"),
         F.lit(None).cast("timestamp").alias("fetched_at"),
+        *keep,
     )
 
 

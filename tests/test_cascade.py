@@ -247,6 +247,11 @@ def test_batch_is_picked_up(spark, folder):
     }
     assert rows["2"].escalation_reason == "captcha detected: [data-sitekey]"
     assert rows["1"].fields["title"].value == "rendered"
+    # The same run again replaces its own part.
+    stored = jobs.read_stages(spark, path).count()
+    again = {r.url[-1]: (r.tier, r.decision) for r in run_batch(base, renders, path, "b", "3").collect()}
+    assert again == {k: (r.tier, r.decision) for k, r in rows.items()}
+    assert jobs.read_stages(spark, path).count() == stored
     # Another batch does not see these jobs.
     assert {r.tier for r in run_batch(base, None, path, "c", "1").collect()} == {2}
 
