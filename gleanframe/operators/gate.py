@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ABORT, BACKOFF, ESCALATE
+from ..functions.text import let, quote, raw
 
 # Texts that both a strict float parser and a SQL cast accept as the same number.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -14,29 +15,26 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _MAX_SECONDS = 9223372036.854775807
 
 
-def header(headers: Column, name: str) -> Column:
+def header(headers: str, name: str) -> str:
     """First value of a header, by case-insensitive name; '' when absent."""
-    found = F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower()), F.lit(0))
-    return F.coalesce(F.get(found["value"], F.lit(0)), F.lit(""))
-
-
-def tech_hints(headers: Column, content_type: Column) -> Column:
-    powered = F.lower(header(headers, "x-powered-by"))
-    challenge = F.lower(header(headers, "cf-mitigated")) == "challenge"
-    return F.struct(
-        F.contains(powered, F.lit("next.js")).alias("is_nextjs"),
-        ((header(headers, "cf-ray") != "") | challenge).alias("is_cloudflare"),
-        challenge.alias("cf_challenge"),
-        F.coalesce(F.contains(content_type, F.lit("application/json")), F.lit(False)).alias("is_json"),
-        F.contains(powered, F.lit("php")).alias("is_php"),
+    found = f"get(filter(map_entries({headers}), h -> lower(h.key) = {quote(name.lower())}), 0)"
+    return f"coalesce(get({found}.value, 0), '')"
+
+
+def tech_hints(headers: str, content_type: str) -> Column:
+    powered = f"lower({header(headers, 'x-powered-by')})"
+    challenge = f"lower({header(headers, 'cf-mitigated')}) = 'challenge'"
+    return F.expr(
+        f"named_struct('is_nextjs', contains({powered}, 'next.js'), "
+        f"'is_cloudflare', {header(headers, 'cf-ray')} <> '' OR {challenge}, 'cf_challenge', {challenge}, "
+        f"'is_json', coalesce(contains({content_type}, 'application/json'), false), 'is_php', contains({powered}, 'php'))"
     )
 
 
-def retry_after(headers: Column) -> Column:
+def retry_after(headers: str) -> Column:
     """Positive seconds, else 0; an HTTP date counts as 0, and so does a delay of centuries."""
-    value = header(headers, "retry-after")
-    seconds = F.when(F.rlike(value, F.lit(_NUMBER)), value.try_cast("double"))
-    return F.when((seconds > 0) & (seconds < _MAX_SECONDS), seconds).otherwise(F.lit(0.0))
+    seconds = let(header(headers, "retry-after"), "h", f"CASE WHEN rlike(h, {raw(_NUMBER)}) THEN try_cast(h AS double) END")
+    return F.expr(let(seconds, "s", f"CASE WHEN s > 0 AND s < {_MAX_SECONDS!r}D THEN s ELSE 0D END"))
 
 
 def status_gate(status: Column, cf_challenge: Column, retry_after_s: Column) -> Column:
@@ -54,8 +52,8 @@ def with_gate(responses: DataFrame) -> DataFrame:
     return (
         responses.withColumns(
             {
-                "tech_hints": tech_hints(F.col("headers"), F.col("content_type")),
-                "retry_after_s": retry_after(F.col("headers")),
+                "tech_hints": tech_hints("headers", "content_type"),
+                "retry_after_s": retry_after("headers"),
             }
         )
         .withColumn("gate", status_gate(F.col("status"), F.col("tech_hints.cf_challenge"), F.col("retry_after_s")))

@@ -92,13 +92,9 @@ def s5_header_flatten(spark: SparkSession, folder: str) -> DataFrame:
                CASE kind WHEN 10 THEN '8a' WHEN 11 THEN '77' ELSE '' END AS cf_ray, '' AS empty_header FROM ({GATE_SQL})""",
 )
 def s6_header_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    h = F.col("headers")
-    return event_responses(spark, folder).select(
-        "page_id",
-        header(h, "Retry-After").alias("retry_after"),
-        header(h, "CF-Ray").alias("cf_ray"),
-        header(h, "x-empty").alias("empty_header"),
-    )
+    names = {"retry_after": "Retry-After", "cf_ray": "CF-Ray", "empty_header": "x-empty"}
+    found = [F.expr(header("headers", name)).alias(column) for column, name in names.items()]
+    return event_responses(spark, folder).select("page_id", *found)
 
 
 @query(
