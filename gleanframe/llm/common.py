@@ -80,3 +80,14 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     known = left.join(hot, key, "inner")
     rest = left.join(F.broadcast(right.filter(is_hot).select(key)), key, "left_anti")
     return known.unionByName(rest.join(right.filter(~is_hot), key, how))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row, also where later lambdas read them again and again.
+
+    Without the generator the optimizer may copy a column's expression into the lambda that reads it.
+    """
+    name = "_once_" + uuid.uuid4().hex[:8]
+    fields = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(name)
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, fields).select(*keep, *[F.col(f"{name}.{k}").alias(k) for k in columns])

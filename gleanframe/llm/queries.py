@@ -11,6 +11,7 @@ from ..session import configure
 from . import bpe
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .quality import judged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +60,8 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(documents(spark, folder), ranks, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op1_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(documents(spark, folder)).drop("_sign")
