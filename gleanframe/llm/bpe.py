@@ -14,14 +14,12 @@ Ids may be NULL or repeated: each row is encoded. Other columns are not passed o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import map_rows
 from .tokens import Pieces, encoding
 
 CHUNK = 32_768
@@ -44,22 +42,6 @@ def boundaries(text: str, pattern: str) -> list[int]:
     ]
 
 
-def _map(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """mapInArrow over rows as tuples, batch by batch."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    types = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = list(rows(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
-
-    return df.mapInArrow(run, schema)
-
-
 _ENCODED = "doc_id long, row long, part int, ids binary"
 
 
@@ -71,7 +53,7 @@ def _encode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for doc, row, part, text in batch:
             yield doc, row, part, encode(text) if text else b""
 
-    return _map(df.select("doc_id", "row", "part", "text"), _ENCODED, rows)
+    return map_rows(df.select("doc_id", "row", "part", "text"), _ENCODED, rows)
 
 
 _cache: dict[tuple[str, str], Pieces] = {}
@@ -99,7 +81,7 @@ def chunk_pieces(long_docs: DataFrame, pattern: str, chunk: int, overlap: int) -
             end = len(text) - MARGIN
             yield doc, row, i, text, [p for p in at if p < overlap], [p - step for p in at if step <= p < end]
 
-    cut = _map(chunks, "doc_id long, row long, i int, chunk string, head array<int>, tail array<int>", rows)
+    cut = map_rows(chunks, "doc_id long, row long, i int, chunk string, head array<int>, tail array<int>", rows)
     of_doc = Window.partitionBy("row").orderBy("i")
     # Stitch of a chunk with the next one, counted from the next one's start.
     last = F.lead("i").over(of_doc).isNull()
@@ -143,4 +125,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for doc, n, ids in batch:
             yield doc, n, ids, coder.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
 
-    return _map(encoded.select("doc_id", "n_tokens", "ids"), "doc_id long, n_tokens long, ids binary, decoded binary", rows)
+    return map_rows(encoded.select("doc_id", "n_tokens", "ids"), "doc_id long, n_tokens long, ids binary, decoded binary", rows)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Runs of the six ASCII white-space characters, for the regular expressions of the JVM.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -91,3 +95,16 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     fields = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias(name)
     keep = [c for c in df.columns if c not in columns]
     return df.select(*keep, fields).select(*keep, *[F.col(f"{name}.{k}").alias(k) for k in columns])
+
+
+def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
+    """mapInArrow over rows as tuples: ``rows`` gets those of one bounded batch at a time."""
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(rows(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+
+    return df.mapInArrow(run, schema)

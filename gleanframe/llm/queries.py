@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import configure
 from . import bpe
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
 from .packing import pack
 from .quality import judged
 
@@ -65,3 +66,8 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return judged(documents(spark, folder)).drop("_sign")
+
+
+@query()
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(documents(spark, folder)).drop("blocks")
