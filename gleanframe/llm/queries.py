@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe
+from . import bpe, pii
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .packing import pack
@@ -71,3 +71,8 @@ def op1_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(documents(spark, folder)).drop("blocks")
+
+
+@query()
+def op6_pii_field(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(documents(spark, folder))
