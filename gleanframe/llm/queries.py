@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .licenses import license_scan
 from .packing import pack
 from .quality import judged
+from .repeats import without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +77,8 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_pii_field(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(documents(spark, folder))
+
+
+@query()
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(documents(spark, folder)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
