@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import configure
 from . import bpe, pii
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .licenses import license_scan
 from .packing import pack
 from .quality import judged
@@ -82,3 +83,8 @@ def op6_pii_field(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(documents(spark, folder)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(documents(spark, folder)).drop("first")
