@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, pii
+from . import bpe, pii, secrets
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .licenses import license_scan
@@ -88,3 +88,8 @@ def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder)).drop("first")
+
+
+@query()
+def op5_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find(documents(spark, folder))
