@@ -267,8 +267,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     )
     classes = saved(classes)
     postings = sets.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
-    shared = postings.groupBy("sig").agg(F.min("row").alias("hub"), F.max("row").alias("top"), F.count(F.lit(1)).alias("members"))
-    shared = saved(shared.filter("hub < top").drop("top"))
+    shared = postings.groupBy("sig").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("members"))
+    shared = saved(shared.filter("members > 1"))
     some = BitFilter(shared, "sig")
 
     def may(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

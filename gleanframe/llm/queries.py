@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, pii, secrets
+from . import bpe, pii, secrets, toxicity
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .licenses import license_scan
@@ -93,3 +93,8 @@ def op9_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find(documents(spark, folder))
+
+
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
