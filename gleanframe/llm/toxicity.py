@@ -30,8 +30,8 @@ from .common import map_rows, saved
 HOLD_OUT = 5
 SAMPLE = 20_000
 #: A term stands in this many contexts, and in as many as this share of the toxic rows.
-MIN_CONTEXTS = 8
-MIN_SHARE = 0.05
+MIN_CONTEXTS = 5
+MIN_SHARE = 0.01
 #: A term's rate in toxic rows is at least this many times its rate in clean ones.
 MIN_RATIO = 8.0
 #: Words on each side of a hit.
@@ -57,16 +57,19 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[None] = term
-        # One edit leaves the start or the end of a term alone.
-        self._starts = frozenset(t[:2] for t in terms)
-        self._ends = frozenset(t[-2:] for t in terms)
+        # One edit leaves the first or the second half of a term alone.
+        self._starts = frozenset(t[: len(t) // 2] for t in terms if len(t) >= FUZZY_LENGTH)
+        self._ends = frozenset(t[len(t) // 2 :] for t in terms if len(t) >= FUZZY_LENGTH)
+        self._halves = sorted({len(x) for x in self._starts | self._ends})
         self._longest = max(map(len, terms), default=0)
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term within one edit and that distance; of equally near ones the first by alphabet."""
         if word in self.terms:
             return word, 0
-        if not FUZZY_LENGTH - 1 <= len(word) <= self._longest + 1 or (word[:2] not in self._starts and word[-2:] not in self._ends):
+        if not FUZZY_LENGTH - 1 <= len(word) <= self._longest + 1:
+            return None
+        if not any(word[:k] in self._starts or word[-k:] in self._ends for k in self._halves):
             return None
         found = [t for t in self._walk(word) if len(t) >= FUZZY_LENGTH]
         return (min(found), 1) if found else None
@@ -105,30 +108,35 @@ class Reader:
 
     def __init__(self, terms: list[str]):
         self.trie = Trie(terms)
-        self._known: dict[str, tuple[str, int] | None] = {}
-
-    def look_up(self, word: str) -> tuple[str, int] | None:
-        if word not in self._known:
-            if len(self._known) >= _REMEMBERED:
-                self._known.clear()
-            self._known[word] = self.trie.find(word)
-        return self._known[word]
+        self._seen: set[str] = set()
+        self._found: dict[str, int] = {}  # words near a term, with their distance
+
+    def near(self, words: set[str]) -> dict[str, int]:
+        """Those of the words that are a term or near one."""
+        if len(self._seen) >= _REMEMBERED:
+            self._seen, self._found = set(), {}
+        new = words - self._seen
+        self._seen |= new
+        for word in new:
+            if term := self.trie.find(word):
+                self._found[word] = term[1]
+        return {w: self._found[w] for w in words & self._found.keys()}
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, int, int]]]:
         """Number of words, and for each hit (place, distance, 1 if quoted)."""
         low = text.lower()
         words = _WORD.findall(low)
-        terms = {w: f for w in set(words) if (f := self.look_up(w))}
+        terms = self.near(set(words))
         if not terms:
             return len(words), []
         quoted = [m.span() for m in _QUOTED.finditer(low)]
         starts = [a for a, _ in quoted]
         out = []
         for k, m in enumerate(_WORD.finditer(low)):
-            if f := terms.get(m[0]):
+            if m[0] in terms:
                 at = bisect_right(starts, m.start()) - 1
                 inside = at >= 0 and m.end() <= quoted[at][1]
-                out.append((k, f[1], int(inside or not SAYING.isdisjoint(words[max(0, k - WINDOW) : k]))))
+                out.append((k, terms[m[0]], int(inside or not SAYING.isdisjoint(words[max(0, k - WINDOW) : k]))))
         return len(words), out
 
     def features(self, text: str) -> list[float]:
