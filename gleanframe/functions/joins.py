@@ -10,7 +10,8 @@ def _salted(left: DataFrame, right: DataFrame, salts: int) -> tuple[DataFrame, D
     if salts <= 1:
         return left, right
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return left.withColumn("_salt", F.spark_partition_id() % salts), right.withColumn("_right_salt", copies)
+    content = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*content), F.lit(salts))), right.withColumn("_right_salt", copies)
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, condition: Column | None = None, salts: int = 1) -> DataFrame:
@@ -18,7 +19,7 @@ def attach(left: DataFrame, right: DataFrame, key: str, condition: Column | None
 
     With a key that is unique on the left too, one salt is right. Where one key may hold a large share
     of the left rows, they are split into ``salts`` groups and each right row is copied once per group.
-    The salt of a row is that of its partition: a task that runs again gives the same one.
+    The salt of a row is a hash of its content (maps aside), wherever the row lies.
     """
     left, right = _salted(left, right, salts)
     right = right.withColumnRenamed(key, "_right_key")

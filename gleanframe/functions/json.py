@@ -30,13 +30,15 @@ def _strip_zeros(x: str) -> str:
 
 
 def _number_text(j: str, legacy: bool) -> str:
-    """Plain digits between 1e-6 and 1e21, else an exponent with a sign."""
+    """Plain digits between 1e-6 and 1e21, else an exponent with a sign. Legacy numbers pass through a double."""
     size = f"abs(try_cast({j} AS double))"
     wide = _strip_zeros(f"string(try_cast(try_cast({j} AS double) AS decimal(38,16)))")
     fine = _strip_zeros(f"string(try_cast(try_cast({j} AS double) AS decimal(38,24)))")
     scientific = f"replace(string(try_cast({j} AS double)), '.0E', 'E')"
     exponent = f"replace(regexp_replace({scientific}, {raw('E([0-9])')}, 'E+$1'), 'E', 'e')"
     plain = f"NOT contains({j}, 'E') AND NOT ({size} > 0 AND {size} < 1e-6)"
+    if legacy:
+        plain += " AND length(j) <= 15"
     text = (
         f"CASE WHEN {plain} THEN regexp_replace({j}, {raw('[.]0$')}, '') WHEN {size} = 0 THEN '0' "
         f"WHEN {size} >= 1 AND {size} < 1e21 THEN {wide} WHEN {size} >= 1e-6 AND {size} < 1 THEN {fine} ELSE {exponent} END"

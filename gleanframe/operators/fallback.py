@@ -86,11 +86,11 @@ def apply_completions(
 ) -> DataFrame:
     """Replaces the fields of eligible rows by those of their completion and sets them Done.
 
-    The minimum confidence does not apply here. Several completions of a page count as one: the
-    smallest by text, so that the result is the same on every run. For ``salts`` see ``attach``.
+    The minimum confidence does not apply here. Several completions of a page count as one: of those
+    without an error, else of all, the smallest by text, so that the result is the same on every run. For ``salts`` see ``attach``.
     """
     options = options or Options()
-    one = completions.groupBy(key).agg(F.min(F.struct("completion", "error")).alias("c"))
+    one = completions.groupBy(key).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "completion", "error")).alias("c"))
     parsed = one.select(key, completion_result("c.completion", "c.error").alias("_result"))
     eligible = is_eligible(F.col("decision"), F.col("fields"), F.col("page_type"))
     joined = attach(analysis, parsed, key, eligible, salts)

@@ -33,13 +33,18 @@ def _column(e: Extractor) -> str:
     return f"x_{e.name}"
 
 
-def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int], signals_only: bool = False) -> DataFrame:
-    """Adds body_bytes and doc. Gated rows send no body to Python and get no document."""
+def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int], signals_only: bool = False, capped: bool = True) -> DataFrame:
+    """Adds body_bytes and doc. Gated rows send no body to Python and get no document.
+
+    The byte limit is that of a fetch; rendered pages come whole.
+    """
     wanted = wanted_selectors([] if signals_only else enabled_extractors(options), signals.SELECTORS, *more)
-    body = cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes)
+    body, size = F.coalesce(F.col("body"), F.lit(b"")), F.coalesce(F.octet_length("body"), F.lit(0))
+    if capped:
+        body, size = cap_body(body, options.max_body_bytes), F.least(size, F.lit(options.max_body_bytes))
     return gated.withColumns(
         {
-            "body_bytes": F.least(F.coalesce(F.octet_length("body"), F.lit(0)), F.lit(options.max_body_bytes)),
+            "body_bytes": size,
             "doc": parse_html(F.when(F.col("gate").isNull(), body), wanted),
         }
     )
@@ -138,7 +143,7 @@ def analyze_rendered(rendered: DataFrame, tier: int | None = None, options: Opti
     configure(rendered.sparkSession)
     options = options or Options()
     selectors = [walls.SELECTORS[t] for t in walls.SELECTORS if tier in (None, t)]
-    parsed = with_document(with_gate(rendered), options, *selectors)
+    parsed = with_document(with_gate(rendered), options, *selectors, capped=False)
     reason = walls.wall_reason("doc.nodes", "rendered_url", "tier" if tier is None else str(tier))
     parsed = parsed.withColumn("escalation_reason", F.when(F.col("doc").isNotNull(), reason))
     free = F.col("doc").isNotNull() & F.col("escalation_reason").isNull()

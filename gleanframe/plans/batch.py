@@ -64,6 +64,8 @@ def run_batch(
     address is expected; of several, the one that was stored last counts; set ``salts`` (see ``attach``)
     where one has very many.
     """
+    if "." in run:
+        raise ValueError("the name of a run has no dot: it is what follows the last one in batch_id")
     options = options or Options()
     now = F.current_timestamp() if now is None else now
     part = F.lit(f"{batch}.{run}")
@@ -72,7 +74,7 @@ def run_batch(
         return df.withColumns({"job_id": jobs.job_id(F.col("url"), F.lit(batch)), "batch_id": part})
 
     def of_batch() -> DataFrame:
-        return _stored(responses, path).filter(F.col("batch_id").startswith(f"{batch}."))
+        return _stored(responses, path).filter(F.regexp_extract("batch_id", r"^(.*)\.[^.]*$", 1) == batch)
 
     def todo(rows: DataFrame, stage: int) -> DataFrame:
         # What this very run wrote before is about to be replaced, so it does not count as stored.

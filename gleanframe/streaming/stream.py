@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,12 +22,15 @@ def write_analysis_stream(
 ) -> StreamingQuery:
     """Writes tier-2 stage rows, one partition per micro-batch.
 
-    A micro-batch that is replayed after a failure has the same id and replaces its own partition.
+    A micro-batch that is replayed after a failure has the same id and replaces its own partition. The
+    checkpoint is part of that id: another stream, or the same one from a new checkpoint, replaces nothing.
     """
 
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def save(batch: DataFrame, epoch: int) -> None:
         rows = batch.withColumns(
-            {"batch_id": F.lit(f"stream-{epoch}"), "job_id": job_id(F.col("url"), F.col("page_id").cast("string"))}
+            {"batch_id": F.lit(f"stream-{stream}-{epoch}"), "job_id": job_id(F.col("url"), F.col("page_id").cast("string"))}
         )
         write_stage(tier2_rows(rows, F.current_timestamp(), options), path)
 

@@ -58,8 +58,8 @@ def test_clean_text(spark):
 @pytest.mark.parametrize(
     ("completion", "error", "fields", "err"),
     [
-        ('{"title":"Foo","price":"$9"}', None, {"title": "Foo", "price": "$9"}, False),
-        ('```json\n{"title":"Bar"}\n```', None, {"title": "Bar"}, False),
+        ('{"title":"Oak table","price":"310 kr"}', None, {"title": "Oak table", "price": "310 kr"}, False),
+        ('```json\n{"title":"Lamp"}\n```', None, {"title": "Lamp"}, False),
         ("not json at all", None, {}, True),
         ('{"title":"x"}', "network failure", {}, True),
         (None, None, {}, True),
@@ -79,7 +79,7 @@ def test_prompts_and_fallback(spark):
     asked = prompts(pages).collect()
     assert [r.page_id for r in asked] == [0]
     assert asked[0].prompt.endswith("Webpage text:\nA paragraph that is long enough to be read.")
-    done = spark.createDataFrame([(i, '{"title":"from text"}', None) for i in (0, 1)], COMPLETIONS)
+    done = spark.createDataFrame([(i, '{"title":"from text"}', None) for i in (0, 1)] + [(0, None, "timeout")], COMPLETIONS)
     rows = {r.page_id: r for r in apply_completions(analyze(pages), done).collect()}
     assert rows[0].decision == "Done" and rows[0].fields["title"].source == "llm" and rows[0].fields["title"].priority == 11
     assert rows[1].fields["title"].value == "t"
@@ -97,11 +97,11 @@ def test_rendered_page_with_injected_data(spark):
     """A rendered page with JSON-LD and a filled root is done."""
     html = (
         '<div id="root"><h1>Dyn</h1></div><script type="application/ld+json">'
-        '{"@type":"Product","name":"DynWidget","price":"19.99"}</script>' + FULL
+        '{"@type":"Product","name":"Kettle","price":"48.50"}</script>' + FULL
     )
     pages = rendered(spark, [(1, 3, "https://example.com/1", html)])
     row = analyze_rendered(rendered_as_responses(pages), 3).first()
-    assert row.decision == "Done" and row.fields["name"].value == "DynWidget" and row.fields["price"].source == "json-ld"
+    assert row.decision == "Done" and row.fields["name"].value == "Kettle" and row.fields["price"].source == "json-ld"
 
 
 def test_login_wall(spark):
@@ -252,8 +252,39 @@ def test_batch_is_picked_up(spark, folder):
     again = {r.url[-1]: (r.tier, r.decision) for r in run_batch(base, renders, path, "b", "3").collect()}
     assert again == {k: (r.tier, r.decision) for k, r in rows.items()}
     assert jobs.read_stages(spark, path).count() == stored
-    # Another batch does not see these jobs.
+    # Another batch does not see these jobs, also if its name starts the same way.
     assert {r.tier for r in run_batch(base, None, path, "c", "1").collect()} == {2}
+    assert run_batch(base.filter("page_id < 2"), None, path, "b.3", "1").count() == 2
+    assert run_batch(base, None, path, "b", "4").count() == 3
+    with pytest.raises(ValueError):
+        run_batch(base, None, path, "b", "3.1")
+
+
+def test_two_streams_keep_their_rows(spark, folder):
+    from gleanframe.sources.tables import stream_responses
+
+    for name, pages in (("a", [FULL]), ("b", [FULL, SHELL])):
+        responses(spark, pages).write.parquet(f"{folder}/{name}")
+        write_analysis_stream(stream_responses(spark, f"{folder}/{name}"), f"{folder}/two", f"{folder}/ckpt-{name}").awaitTermination()
+    assert jobs.read_stages(spark, f"{folder}/two").count() == 3
+
+
+def test_rendered_pages_are_not_cut(spark):
+    long = "<p>" + "x " * 200 + "</p><meta name=description content=behind>"
+    pages = rendered(spark, [(1, 3, "https://example.com/1", long)])
+    row = analyze_rendered(rendered_as_responses(pages), 3, Options(max_body_bytes=100)).first()
+    assert "behind" in {f.value for f in row.fields.values()}
+
+
+def test_salts_split_one_key_in_one_partition(spark):
+    from gleanframe.functions.joins import attach
+
+    left = spark.range(200).select(F.lit("k").alias("key"), "id").coalesce(1)
+    right = spark.createDataFrame([("k", 1)], "key string, v int")
+    assert attach(left, right, "key", salts=8).filter("v = 1").count() == 200
+    from gleanframe.functions.joins import _salted
+
+    assert _salted(left, right, 8)[0].select("_salt").distinct().count() == 8
 
 
 def test_sources_read_their_files(spark, folder):
