@@ -32,23 +32,16 @@ WINDOW = 35
 def levels(window: int, least: int = 6) -> list[int]:
     """Lengths from a short one to `window`, each at most twice the one before."""
     out = [window]
-    while (out[-1] + 1) // 2 >= least:
+    while out[-1] > 1 and (out[-1] + 1) // 2 >= least:
         out.append((out[-1] + 1) // 2)
     return out[::-1]
 
 
-def window_hashes(words: np.ndarray, window: int) -> dict[int, np.ndarray]:
-    """For each level the hash of the window that starts at each word, built from two of half its length."""
-    lengths = levels(window)
-    out, first = {}, lengths[0]
-    if len(words) < first:
-        return {}
-    n = len(words) - first + 1
-    out[first] = W.join(words[:n], *[words[k : k + n] for k in range(1, first)])
+def window_hashes(words: np.ndarray, window: int, upto: int) -> dict[int, np.ndarray]:
+    """For each level up to a length the hash of the window that starts at each word, built from two of half its length."""
+    lengths, out = [n for n in levels(window, 1) if n <= upto], {1: words}
     for half, length in zip(lengths, lengths[1:], strict=False):
         n = len(words) - length + 1
-        if n < 1:
-            return out
         out[length] = W.join(out[half][:n], out[half][length - half : length - half + n])
     return out
 
@@ -74,7 +67,7 @@ class Candidates:
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(words) < self.window:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        found = window_hashes(words, self.window)
+        found = window_hashes(words, self.window, self.lengths[len(self.filters)])
         starts = np.arange(len(words) - self.window + 1)
         part = smallest(found[self.lengths[0]], self.window - self.lengths[0] + 1)
         place = part
