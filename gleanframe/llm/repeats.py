@@ -37,18 +37,15 @@ def levels(window: int, least: int = 6) -> list[int]:
     return out[::-1]
 
 
-def window_hashes(words: np.ndarray, window: int, upto: int) -> dict[int, np.ndarray]:
-    """For each level up to a length the hash of the window that starts at each word, built from two of half its length."""
-    lengths, out = [n for n in levels(window, 1) if n <= upto], {1: words}
-    for half, length in zip(lengths, lengths[1:], strict=False):
-        n = len(words) - length + 1
-        out[length] = W.join(out[half][:n], out[half][length - half : length - half + n])
-    return out
-
-
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` values the place of its smallest one, the first of equals."""
-    return np.lib.stride_tricks.sliding_window_view(values, width).argmin(axis=1) + np.arange(len(values) - width + 1)
+    """For each run of `width` values the place of its smallest one, the first of equals; runs double in length."""
+    place, length = np.arange(len(values)), 1
+    while length < width:
+        step = min(length, width - length)
+        left, right = place[:-step], place[step:]
+        place = np.where(values[right] < values[left], right, left)
+        length += step
+    return place
 
 
 class Candidates:
@@ -67,7 +64,7 @@ class Candidates:
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(words) < self.window:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        found = window_hashes(words, self.window, self.lengths[len(self.filters)])
+        found = W.windows(words, self.lengths[: len(self.filters) + 1])
         starts = np.arange(len(words) - self.window + 1)
         part = smallest(found[self.lengths[0]], self.window - self.lengths[0] + 1)
         place = part

@@ -67,3 +67,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def windows(words: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length the hashes of the windows that start at each word, from one row of prefix sums."""
+    powers, inverses = _tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers[: len(words)], out=sums[1:])
+    return {n: mix((sums[n:] - sums[:-n]) * inverses[: len(sums) - n]) for n in lengths}
