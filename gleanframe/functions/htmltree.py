@@ -51,7 +51,7 @@ CELLS = frozenset(["td", "th"])
 ROW_CLOSERS = frozenset(["tr", "caption", "colgroup"])
 # Start tags that may close other elements, or be ignored, before they open their own.
 ROOM_MAKERS = TABLE_PARTS | frozenset("a button dd dt form image li optgroup option".split())
-# Open stacks deeper than this are a parse error.
+# Fixed value: the HTML package whose results are matched refuses deeper stacks of open elements (public release notes).
 MAX_DEPTH = 512
 
 _TAG = re.compile(r"<(?:(!--)|([!?]|/[^a-zA-Z])|(/?)([a-zA-Z][^\t\n\f\r />]*))")

@@ -92,9 +92,11 @@ def run_batch(
         before = _latest(of_batch(), tier - 1, F.col(f"tier{tier - 1}.decision").alias("decision"))
         escalated = before.filter(F.col("decision") == ESCALATE).select("job_id")
         pages = with_job(rendered_as_responses(rendered.filter(F.col("tier") == tier)))
-        results = analyze_rendered(pages.withColumn("elapsed_ms", F.lit(0).cast("bigint")), tier, options)
-        reached = keep_matching(results, escalated, "job_id", salts)
-        jobs.write_stage(jobs.render_rows(todo(reached, tier), tier, now), path)
+        took = F.col("elapsed_ms") if "elapsed_ms" in pages.columns else F.lit(0)
+        pages = pages.withColumn("elapsed_ms", F.coalesce(took, F.lit(0)).cast("bigint"))
+        # Routed before they are parsed: parsing is the dearest step.
+        reached = todo(keep_matching(pages, escalated, "job_id", salts), tier)
+        jobs.write_stage(jobs.render_rows(analyze_rendered(reached, tier, options), tier, now), path)
     return batch_results(of_batch())
 
 

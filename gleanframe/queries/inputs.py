@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import pages_as_responses, spread
+from ..sources.tables import pages_as_responses
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    """A given table; one with fewer row groups than cores is dealt over the cores, as parsing is CPU-bound."""
+    rows, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, 64) else rows
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

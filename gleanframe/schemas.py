@@ -9,7 +9,7 @@ RESPONSES = (
     "page_id bigint, url string, status int, headers map<string,array<string>>, body binary, "
     "final_url string, content_type string, elapsed_ms bigint, fetched_at timestamp"
 )
-RENDERED_PAGES = "page_id bigint, url string, tier int, rendered_url string, html string"
+RENDERED_PAGES = "page_id bigint, url string, tier int, rendered_url string, html string, elapsed_ms bigint"
 COMPLETIONS = "page_id bigint, completion string, error string"
 
 TIER1 = (

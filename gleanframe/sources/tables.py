@@ -9,30 +9,20 @@ from ..constants import MAX_BODY_BYTES, WHITE_SPACE
 from ..schemas import RENDERED_PAGES, RESPONSES
 
 
-# Scans of this many splits or more are never redistributed.
-MOST_SPREAD = 64
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer partitions than the cluster has cores.
-
-    Parsing is CPU-bound and one small file is one task. A scan of many splits is left as it is, however
-    many cores there are, so at most a few gigabytes are ever shuffled. Use it on scans only.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.schema(RESPONSES).parquet(path))
+def read_responses(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Responses as the scan splits them, or dealt over ``partitions``, which shuffles every body."""
+    rows = spark.read.schema(RESPONSES).parquet(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def stream_responses(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
-def read_rendered_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.schema(RENDERED_PAGES).parquet(path))
+def read_rendered_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Rendered pages; for ``partitions`` see :func:`read_responses`. Files without elapsed_ms read as NULL there."""
+    rows = spark.read.schema(RENDERED_PAGES).parquet(path)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def pages_as_responses(pages: DataFrame, *keep: str) -> DataFrame:
@@ -54,7 +44,7 @@ def pages_as_responses(pages: DataFrame, *keep: str) -> DataFrame:
 def rendered_as_responses(rendered: DataFrame) -> DataFrame:
     """Rendered HTML as synthetic responses: status 200, HTML, no headers, final address = requested address."""
     return rendered.select(
-        *[c for c in ("page_id", "url", "tier", "rendered_url") if c in rendered.columns],
+        *[c for c in ("page_id", "url", "tier", "rendered_url", "elapsed_ms") if c in rendered.columns],
         F.lit(200).alias("status"),
         _no_headers().alias("headers"),
         F.col("html").cast("binary").alias("body"),

@@ -87,7 +87,7 @@ def test_prompts_and_fallback(spark):
 
 
 def rendered(spark, rows):
-    return spark.createDataFrame([(i, f"https://example.com/{i}", tier, url, html) for i, tier, url, html in rows], RENDERED_PAGES)
+    return spark.createDataFrame([(i, f"https://example.com/{i}", tier, url, html, 40 + i) for i, tier, url, html in rows], RENDERED_PAGES)
 
 
 FULL = "<title>rendered</title><p>" + "Text of the rendered page. " * 20
