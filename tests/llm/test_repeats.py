@@ -52,3 +52,19 @@ def test_every_window_is_judged(spark):
 
 def test_no_rows(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_smallest_parts_and_window_hashes():
+    import numpy as np
+
+    from gleanframe.llm import words as W
+    from gleanframe.llm.repeats import smallest
+
+    values = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64)
+    for width in (1, 2, 3, 27):
+        assert smallest(values, width).tolist() == [min(range(i, i + width), key=lambda k: (values[k], k)) for i in range(201 - width)]
+    words = W.mix(values % np.uint64(3))
+    for n, found in W.windows(words, [2, 9]).items():
+        seen = {}
+        assert all(seen.setdefault(tuple(words[i : i + n].tolist()), h) == h for i, h in enumerate(found.tolist()))
+        assert len(set(seen.values())) == len(seen)
