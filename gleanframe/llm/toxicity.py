@@ -3,9 +3,12 @@
 The lexicon is learned: words that stand in many different contexts (word before, word after) of rows
 labelled toxic and in few clean rows. Copies share contexts, so copied rows count once. A word of a text
 is looked up by running its Levenshtein automaton over the trie, which finds exact and misspelled terms
-at once. A hit is quoted if it lies between quotation marks of one line or after a word of saying in its
-window; quoted and open hits are counted apart, and the window with most open ones counts by itself.
-A logistic model over these counts gives the score.
+at once. A misspelled hit counts as FUZZY_WEIGHT of an exact one, in the window, the rate and the sum alike.
+A word that clean rows hold about as often as toxic ones is ordinary and no misspelling, and a term with
+several ordinary neighbours stands in a family of words and is met exactly only. A hit is quoted if it lies
+between quotation marks of one line or after a word of saying in its window; quoted and open hits are
+counted apart, and the window with most open ones counts by itself. A logistic model over these counts gives
+the score; its weights of open hits are never negative, so one more hit does not make a text cleaner.
 
 Lexicon and model are fitted on at most `sample` labelled rows, those with the smallest hash of the id;
 of these none whose crc32 of the id is divisible by HOLD_OUT. Everything else reads every row and whole
@@ -19,7 +22,8 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,6 +42,10 @@ MIN_RATIO = 8.0
 WINDOW = 8
 #: Shorter terms are met exactly only.
 FUZZY_LENGTH = 5
+#: What a misspelled hit counts, next to 1 for an exact one.
+FUZZY_WEIGHT = 0.8
+#: A term with this many ordinary neighbours is met exactly only.
+FAMILY = 2
 #: Words of saying, as they announce a quotation.
 SAYING = frozenset("said says wrote writes called calls quote quoted dit sagte dijo".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -101,16 +109,35 @@ class Trie:
         return frozenset(x for x in out if x[0] <= len(word))
 
 
+class Lexicon(NamedTuple):
+    """Terms, those of them that are met exactly only, and words near a term that are no misspellings."""
+
+    terms: list[str]
+    exact: frozenset[str] = frozenset()
+    ordinary: frozenset[str] = frozenset()
+
+
 class Reader:
     """Features of texts for one lexicon."""
 
-    NAMES = ("open", "quoted", "fuzzy", "rate", "window", "any")
+    #: The last one is a count for the result and has no weight of its own.
+    NAMES = ("open", "rate", "window", "any", "quoted", "fuzzy")
+    #: Features of open hits, whose weights are never negative.
+    RISING = 4
 
-    def __init__(self, terms: list[str]):
-        self.trie = Trie(terms)
+    def __init__(self, terms: list[str] | Lexicon):
+        lexicon = terms if isinstance(terms, Lexicon) else Lexicon(terms)
+        self.trie = Trie(lexicon.terms)
+        self.loose = Trie([t for t in lexicon.terms if t not in lexicon.exact]) if lexicon.exact else self.trie
+        self.ordinary = lexicon.ordinary
         self._seen: set[str] = set()
         self._found: dict[str, int] = {}  # words near a term, with their distance
 
+    def _distance(self, word: str) -> int | None:
+        if word in self.trie.terms:
+            return 0
+        return None if word in self.ordinary or not self.loose.find(word) else 1
+
     def near(self, words: set[str]) -> dict[str, int]:
         """Those of the words that are a term or near one."""
         if len(self._seen) >= _REMEMBERED:
@@ -118,8 +145,8 @@ class Reader:
         new = words - self._seen
         self._seen |= new
         for word in new:
-            if term := self.trie.find(word):
-                self._found[word] = term[1]
+            if (distance := self._distance(word)) is not None:
+                self._found[word] = distance
         return {w: self._found[w] for w in words & self._found.keys()}
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, int, int]]]:
@@ -139,21 +166,30 @@ class Reader:
                 out.append((k, terms[m[0]], int(inside or not SAYING.isdisjoint(words[max(0, k - WINDOW) : k]))))
         return len(words), out
 
-    def features(self, text: str) -> list[float]:
+    def counts(self, text: str) -> tuple[int, int, int, int, float]:
+        """Words; exact open, quoted and misspelled open hits; the weight of the window with most open ones."""
         n, hits = self.hits(text)
-        open_ = [k for k, distance, quoted in hits if not quoted and not distance]
-        fuzzy = sum(1 for _, distance, quoted in hits if distance and not quoted)
-        quoted = sum(q for *_, q in hits)
-        first = window = 0
-        for last, k in enumerate(open_):
-            while k - open_[first] > 2 * WINDOW:
+        open_ = [(k, FUZZY_WEIGHT if distance else 1.0) for k, distance, quoted in hits if not quoted]
+        exact = sum(1 for _, distance, quoted in hits if not quoted and not distance)
+        first, inside, window = 0, 0.0, 0.0
+        for k, weight in open_:
+            inside += weight
+            while k - open_[first][0] > 2 * WINDOW:
+                inside -= open_[first][1]
                 first += 1
-            window = max(window, last - first + 1)
+            window = max(window, inside)
+        return n, exact, sum(q for *_, q in hits), len(open_) - exact, window
+
+    @staticmethod
+    def weighed(n: int, exact: int, quoted: int, fuzzy: int, window: float) -> list[float]:
+        total = exact + FUZZY_WEIGHT * fuzzy
         return [
-            math.log1p(len(open_)), math.log1p(quoted), math.log1p(fuzzy),
-            math.log1p(100 * len(open_) / max(n, 1)), float(min(window, 4)), float(bool(open_)),
+            math.log1p(total), math.log1p(100 * total / max(n, 1)), min(window, 4.0), float(total > 0), math.log1p(quoted), float(fuzzy),
         ]
 
+    def features(self, text: str) -> list[float]:
+        return self.weighed(*self.counts(text))
+
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
     """Weights, the last one for the constant, by Newton steps."""
@@ -167,6 +203,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
     return w
 
 
+def rising_logistic(x: np.ndarray, y: np.ndarray, rising: int) -> np.ndarray:
+    """As logistic, but none of the first `rising` weights is negative: the lowest negative one becomes 0 and the rest is fitted again."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = logistic(x[:, used], y)
+        low = min((k for k in range(len(used)) if used[k] < rising), key=lambda k: w[k], default=None)
+        if low is None or w[low] >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*used, -1]] = w
+            return out
+        del used[low]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(True))
 
@@ -180,12 +229,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return saved(rows.join(F.broadcast(chosen), "_id").select("text", "toxic"))
 
 
-def learned_terms(rows: DataFrame) -> list[str]:
+def learned(rows: DataFrame) -> Lexicon:
     """The lexicon of labelled rows (text, toxic)."""
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return []
+        return Lexicon([])
 
     def contexts(batch: Iterator[tuple]) -> Iterator[tuple]:
         for (text,) in batch:
@@ -197,51 +246,64 @@ def learned_terms(rows: DataFrame) -> list[str]:
     found = found.select("word", F.xxhash64("context").alias("c")).distinct().groupBy("word").count().filter(F.col("count") >= least)
     frequent = frozenset(r.word for r in found.select("word").collect())  # no more than the sample's words over `least`
 
-    def held(batch: Iterator[tuple]) -> Iterator[tuple]:
-        counts: Counter = Counter()
-        for text, label in batch:
-            counts.update((w, label) for w in frequent.intersection(_WORD.findall(text.lower())))
-        for (word, label), n in counts.items():
-            yield word, label, n
+    def counted(wanted: Callable[[], Callable[[set[str]], Iterable[str]]]) -> dict[str, dict[int, int]]:
+        """Rows by label that hold each of the words that wanted() picks."""
+
+        def held(batch: Iterator[tuple]) -> Iterator[tuple]:
+            counts: Counter = Counter()
+            pick = wanted()
+            for text, label in batch:
+                counts.update((w, label) for w in pick(set(_WORD.findall(text.lower()))))
+            for (word, label), n in counts.items():
+                yield word, label, n
+
+        out: dict[str, dict[int, int]] = {}
+        for r in map_rows(rows.select("text", "toxic"), "word string, toxic int, n long", held).groupBy("word", "toxic").agg(F.sum("n").alias("n")).collect():
+            out.setdefault(r.word, {})[r.toxic] = r.n
+        return out
 
-    seen: dict[str, dict[int, int]] = {}
-    for r in map_rows(rows.select("text", "toxic"), "word string, toxic int, n long", held).groupBy("word", "toxic").agg(F.sum("n").alias("n")).collect():
-        seen.setdefault(r.word, {})[r.toxic] = r.n
     ratio = lambda c: ((c.get(1, 0) + 0.5) / toxic) / ((c.get(0, 0) + 0.5) / clean)
-    return sorted(w for w, c in seen.items() if ratio(c) >= MIN_RATIO)
+    terms = sorted(w for w, c in counted(lambda: frequent.intersection).items() if ratio(c) >= MIN_RATIO)
+    # Words near a term that clean rows hold, no more than the sample's words.
+    near = {w: c for w, c in counted(lambda: Reader(terms).near).items() if w not in set(terms) and c.get(0, 0)}
+    ordinary = frozenset(w for w, c in near.items() if ratio(c) < MIN_RATIO)
+    alone = [Trie([t]) for t in terms]
+    family = Counter(t for trie in alone for w in ordinary if trie.find(w) for t in trie.terms)
+    return Lexicon(terms, frozenset(t for t, n in family.items() if n >= FAMILY), ordinary)
 
 
 def trained(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
-) -> tuple[list[str], np.ndarray | None]:
+) -> tuple[Lexicon, np.ndarray | None]:
     """Lexicon and weights; no weights where the sample lacks a kind of rows."""
     rows = _labelled(docs, labels, id_col, text_col, label_col, sample)
-    terms = learned_terms(rows)
+    lexicon = learned(rows)
 
     def features(batch: Iterator[tuple]) -> Iterator[tuple]:
-        reader = Reader(terms)
+        reader = Reader(lexicon)
         for text, toxic in batch:
-            yield reader.features(text), toxic
+            yield reader.features(text)[:-1], toxic
 
     read = map_rows(rows.select("text", "toxic"), "x array<double>, y int", features).collect()  # the sample's rows
     read = sorted((tuple(r.x), r.y) for r in read)
     if len({y for _, y in read}) < 2:
-        return terms, None
-    return terms, logistic(np.array([x for x, _ in read]), np.array([y for _, y in read], dtype=float))
+        return lexicon, None
+    return lexicon, rising_logistic(np.array([x for x, _ in read]), np.array([y for _, y in read], dtype=float), Reader.RISING)
 
 
 def scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
 ) -> DataFrame:
     """Per row: id, held_out, score, predicted, n_open, n_quoted, n_fuzzy (hits by sort)."""
-    terms, weights = trained(docs, labels, id_col, text_col, label_col, sample)
+    lexicon, weights = trained(docs, labels, id_col, text_col, label_col, sample)
 
     def score(batch: Iterator[tuple]) -> Iterator[tuple]:
-        reader = Reader(terms)
+        reader = Reader(lexicon)
         for doc, out, text in batch:
-            x = reader.features(text or "")
+            n, exact, quoted, fuzzy, window = reader.counts(text or "")
+            x = reader.weighed(n, exact, quoted, fuzzy, window)[:-1]
             value = 0.0 if weights is None else float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(weights, [*x, 1.0])))))))
-            yield doc, out, value, int(value >= 0.5), *(round(math.expm1(v)) for v in x[:3])
+            yield doc, out, value, int(value >= 0.5), exact, quoted, fuzzy
 
     rows = docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)), F.col(text_col).cast("string"))
     return map_rows(rows, f"`{id_col}` long, held_out boolean, score double, predicted int, n_open long, n_quoted long, n_fuzzy long", score)

@@ -71,3 +71,31 @@ def test_no_rows_and_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.scores(docs, none).collect()] == [0.0]
     assert toxicity.scores(docs.limit(0), none).count() == 0
+
+
+def test_misspelled_terms_count(spark):
+    """Texts whose terms are all misspelled are toxic, the more so the more there are; ordinary words near a term are not."""
+    rng = random.Random(4)
+    rows = [(i, t or "", y) for i, t, y in made(5, 600)]
+    # "vermain" is an ordinary word of clean rows, within one edit of a term.
+    rows = [(i, f"{t} vermain" if not y and rng.random() < 0.3 else t, y) for i, t, y in rows]
+    filler = [" ".join(f"{rng.choice('abcdefg')}{rng.randint(0, 300)}" for _ in range(30)) for _ in range(20)]
+    planted = [f"{t} {bad}" for t in filler[:10] for bad in ("vermn", "lowlofe", "imbeciles")]
+    many = [" ".join([filler[0], *["vermn lowlofe"] * k]) for k in range(1, 6)]
+    ordinary = [f"{t} vermain" for t in filler[10:]]
+    texts = planted + many + ordinary
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t, _ in rows] + [(10_000 + k, t, "", 1) for k, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels).collect()}
+    judged = [got[10_000 + k] for k in range(len(texts))]
+    a, b = len(planted), len(planted) + len(many)
+    assert all(r.predicted == 1 and r.n_open == 0 and r.n_fuzzy == 1 for r in judged[:a])
+    rising = [r.score for r in judged[a:b]]
+    assert rising == sorted(rising) and all(r.predicted == 1 for r in judged[a:b])
+    assert not any(r.predicted or r.n_fuzzy for r in judged[b:])
+
+
+def test_weights_of_open_hits_never_fall():
+    x, y = toxicity.np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]] * 5), toxicity.np.array([1.0, 0.0, 0.0, 0.0] * 5)
+    assert toxicity.logistic(x, y)[1] < 0
+    assert toxicity.rising_logistic(x, y, 2)[1] == 0 < toxicity.rising_logistic(x, y, 2)[0]
