@@ -1,10 +1,13 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line; its words form a set. A template is found in a block that holds at least THRESHOLD
-of the template's set. The join orders tokens by how many blocks of the whole corpus hold them, rarest
+A block is a line, or a run of words over several lines that is at most 1 / THRESHOLD times as long as the
+template, as notices wrap; white space and comment marks are no words. The words of a block form a set. A
+template is found in a block that holds at least THRESHOLD of the template's set; over several lines as many
+words must also stand in the template's order, as a wrap keeps it and chance does not. The join orders tokens by how many blocks of the whole corpus hold them, rarest
 first. A block can only qualify if it holds one of a template's first m - ceil(THRESHOLD m) + 1 tokens
 (prefix filter), if enough of its words occur in templates at all (length filter), and if what follows
-the first common token on both sides suffices (positional filter). Candidates are counted exactly.
+the first common token on both sides suffices (positional filter). Candidates are counted exactly. Runs of
+every place are counted in one sweep over a text that passes the first two filters as a whole.
 
 Templates are a parameter of the operator and travel to the tasks; documents stay where they are.
 Two passes over the texts: frequencies, then the join. NULL counts as the empty text. Ids may be NULL
@@ -13,8 +16,10 @@ or repeated: each row is scanned. Other columns are not passed on.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -78,6 +83,8 @@ class Index:
     def __init__(self, templates: dict[str, str], frequencies: dict[bytes, int], threshold: float = THRESHOLD):
         self.order = {t: i for i, t in enumerate(sorted(tokens_of(templates), key=lambda t: (frequencies.get(t, 0), t)))}
         self.templates = []
+        self.sequences: list[list[bytes]] = []
+        self.lengths: list[int] = []  # words of the longest run that is searched
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
         for label, text in sorted(templates.items()):
             tokens = sorted(set(words(text)), key=self.order.__getitem__)
@@ -87,6 +94,8 @@ class Index:
             for place, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefixes.setdefault(token, []).append((len(self.templates), place))
             self.templates.append((label, frozenset(tokens), need))
+            self.sequences.append(words(text))
+            self.lengths.append(ceil(len(self.sequences[-1]) / threshold - 1e-9))
         self.rare = frozenset(self.prefixes)
 
     def matches(self, block: bytes) -> list[tuple[str, float]]:
@@ -110,6 +119,49 @@ class Index:
         return sorted(out)
 
 
+    def wrapped(self, found: list[bytes], starts: list[int]) -> list[tuple[int, int, str, float]]:
+        """(first line, last line, label, share) of runs over more than one line; starts has each line's first place in found."""
+        hits = [(place, token) for place, token in enumerate(found) if token in self.order]
+        held = {token for _, token in hits}
+        line = lambda place: bisect_right(starts, place) - 1
+        out = []
+        for number in sorted({n for token in held & self.rare for n, _ in self.prefixes[token]}):
+            label, tokens, need = self.templates[number]
+            if len(tokens & held) < need:
+                continue
+            last: dict[bytes, int] = {}  # last place of each token in the run, in order of places
+            best: tuple[int, int, int] | None = None  # tokens, first and last place of the best of runs that overlap
+            for place, token in hits:
+                if token not in tokens:
+                    continue
+                last.pop(token, None)
+                last[token] = place
+                while (first := next(iter(last.values()))) <= place - self.lengths[number]:
+                    del last[next(iter(last))]
+                if best and first > best[2]:
+                    out.append((line(best[1]), line(best[2]), label, best[0] / len(tokens)))
+                    best = None
+                if len(last) >= need and (best is None or len(last) > best[0]) and line(first) < line(place):
+                    run = found[max(0, place + 1 - self.lengths[number]) : place + 1]
+                    if in_order(self.sequences[number], run) >= need:
+                        best = len(last), first, place
+            if best:
+                out.append((line(best[1]), line(best[2]), label, best[0] / len(tokens)))
+        return out
+
+
+def in_order(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left_above = 0
+        for j, y in enumerate(b, 1):
+            above = row[j]
+            row[j] = left_above + 1 if x == y else max(above, row[j - 1])
+            left_above = above
+    return row[-1]
+
+
 def tokens_of(templates: dict[str, str]) -> set[bytes]:
     return {t for text in templates.values() for t in words(text)}
 
@@ -121,7 +173,8 @@ def license_scan(
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     score is the largest share of a found template, 1 where a phrase stands, else 0. blocks are the
-    found (line, label, share).
+    found (line, label, share); a run over several lines has its first line, and is left out where one of
+    its lines holds as much by itself.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = {" ".join(k.split()): v for k, v in (PHRASES if phrases is None else phrases).items()}
@@ -141,8 +194,20 @@ def license_scan(
                     base.add(label)
                     at = joined.find(needle, at + 1)
             if not index.rare.isdisjoint(found):
-                for line, block in enumerate(data.split(b"\n")):
+                lines = data.split(b"\n")
+                for line, block in enumerate(lines):
                     blocks += [(line, label, share) for label, share in index.matches(block)]
+                if len(lines) > 1:
+                    alone: dict[str, list[tuple[int, float]]] = {}
+                    for line, label, share in blocks:
+                        alone.setdefault(label, []).append((line, share))
+                    starts = [0, *accumulate(len(words(x)) for x in lines[:-1])]
+                    blocks += [
+                        (a, label, share)
+                        for a, b, label, share in index.wrapped(found, starts)
+                        if not any(a <= line <= b and held >= share for line, held in alone.get(label, ()))
+                    ]
+                    blocks.sort()
             labels = base.union(label for _, label, _ in blocks)
             score = 1.0 if base else max((share for *_, share in blocks), default=0.0)
             yield (

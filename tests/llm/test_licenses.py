@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
+import textwrap
 
 from gleanframe.llm import licenses
 
@@ -58,5 +60,57 @@ def test_scan(spark):
     assert got == sorted(expected)
 
 
+def test_wrapped_notices(spark):
+    cases = []
+    for label, text in licenses.TEMPLATES.items():
+        for width in (12, 40, 72):
+            for mark in ("", "# ", " * ", "// "):
+                body = textwrap.wrap(text, width, break_long_words=False)
+                cases.append((label, len(body), "\n".join(["Some file", "", *[mark + x for x in body], "", "x = 1"])))
+    docs = spark.createDataFrame([(i, t, "") for i, (*_, t) in enumerate(cases)], SCHEMA)
+    got = {r.doc_id: r for r in licenses.license_scan(docs, phrases={}).collect()}
+    for i, (label, n_lines, text) in enumerate(cases):
+        assert label in got[i].labels.split(",") and got[i].score == 1, text
+        assert n_lines == 1 or (2, label, 1.0) in [tuple(b) for b in got[i].blocks], text
+
+
+def common(template: str, run: list[bytes]) -> int:
+    """Longest common subsequence, from the back."""
+    words = [x.encode() for x in plain_words(template)]
+
+    @functools.cache
+    def best(i: int, j: int) -> int:
+        if i == len(words) or j == len(run):
+            return 0
+        return 1 + best(i + 1, j + 1) if words[i] == run[j] else max(best(i + 1, j), best(i, j + 1))
+
+    return best(0, 0)
+
+
+def test_runs_are_those_of_all_windows():
+    rng = random.Random(6)
+    index = licenses.Index(licenses.TEMPLATES, {})
+    for _ in range(150):
+        template = rng.choice(sorted(licenses.TEMPLATES.values())).split()
+        body = [w for w in template if rng.random() < 0.93]
+        for _ in range(rng.randint(0, 4)):
+            body.insert(rng.randint(0, len(body)), "other")
+        noise = lambda: [rng.choice(template + ["x", "y"]) for _ in range(rng.randint(0, 12))]
+        lines = [[w.encode().lower()] for w in noise() + body + noise()]
+        data = b"\n".join(b" ".join(x) for x in lines)
+        found = licenses.words(data)
+        starts = [0, *licenses.accumulate(len(licenses.words(x)) for x in data.split(b"\n")[:-1])]
+        best = {}
+        for _, _, label, share in index.wrapped(found, starts):
+            best[label] = max(share, best.get(label, 0))
+        expected = {}
+        for (label, tokens, need), length in zip(index.templates, index.lengths, strict=True):
+            windows = [found[k : k + length] for k in range(1 - length, len(found)) if k >= 0] + [found[:k] for k in range(length)]
+            held = [len(tokens & set(x)) for x in windows if len(tokens & set(x)) >= need and common(licenses.TEMPLATES[label], x) >= need]
+            if held:
+                expected[label] = max(held) / len(tokens)
+        assert best == expected
+
+
 def test_no_rows(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
