@@ -35,6 +35,12 @@ CHI2_MEDIAN = 4.351
 CUTOFF = 60.0
 #: Smallest standard deviation of each transformed statistic: what clean texts vary by, such as a line or two said twice.
 FLOORS = (0.05, 0.03, 0.3, 0.3, 0.04)
+#: Added to the shares of repeated lines and of repeated words, and to their rests, before the logit is taken.
+#: Next to a group without repeats and with the floor as scatter, either share alone passes the cutoff: lines
+#: from 0.6 on (squared distance 172 at 0.98), words from 0.35 on (142 at 0.5).
+SMOOTH = (0.15, 0.2)
+#: Largest share of repeated words that the base rules let pass.
+MAX_REPEATED = 0.5
 _P = len(FLOORS)
 _X = [f"x{j}" for j in range(_P)]
 
@@ -83,11 +89,16 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def transformed() -> list[Column]:
     """Statistics on scales where clean texts lie in one round cloud."""
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+
+    def logit(a: str, b: str, smooth: float, most: float = 1.0) -> Column:
+        part = F.least(F.col(a) / F.greatest(F.col(b), F.lit(1)) / most, F.lit(1.0))
+        return F.log((part + smooth) / (1 - part + smooth))
+
     return [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
         share("n_symbols", "word_chars"),
-        share("n_dup_lines", "n_lines"),
-        share("n_repeat_words", "n_words"),
+        logit("n_dup_lines", "n_lines", SMOOTH[0]),
+        logit("n_repeat_words", "n_words", SMOOTH[1], MAX_REPEATED),
         F.sqrt((F.col("n_marks") + F.greatest(F.col("n_upper") - 2 * F.col("n_lines"), F.lit(0)) / 4) / F.greatest(F.col("word_chars"), F.lit(1))),
     ]
 

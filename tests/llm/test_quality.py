@@ -66,6 +66,27 @@ def test_small_groups_pass_and_rows_repeat(spark, corpus):
     assert quality.clean(docs).columns == docs.columns and quality.clean(docs).count() == 3
 
 
+def test_an_outlier_in_each_statistic_is_rejected(spark, corpus):
+    texts, _, _ = corpus
+    rng = random.Random(8)
+    long_words = "\n".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(12)) + "." for _ in range(8))
+    head = prose(rng, 300)
+    repeated = prose(rng, 60).split()
+    planted = {
+        "long words": long_words,
+        "symbols": re.sub(r"(\w+)", r"\1###", prose(rng, 80)),
+        "repeated lines": head.replace("\n", " ") + "\nShare this" * 100,
+        "one line on and on": "\n".join([*head.split("\n"), *["ok"] * 80]),
+        "repeated words": " ".join([*prose(rng, 220).split(), *repeated, *repeated]).replace("\n", " "),
+        "marks": re.sub(r"(\w+)", r"\1!!", prose(rng, 80)),
+    }
+    rows = [(i, t, "en", "s", "x", "y") for i, t in enumerate([*texts, *planted.values()])]
+    out = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, SCHEMA), min_rows=30).collect()}
+    assert all(out[i].kept for i in range(len(texts)))
+    for i, name in enumerate(planted, len(texts)):
+        assert not out[i].base_failed and not out[i].kept, (name, out[i])
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.judged(empty).count() == 0 and quality.clean(empty).count() == 0
