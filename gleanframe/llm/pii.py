@@ -22,6 +22,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,6 @@ SAMPLE = 300
 EPOCHS = 4
 #: Longest entity, in tokens.
 MAX_TOKENS = 16
-#: Tokens of an island that are solved at a time; longer islands are cut at chunks, as no entity is longer.
-WINDOW = 256
 
 
 def luhn(digits: str) -> bool:
@@ -148,18 +147,21 @@ class Field:
         self.weights = weights or {}
 
     def _segments(self, tokens: list[str]) -> list[list[tuple[int, list[str]]]]:
-        """For each end the possible starts of entities with their features."""
-        ends: list[list[tuple[int, list[str]]]] = [[] for _ in range(len(tokens) + 1)]
+        return list(self._ends(tokens))
+
+    def _ends(self, tokens: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+        """For each end, from 0 on, the possible starts of entities with their features."""
+        yield []
         for j in range(1, len(tokens) + 1):
-            if tokens[j - 1].isspace():
-                continue
-            digit = mail = letter = False
-            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-                digit, mail, letter = digit or tokens[i].isdigit(), mail or tokens[i] == "@", letter or tokens[i].isalpha()
-                # Letters without an at sign are none of the kinds.
-                if (mail or digit and not letter) and not tokens[i].isspace():
-                    ends[j].append((i, features(tokens, i, j)))
-        return ends
+            starts: list[tuple[int, list[str]]] = []
+            if not tokens[j - 1].isspace():
+                digit = mail = letter = False
+                for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+                    digit, mail, letter = digit or tokens[i].isdigit(), mail or tokens[i] == "@", letter or tokens[i].isalpha()
+                    # Letters without an at sign are none of the kinds.
+                    if (mail or digit and not letter) and not tokens[i].isspace():
+                        starts.append((i, features(tokens, i, j)))
+            yield starts
 
     def _score(self, found: list[str], kind: str) -> float:
         return sum(self.weights.get((f, kind), 0.0) for f in found)
@@ -167,23 +169,13 @@ class Field:
     def best(self, text: str) -> list[tuple[str, int, int]]:
         """The best segmentation's entities, as places in text."""
         tokens = _TOKEN.findall(text)
-        out, first, at = [], 0, 0
-        while first < len(tokens):
-            last = min(len(tokens), first + WINDOW)
-            if last < len(tokens):  # cut at white space, if the window has any beyond its middle
-                last = next((k for k in range(last, first + WINDOW // 2, -1) if tokens[k].isspace()), last)
-            part = tokens[first:last]
-            places = [at]
-            for t in part:
-                places.append(places[-1] + len(t))
-            out += [(kind, places[i], places[j]) for kind, i, j in self._decode(part)]
-            first, at = last, places[-1]
-        return out
+        places = [0, *accumulate(map(len, tokens))]
+        return [(kind, places[i], places[j]) for kind, i, j in self._decode(tokens)]
 
     def _decode(self, tokens: list[str]) -> list[tuple[str, int, int]]:
         best = [0.0] * (len(tokens) + 1)
         back: list[tuple[int, str | None]] = [(0, None)] * (len(tokens) + 1)
-        for j, starts in enumerate(self._segments(tokens)):
+        for j, starts in enumerate(self._ends(tokens)):
             if not j:
                 continue
             best[j], back[j] = best[j - 1], (j - 1, None)
@@ -204,7 +196,7 @@ class Field:
         """Gradient steps on the log-likelihood of the given entities, one example at a time, in a fixed order."""
         prepared = []
         for text, spans in examples:
-            tokens = _TOKEN.findall(text)[:WINDOW]
+            tokens = _TOKEN.findall(text)
             starts, at = {0: 0}, 0
             for k, token in enumerate(tokens, 1):
                 at += len(token)

@@ -75,6 +75,20 @@ def test_field_finds_what_patterns_miss(spark):
         assert set(base) <= set(both) and len(both) == len(base) == 1
 
 
+def test_long_islands_are_solved_whole():
+    # Phones of six tokens, one space apart: an island far beyond 256 tokens with no place where all parts begin anew.
+    field = pii.Field({("groups 3-3-4 True", "phone"): 5.0, ("groups 3-3-4 False", "phone"): -5.0})
+    for n in (3, 100, 1_000):
+        for lead in ("", "7 ", "7 7 7 "):
+            text = lead + " ".join(["(269) 555 3296"] * n)
+            assert [x for _, x in pii.islands(text)] == [text]
+            expected = [("phone", len(lead) + 15 * k, len(lead) + 15 * k + 14) for k in range(n)]
+            assert field.best(text) == expected
+    # Without any white space the cut fell within an entity.
+    mails = "(269)555-3296" * 200
+    assert field.best(mails) == [("phone", 13 * k, 13 * k + 13) for k in range(200)]
+
+
 def test_gradient_is_that_of_the_likelihood():
     field = pii.Field({("digits 2", "ip"): 0.3, ("tokens 1", "card"): -0.2})
     tokens = pii._TOKEN.findall("12 x@y 3")
