@@ -1,11 +1,14 @@
 """Documents whose shingle sets overlap: exact links at a Jaccard threshold, and the components they form.
 
 Equal sets are one class; only class representatives are compared. Two sets of sizes s <= t that link
-differ in at most d = (s + t) * (1 - j) / (1 + j) shingles. Shingles are dealt into d + SPARE parts by hash
-(the number follows from a band of sizes; sets near a band's upper end are dealt for the next band
-too), so linked sets agree in SPARE parts at least, and in one that is not empty unless more than
-SPARE - 1 parts of a set are empty; such a set uses its empty parts as well. Sets that agree in a part
-are chained over the smallest row of the part, never paired, and the chains' components are groups
+differ in at most d = (s + t) * (1 - j) / (1 + j) shingles, j being 0.6 or more. Shingles are dealt by hash into k parts, k well
+above d, where k follows from a band of sizes (sets near a band's upper end are dealt for the next band
+too). So linked sets agree in k - d parts at least. Empty parts say nothing and are never keys. A set with e
+of them leaves out its k - d - 1 - e most frequent other keys as well, frequent over the whole table: of the keys
+that two linked sets share the rarest one always stays. A set with more empty parts than that keeps all its
+keys and is dealt anew with other hashes, until a deal leaves it few enough; of two linked sets, the one that
+stops first stops at a deal that the other one has too. Sets that agree in a
+key are chained over the smallest row of the key, never paired, and the chains' components are groups
 that no link leaves.
 
 Inside a group links are found by T-occurrence search with inverted lists: a query of n shingles needs
@@ -25,24 +28,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .common import BitFilter, join_hot, saved
 
 WIDTH = 3
-#: Smallest similarity in hundredths.
+#: Smallest similarity in hundredths, and the least one that the keys can serve.
 PERCENT = 90
-#: Parts beyond the largest difference.
+LEAST_PERCENT = 60
+#: Parts beyond the largest difference, besides twice the empty parts to be expected.
 SPARE = 4
 #: A band of sizes ends at this multiple of its start.
 BAND = 1.25
 #: Shingles of one chunk of a group; a task holds two chunks.
 BUDGET = 2_000_000
+_ALL = (1 << 64) - 1
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -71,25 +77,42 @@ def bands(size: int, percent: int) -> list[int]:
     return out
 
 
-def parts(size_limit: int, percent: int) -> int:
-    """Parts for sets of at most this size: the largest difference of two linked ones, and SPARE."""
-    return 2 * size_limit * (100 - percent) // (100 + percent) + SPARE
+def differences(size: int, size_limit: int, percent: int) -> int:
+    """The largest difference of a set of this size and a linked one of at most `size_limit`."""
+    return (size + min(size_limit, size * 100 // percent)) * (100 - percent) // (100 + percent)
 
 
-def signatures(held: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of (band, part, shingles in the part)."""
-    out = []
+@cache
+def parts(band: int, percent: int) -> int:
+    """Parts for the sets of a band: more than the largest difference, by SPARE and twice the parts that its smallest sets leave empty."""
+    most = differences(upper(band), upper(band), percent)
+    smallest = max(1, upper(band - 1) * percent // 100) if band else 1
+    k = most + SPARE
+    for _ in range(4):
+        k = most + SPARE + math.ceil(2 * k * math.exp(-smallest / k))
+    return k
+
+
+def signatures(held: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (deal, band, part, shingles in the part), and for each a tag: 64 times the number of the set's
+    keys in that deal and band that may be left out, plus a number of the deal and band."""
+    out, tags = [], []
     with np.errstate(over="ignore"):
         mixed = W.mix(held)
         for band in bands(len(held), percent):
-            k = parts(upper(band), percent)
-            at = (W.mix(held ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(k)).astype(np.int64)
-            sums = np.zeros(k, dtype=np.uint64)
-            np.add.at(sums, at, mixed)
-            counts = np.bincount(at, minlength=k)
-            used = np.flatnonzero(counts) if (counts == 0).sum() < SPARE else np.arange(k)
-            out.append(W.join(W.mix(np.full(len(used), band + 1, np.uint64)), used.astype(np.uint64), sums[used], counts[used].astype(np.uint64)))
-    return np.concatenate(out)
+            k, most = parts(band, percent), differences(len(held), upper(band), percent)
+            deal, spare = 0, -1
+            while spare < 0:
+                at = (W.mix(held ^ np.uint64(0x5851F42D4C957F2D * (deal + 1) & _ALL)) % np.uint64(k)).astype(np.int64)
+                order = np.argsort(at)
+                at = at[order]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                used, sums, counts = at[first], np.add.reduceat(mixed[order], first), np.diff(np.append(first, len(at)))
+                spare = k - most - 1 - (k - len(used))
+                out.append(W.join(W.mix(np.full(len(used), band + 1 + (deal << 20), np.uint64)), used.astype(np.uint64), sums, counts.astype(np.uint64)))
+                tags.append(np.full(len(used), 64 * max(0, spare) + len(tags) % 64))
+                deal += 1
+    return np.concatenate(out), np.concatenate(tags)
 
 
 def _sums(held: np.ndarray) -> tuple[int, int]:
@@ -106,7 +129,7 @@ def _mark(a: int, b: int, doc: int | None) -> int:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Per row: row, doc_id, sign (hash of the text), n, a, b (sums of the set), mark, and its signatures."""
+    """Per row: row, doc_id, sign (hash of the text), n, a, b (sums of the set), mark, and its signatures with their tags."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +137,18 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
             for doc, text in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 held = shingles(text.as_py(), width)
                 a, b = _sums(held)
-                out.append((len(held), a, b, _mark(a, b, doc), signatures(held, percent).view(np.int64) if len(held) else []))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+                sigs, tags = signatures(held, percent) if len(held) else ([], [])
+                out.append((len(held), a, b, _mark(a, b, doc), np.asarray(sigs, np.uint64).view(np.int64), np.asarray(tags, np.int32)))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
-                ["row", "doc_id", "sign", "n", "a", "b", "mark", "sigs"],
+                ["row", "doc_id", "sign", "n", "a", "b", "mark", "sigs", "tags"],
             )
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sign"), text.alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, sign long, n long, a long, b long, mark long, sigs array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, sign long, n long, a long, b long, mark long, sigs array<long>, tags array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,6 +283,8 @@ def _links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, budget: int) -> DataFrame:
     """Per row: row, doc_id, sign, n, component_id, first."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"a similarity between {LEAST_PERCENT} and 100 hundredths is needed: {percent}")
     rows = saved(_described(docs, id_col, text_col, width, percent))
     sets = rows.filter("n > 0")
     same = ["a", "b", "n"]
@@ -266,7 +292,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         F.min("row").alias("node"), F.min("mark").alias("mark"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
     classes = saved(classes)
-    postings = sets.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", F.explode("sigs").alias("sig"))
+    keys = F.explode(F.arrays_zip("sigs", "tags")).alias("key")
+    postings = sets.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", keys).select("row", F.col("key.sigs").alias("sig"), F.col("key.tags").alias("tag"))
     shared = postings.groupBy("sig").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("members"))
     shared = saved(shared.filter("members > 1"))
     some = BitFilter(shared, "sig")
@@ -275,8 +302,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         for batch in batches:
             yield batch.filter(pa.array(some.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    near = postings.mapInArrow(may, "row long, sig long")
-    reach = components(join_hot(near, shared, "sig", "members").select(F.col("row").alias("x"), F.col("hub").alias("y")))
+    near = join_hot(postings.mapInArrow(may, "row long, sig long, tag int"), shared, "sig", "members")
+    # Keys that other sets lack are the rarest ones and are not here: what may go is the most frequent of the others.
+    common = Window.partitionBy("row", "tag").orderBy(F.col("members").desc(), "sig")
+    near = near.withColumn("k", F.row_number().over(common)).filter(F.col("k") > F.floor(F.col("tag") / 64))
+    reach = components(near.select(F.col("row").alias("x"), F.col("hub").alias("y")))
     groups = saved(reach.join(classes, "node").select("node", "root", "n", "a", "b", "mark"))
     found = components(saved(_links(docs, groups, id_col, text_col, width, percent, budget)))
     named = saved(classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))

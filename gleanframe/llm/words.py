@@ -15,6 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
+_STEP = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
@@ -62,11 +63,24 @@ def spans(data: np.ndarray, table: np.ndarray = SPACE) -> tuple[np.ndarray, np.n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per word: differences of prefix sums of a polynomial in the bytes."""
-    powers, inverses = _tables(len(data) + 1)
+    """One 64-bit hash per word: the sum over its bytes of a scrambled value of byte and place in the word.
+
+    A polynomial in the bytes would not do: modulo 2**64 there are unlike words that agree for any base.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    steps = np.ones(len(data), dtype=np.int64)
+    steps[starts] = 1 - np.diff(starts, prepend=starts[0])
+    steps[starts[0]] = -starts[0]
+    values = np.cumsum(steps, out=steps).view(np.uint64)  # place in the word, from 0
+    values *= np.uint64(_STEP)
+    values += _BYTES[data]
+    values ^= values >> np.uint64(32)
+    values *= np.uint64(0xD6E8FEB86659FD93)
+    values ^= values >> np.uint64(29)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values, out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
 
 
 def windows(words: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:

@@ -79,3 +79,50 @@ def test_search_and_groups_without_links():
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.jaccard_components(empty).count() == 0 and jaccard.without_near_copies(empty).count() == 0
+
+
+def test_no_linked_sets_miss_each_other():
+    """Of the keys that two linked sets share, one stays on both sides whatever the frequencies are."""
+    rng = np.random.default_rng(7)
+    for percent in (60, 80, 90):
+        for size in (2, 3, 5, 9, 20, 60, 150, 700):
+            for _ in range(12):
+                pool = np.unique(rng.integers(0, 2**62, size + 400).astype(np.uint64))
+                a = pool[:size]
+                out = max(0, size - -(-percent * size // 100))
+                b = np.sort(np.concatenate([a[out:], pool[size : size + int(rng.integers(0, 3))]]))
+                if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+                    b = a[out:] if len(a) > out else a
+                frequency: dict = {}
+                kept = []
+                for held in (a, b):
+                    sigs, tags = jaccard.signatures(held, percent)
+                    stays = set()
+                    for tag in set(tags.tolist()):
+                        keys = sigs[tags == tag].tolist()
+                        for key in keys:
+                            frequency.setdefault(key, int(rng.integers(1, 50)))
+                        keys.sort(key=lambda x: (-frequency[x], x))
+                        stays |= set(keys[tag // 64 :])
+                    kept.append(stays)
+                assert kept[0] & kept[1]
+
+
+def test_keys_hold_shingles():
+    """Unlike sets of a thousand shingles share no key at 0.8, and most keys of one set are not left out."""
+    rng = np.random.default_rng(9)
+    seen: set = set()
+    for _ in range(60):
+        sigs, tags = jaccard.signatures(np.unique(rng.integers(0, 2**62, 1_000).astype(np.uint64)), 80)
+        assert not seen & set(sigs.tolist()) and (tags // 64).max() < 0.3 * len(sigs)
+        seen |= set(sigs.tolist())
+
+
+def test_unlike_words_of_one_polynomial(spark):
+    """Words that agree in any polynomial modulo 2**64 are still unlike."""
+    word = "a"
+    while len(word) < 1_024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y", "", 0), (2, word.translate(str.maketrans("ab", "ba")) + " x y", "", 0)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.component_id for r in got) == [1, 2]
