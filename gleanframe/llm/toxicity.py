@@ -1,7 +1,8 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and scores of context windows.
 
 The lexicon is learned: words that stand in many different contexts (word before, word after) of rows
-labelled toxic and in few clean rows. Copies share contexts, so copied rows count once. A word of a text
+labelled toxic and in few clean rows, in so few that chance does not explain it, given how many words were
+tried. Copies share contexts, so copied rows count once. A word of a text
 is looked up by running its Levenshtein automaton over the trie, which finds exact and misspelled terms
 at once. A misspelled hit counts as FUZZY_WEIGHT of an exact one, in the window, the rate and the sum alike.
 A word that clean rows hold about as often as toxic ones is ordinary and no misspelling, and a term with
@@ -38,6 +39,8 @@ MIN_CONTEXTS = 5
 MIN_SHARE = 0.01
 #: A term's rate in toxic rows is at least this many times its rate in clean ones.
 MIN_RATIO = 8.0
+#: Chance, over all words tried, that one of them passes without being more frequent in toxic rows.
+CHANCE = 0.05
 #: Words on each side of a hit.
 WINDOW = 8
 #: Shorter terms are met exactly only.
@@ -229,6 +232,22 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return saved(rows.join(F.broadcast(chosen), "_id").select("text", "toxic"))
 
 
+def evidence(in_toxic: int, in_clean: int, toxic: int, clean: int) -> float:
+    """Minus the logarithm of the chance that so many or more of the rows that hold a word are toxic ones (binomial tail)."""
+    n, q = in_toxic + in_clean, toxic / (toxic + clean)
+    if in_toxic <= n * q:
+        return 0.0
+    # Beyond the mean the terms fall, by a ratio that falls too.
+    term = math.lgamma(n + 1) - math.lgamma(in_toxic + 1) - math.lgamma(in_clean + 1) + in_toxic * math.log(q) + in_clean * math.log(1 - q)
+    total, part = 1.0, 1.0
+    for k in range(in_toxic, n):
+        part *= (n - k) / (k + 1) * q / (1 - q)
+        total += part
+        if part < 1e-12:
+            break
+    return -(term + math.log(total))
+
+
 def learned(rows: DataFrame) -> Lexicon:
     """The lexicon of labelled rows (text, toxic)."""
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -263,7 +282,9 @@ def learned(rows: DataFrame) -> Lexicon:
         return out
 
     ratio = lambda c: ((c.get(1, 0) + 0.5) / toxic) / ((c.get(0, 0) + 0.5) / clean)
-    terms = sorted(w for w, c in counted(lambda: frequent.intersection).items() if ratio(c) >= MIN_RATIO)
+    tried = counted(lambda: frequent.intersection)
+    least_evidence = math.log(max(1, len(tried)) / CHANCE)
+    terms = sorted(w for w, c in tried.items() if ratio(c) >= MIN_RATIO and evidence(c.get(1, 0), c.get(0, 0), toxic, clean) >= least_evidence)
     # Words near a term that clean rows hold, no more than the sample's words.
     near = {w: c for w, c in counted(lambda: Reader(terms).near).items() if w not in set(terms) and c.get(0, 0)}
     ordinary = frozenset(w for w, c in near.items() if ratio(c) < MIN_RATIO)

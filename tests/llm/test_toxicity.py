@@ -99,3 +99,17 @@ def test_weights_of_open_hits_never_fall():
     x, y = toxicity.np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]] * 5), toxicity.np.array([1.0, 0.0, 0.0, 0.0] * 5)
     assert toxicity.logistic(x, y)[1] < 0
     assert toxicity.rising_logistic(x, y, 2)[1] == 0 < toxicity.rising_logistic(x, y, 2)[0]
+
+
+def test_evidence_is_a_binomial_tail():
+    import math
+
+    for n, k, toxic, clean in ((5, 5, 1, 9), (40, 12, 3, 17), (300, 90, 1, 4), (7, 1, 1, 1)):
+        q = toxic / (toxic + clean)
+        tail = sum(math.comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(k, n + 1))
+        assert math.isclose(toxicity.evidence(k, n - k, toxic, clean), -math.log(tail) if k > n * q else 0.0, rel_tol=1e-6)
+
+
+def test_chance_words_are_no_terms(spark):
+    rows = spark.createDataFrame([(t or "", y) for _, t, y in made(3, 500)], "text string, toxic int")
+    assert toxicity.learned(rows).terms == ["imbecile", "lowlife", "vermin"]
