@@ -44,10 +44,11 @@ GLOBAL_NAMES = (
     "__SERVER_DATA__",
     "__STORE__",
 )
-GLOBAL_PATTERN = r"window\.{name}[\t\n\f\r ]*=[\t\n\f\r ]*(\{{[\s\S]*?\}})[\t\n\f\r ]*;"
-INLINE_VAR_PATTERN = (
-    r"(?:var|const|let)[\t\n\f\r ]+([A-Z_][A-Z0-9_]*)[\t\n\f\r ]*=[\t\n\f\r ]*(\{[\s\S]*?\})[\t\n\f\r ]*;"
-)
+GLOBAL_MARK = "window.__"
+# A declaration, and the end of an object: what lies between a declaration and the first end after it is the object.
+GLOBAL_PATTERN = r"window\.{name}[\t\n\f\r ]*=[\t\n\f\r ]*(\{{[\s\S]*)"
+INLINE_VAR_PATTERN = r"(?:var|const|let)[\t\n\f\r ]+[A-Z_][A-Z0-9_]*[\t\n\f\r ]*=[\t\n\f\r ]*(\{[\s\S]*)"
+OBJECT_END_PATTERN = r"\}[\t\n\f\r ]*;"
 
 # Names and selectors the extractors ask for.
 META_NAMES = ("description", "author", "keywords", "robots")

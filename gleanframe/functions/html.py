@@ -1,7 +1,7 @@
 """HTML bytes to pruned node rows: the only per-page Python in the package.
 
 Each page is parsed once (``htmltree``). Only nodes that one of the wanted selectors matches leave the
-worker, and subtree text only for those that ask for it. Everything after that is Catalyst expressions.
+worker, and the text that they ask for once, however deeply they nest. Everything after that is Catalyst expressions.
 
 Both modules are pickled by value, so executors need pyarrow but no installed copy of this package.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import WHITE_SPACE
 from . import htmltree
-from .htmltree import BLOCKS_CLOSING_P, parse_tree
+from .htmltree import BLOCKS_CLOSING_P, ParseError, parse_tree
 from .selectors import compile_selector
 
 for _module in (sys.modules[__name__], htmltree):
@@ -26,9 +26,11 @@ for _module in (sys.modules[__name__], htmltree):
 
 NODE = (
     "struct<idx:int,parent:int,end:int,tag:string,attrs:array<struct<k:string,v:string>>,"
-    "text:string,n_children:int>"
+    "start:int,stop:int,n_children:int>"
 )
-DOC = f"struct<body_text_bytes:int,nodes:array<{NODE}>>"
+# Why a page could not be parsed, bytes of its body text, the text that nodes ask for (each byte once, as it came),
+# places in nodes of what each selector matches, and the nodes. A node's text is the bytes from start up to stop.
+DOC = f"struct<error:string,body_text_bytes:int,text:binary,found:map<string,array<int>>,nodes:array<{NODE}>>"
 BLOCKS = "array<struct<tag:string,boilerplate:boolean,text:string,link_chars:int>>"
 
 # How much text a selector wants from the nodes it matches.
@@ -54,72 +56,108 @@ def _passes(tests, attrs):
 def _index(wanted):
     """Compounds of the wanted selectors by tag, or by the first attribute they need."""
     by_tag, by_attr = {}, {}
-    for tag, tests, mode in wanted:
+    for tag, tests, selector in wanted:
         if tag is not None:
-            by_tag.setdefault(tag, []).append((tests, mode))
+            by_tag.setdefault(tag, []).append((tests, selector))
         else:
             names = [t[0] for t in tests if t[1] != "absent"]
             if not names:
                 raise ValueError("a selector needs a tag, or an attribute that is there")
-            by_attr.setdefault(names[0], []).append((tests, mode))
+            by_attr.setdefault(names[0], []).append((tests, selector))
     return by_tag, by_attr
 
 
-def _text_mode(node, by_tag, by_attr):
-    """Text wanted from a node, or -1 when no selector matches it."""
-    mode = -1
+def _matches(node, by_tag, by_attr):
+    """Selectors that match the node."""
     attrs = node.attrs
-    for tests, wanted in by_tag.get(node.tag, ()):
-        if wanted > mode and _passes(tests, attrs):
-            mode = wanted
+    hits = {selector for tests, selector in by_tag.get(node.tag, ()) if _passes(tests, attrs)}
     for name, _ in attrs:
-        for tests, wanted in by_attr.get(name, ()):
-            if wanted > mode and _passes(tests, attrs):
-                mode = wanted
-    return mode
+        hits.update(selector for tests, selector in by_attr.get(name, ()) if _passes(tests, attrs))
+    return hits
+
+
+def _decoded(body):
+    """Text of a page and whether it is clean; bytes that are not UTF-8 stay as they are, each as one mark of its own."""
+    try:
+        return body.decode("utf-8"), True
+    except UnicodeDecodeError:
+        return body.decode("utf-8", "surrogateescape"), False
+
+
+def _bytes(text):
+    return text.encode("utf-8", "surrogateescape")
+
+
+def _shown(text):
+    """Text in which bytes that are not UTF-8 become replacement marks."""
+    return _bytes(text).decode("utf-8", "replace")
 
 
 def _pages(bodies, read):
-    """Results of read per page; NULL for NULL pages and for pages that cannot be parsed."""
+    """Results of read per page as (error, result); None for NULL pages."""
     for body in bodies:
         body = body.as_py()
-        try:
-            yield None if body is None else read(parse_tree(body.decode("utf-8", "replace")))
-        except ValueError:
+        if body is None:
             yield None
+            continue
+        text, clean = _decoded(body)
+        try:
+            yield None, read(parse_tree(text), clean)
+        except ParseError as e:
+            yield str(e), None
 
 
-# Wanted nodes that nest can repeat a page's text. Beyond this many copies the page is a parse error, which
-# keeps an Arrow batch of bounded input below the two gigabytes its offsets can address.
-MAX_TEXT_COPIES = 50
-
-
-def _read_nodes(tree, by_tag, by_attr):
+def _read_nodes(tree, clean, by_tag, by_attr, modes):
+    """(text bytes of the body, text that nodes ask for, places by selector, node rows)."""
     body = tree.nodes[tree.body]
-    text_bytes = len("".join(tree.parts[body.start : body.stop]).strip(WHITE_SPACE).encode())
-    rows = []
-    allowance = MAX_TEXT_COPIES * sum(map(len, tree.parts))
+    text_bytes = len(_bytes("".join(tree.parts[body.start : body.stop]).strip(WHITE_SPACE)))
+    found, rows, asking = {}, [], []
     for idx, node in enumerate(tree.nodes):
-        mode = _text_mode(node, by_tag, by_attr)
-        if mode >= 0:
-            wants_text = mode == FULL_TEXT or (mode == LEAF_TEXT and not node.children)
-            text = "".join(tree.parts[node.start : node.stop]) if wants_text else None
-            allowance -= len(text) if text else 0
-            if allowance < 0:
-                raise ValueError("nested nodes repeat the text too often")
-            rows.append((idx, node.parent, node.end, node.tag, node.attrs, text, node.children))
-    return text_bytes, rows
+        hits = _matches(node, by_tag, by_attr)
+        if hits:
+            for selector in hits:
+                found.setdefault(selector, []).append(len(rows))
+            mode = max(modes[selector] for selector in hits)
+            if mode == FULL_TEXT or (mode == LEAF_TEXT and not node.children):
+                asking.append(len(rows))
+            attrs = node.attrs if clean else [(_shown(k), _shown(v)) for k, v in node.attrs]
+            rows.append([idx, node.parent, node.end, node.tag if clean else _shown(node.tag), attrs, node.start, node.stop, node.children])
+    # Ranges of the text parts that are asked for, each part once, and where each part lies in what is kept.
+    kept, at, size, upto = [], {}, 0, 0
+    for k in asking:
+        start, stop = rows[k][5:7]
+        for part in range(max(start, upto), stop):
+            at[part] = size
+            kept.append(_bytes(tree.parts[part]))
+            size += len(kept[-1])
+            at[part + 1] = size
+        upto = max(upto, stop)
+    wanted = set(asking)
+    for k, row in enumerate(rows):
+        start, stop = row[5:7]
+        row[5:7] = (None, None) if k not in wanted else (at[start], at[stop]) if start < stop else (0, 0)
+    return text_bytes, b"".join(kept), found, rows
 
 
 def _docs_array(docs, doc_type):
     """Arrow array of documents, assembled column by column."""
-    valid, text_bytes, node_offsets, attr_offsets = [], [], [0], [0]
-    columns, keys, values = [[] for _ in range(6)], [], []
+    missing, errors, text_bytes, texts = [], [], [], []
+    node_offsets, attr_offsets, found_offsets, place_offsets = [0], [0], [0], [0]
+    columns, keys, values, selectors, places = [[] for _ in range(7)], [], [], [], []
     for doc in docs:
-        valid.append(doc is not None)
-        text_bytes.append(doc[0] if doc else None)
-        for idx, parent, end, tag, attrs, text, children in doc[1] if doc else ():
-            for column, value in zip(columns, (idx, parent, end, tag, text, children)):
+        missing.append(doc is None)
+        error, result = doc or (None, None)
+        errors.append(error)
+        size, text, found, rows = result or (None, None, {}, ())
+        text_bytes.append(size)
+        texts.append(text)
+        for selector, hits in found.items():
+            selectors.append(selector)
+            places.extend(hits)
+            place_offsets.append(len(places))
+        found_offsets.append(len(selectors))
+        for idx, parent, end, tag, attrs, start, stop, children in rows:
+            for column, value in zip(columns, (idx, parent, end, tag, start, stop, children)):
                 column.append(value)
             keys.extend(k for k, _ in attrs)
             values.extend(v for _, v in attrs)
@@ -128,23 +166,26 @@ def _docs_array(docs, doc_type):
     node_type = doc_type.field("nodes").type.value_type
     attr_type = node_type.field("attrs").type.value_type
     pairs = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], fields=list(attr_type))
-    idx, parent, end, tag, text, children = columns
-    ints = [pa.array(c, pa.int32()) for c in (idx, parent, end, children)]
+    idx, parent, end, tag, start, stop, children = columns
+    ints = [pa.array(c, pa.int32()) for c in (idx, parent, end, start, stop, children)]
     nodes = pa.StructArray.from_arrays(
         [
             *ints[:3],
             pa.array(tag, pa.string()),
             pa.ListArray.from_arrays(pa.array(attr_offsets, pa.int32()), pairs, type=node_type.field("attrs").type),
-            pa.array(text, pa.string()),
-            ints[3],
+            *ints[3:],
         ],
         fields=list(node_type),
     )
-    lists = pa.ListArray.from_arrays(pa.array(node_offsets, pa.int32()), nodes, type=doc_type.field("nodes").type)
+    unread = pa.array([t is None for t in texts], pa.bool_())
+    offsets = pa.array(node_offsets, pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, nodes, type=doc_type.field("nodes").type, mask=unread)
+    hits = pa.ListArray.from_arrays(pa.array(place_offsets, pa.int32()), pa.array(places, pa.int32()))
+    found = pa.MapArray.from_arrays(pa.array(found_offsets, pa.int32()), pa.array(selectors, pa.string()), hits)
     return pa.StructArray.from_arrays(
-        [pa.array(text_bytes, pa.int32()), lists],
+        [pa.array(errors, pa.string()), pa.array(text_bytes, pa.int32()), pa.array(texts, pa.binary()), found.cast(doc_type.field("found").type), lists],
         fields=list(doc_type),
-        mask=pa.array([not v for v in valid], pa.bool_()),
+        mask=pa.array(missing, pa.bool_()),
     )
 
 
@@ -156,34 +197,53 @@ _NODE_TYPE = pa.struct(
         ("end", pa.int32()),
         ("tag", pa.string()),
         ("attrs", pa.list_(_ATTR_TYPE)),
-        ("text", pa.string()),
+        ("start", pa.int32()),
+        ("stop", pa.int32()),
         ("n_children", pa.int32()),
     ]
 )
-_DOC_TYPE = pa.struct([("body_text_bytes", pa.int32()), ("nodes", pa.list_(_NODE_TYPE))])
+_DOC_TYPE = pa.struct(
+    [
+        ("error", pa.string()),
+        ("body_text_bytes", pa.int32()),
+        ("text", pa.binary()),
+        ("found", pa.map_(pa.string(), pa.list_(pa.int32()))),
+        ("nodes", pa.list_(_NODE_TYPE)),
+    ]
+)
 
 
 def parse_html(body: Column, wanted: dict[str, int]) -> Column:
     """Document struct of a BINARY column, pruned to the wanted selectors ({selector: text mode}).
 
-    NULL bodies, and pages that cannot be parsed, give NULL.
+    NULL bodies give NULL. Pages that cannot be parsed give their error, and NULL nodes.
     """
-    compounds = [(tag, tests, mode) for selector, mode in wanted.items() for tag, tests in compile_selector(selector)]
-    by_tag, by_attr = _index(compounds)
+    by_tag, by_attr = _index([(tag, tests, selector) for selector in wanted for tag, tests in compile_selector(selector)])
 
     @F.arrow_udf(DOC)
     def parse(bodies: pa.Array) -> pa.Array:
-        return _docs_array(_pages(bodies, lambda tree: _read_nodes(tree, by_tag, by_attr)), _DOC_TYPE)
+        return _docs_array(_pages(bodies, lambda tree, clean: _read_nodes(tree, clean, by_tag, by_attr, wanted)), _DOC_TYPE)
 
     return parse(body)
 
 
+def node_text(node: str, doc: str = "doc") -> str:
+    """Text of a node, cut from the page's text; NULL where no selector asked for it."""
+    return f"make_valid_utf8(CAST(substring({doc}.text, {node}.start + 1, {node}.stop - {node}.start) AS STRING))"
+
+
+def nodes_with_text(doc: str = "doc") -> str:
+    """All nodes of a document as structs that carry their text."""
+    fields = ", ".join(f"'{f}', n.{f}" for f in ("idx", "parent", "end", "tag", "attrs", "n_children"))
+    return f"transform({doc}.nodes, n -> named_struct({fields}, 'text', {node_text('n', doc)}))"
+
+
 # Elements whose text is not part of the article, and tags that start a block of their own.
 _BOILERPLATE = frozenset("nav footer aside header form menu button select script style noscript iframe svg".split())
 _BLOCK = BLOCKS_CLOSING_P | frozenset("td th caption body".split())
 
 
-def _read_blocks(tree):
+def _read_blocks(tree, clean):
     """Text blocks of the body: each run of text between block boundaries, with its link characters."""
     nodes = tree.nodes
     owner = {}  # node index -> (nearest block, boilerplate, inside a link)
@@ -200,7 +260,8 @@ def _read_blocks(tree):
             last = (block, junk)
         rows[-1][2].append(tree.parts[at])
         rows[-1][3] += len(tree.parts[at].strip()) if link else 0
-    blocks = ((tag, junk, " ".join("".join(texts).split()), link_chars) for tag, junk, texts, link_chars in rows)
+    shown = str if clean else _shown
+    blocks = ((tag, junk, shown(" ".join("".join(texts).split())), link_chars) for tag, junk, texts, link_chars in rows)
     return [block for block in blocks if block[2]]
 
 
@@ -210,6 +271,6 @@ def text_blocks(body: Column) -> Column:
     @F.arrow_udf(BLOCKS)
     def blocks(bodies: pa.Array) -> pa.Array:
         row = pa.struct([("tag", pa.string()), ("boilerplate", pa.bool_()), ("text", pa.string()), ("link_chars", pa.int32())])
-        return pa.array(list(_pages(bodies, _read_blocks)), pa.list_(row))
+        return pa.array([page and page[1] for page in _pages(bodies, _read_blocks)], pa.list_(row))
 
     return blocks(body)

@@ -66,6 +66,19 @@ _ATTR_ENTITY = re.compile(r"&(?:#[xX]?[0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*(?:;|(?
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in RAW - {"plaintext", "script"}}
 
 
+class ParseError(ValueError):
+    """The page cannot be parsed; the message says why."""
+
+
+def _unescape(data):
+    """Character references decoded; numbers with more digits than Python reads are no character."""
+    try:
+        return entities.unescape(data)
+    except ValueError:
+        short = re.sub(r"&#0+(?=[0-9])", "&#", data)
+        return entities.unescape(re.sub(r"&#[0-9]{20,};?", "\ufffd", short))
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "parent", "start", "stop", "end", "children")
 
@@ -96,7 +109,7 @@ class _Tree:
             stack.append(idx)
             self.tags.append(tag)
             if len(stack) > MAX_DEPTH:
-                raise ValueError("open elements nest too deeply")
+                raise ParseError("open elements nest too deeply")
             if tag in MARKERS:
                 self.formatting.append(None)
             elif tag in FOREIGN:
@@ -177,7 +190,7 @@ class _Tree:
             self.open_body()
         if self.formatting:
             self.reopen_formatting()
-        self.add_text(entities.unescape(data) if "&" in data else data)
+        self.add_text(_unescape(data) if "&" in data else data)
 
     def add_text(self, data):
         self.parts.append(data)
@@ -185,7 +198,7 @@ class _Tree:
 
     def raw(self, tag, data):
         """Content of the raw-text element just opened, which ends here."""
-        self.add_text(entities.unescape(data) if tag in ESCAPABLE_RAW and "&" in data else data)
+        self.add_text(_unescape(data) if tag in ESCAPABLE_RAW and "&" in data else data)
         self.pop_to(len(self.stack) - 1)
 
     def start(self, tag, attrs, self_closing):
@@ -300,7 +313,7 @@ class _Tree:
 
 
 def _attr_value(value):
-    return _ATTR_ENTITY.sub(lambda m: entities.unescape(m.group()), value) if "&" in value else value
+    return _ATTR_ENTITY.sub(lambda m: _unescape(m.group()), value) if "&" in value else value
 
 
 def _read_attrs(src, pos):

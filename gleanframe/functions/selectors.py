@@ -1,4 +1,4 @@
-"""A small selector dialect, compiled to SQL predicates over a node struct.
+"""A small selector dialect: the parse matches it, and SQL looks the matches up.
 
 Supported: a tag name, ``#id``, ``.class``, ``[a]``, ``[a=v]``, ``[a*=v]`` (with an
 optional ``i`` flag), ``:not([a])`` and comma lists. There are no combinators.
@@ -15,8 +15,6 @@ _PIECE = re.compile(rf":not\({_ATTR}\)|{_ATTR}|[#.][\w-]+")
 _COMPOUND = re.compile(rf"\s*([a-zA-Z][\w-]*|\*)?((?:{_PIECE.pattern})*)\s*")
 _ATTR_PARTS = re.compile(r"""\[\s*([\w-]+)\s*(?:(\*?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s"']*))\s*(i)?\s*)?\]""")
 
-_SPACES = "\t\n\r\f"
-
 # A test is (attribute, operation, value, fold case); a compound is (tag or None, tests).
 Test = tuple[str, str, str, bool]
 Compound = tuple[str | None, tuple[Test, ...]]
@@ -54,36 +52,18 @@ def compile_selector(selector: str) -> list[Compound]:
         pos += 1
 
 
-def _test_sql(node: str, test: Test) -> str:
-    name, op, value, fold = test
-    v = "lower(a.v)" if fold else "a.v"
-    holds = {
-        "equals": f" AND {v} = {quote(value)}",
-        "contains": f" AND contains({v}, {quote(value)})" if value else " AND false",
-        "word": f" AND contains(concat(' ', translate({v}, {quote(_SPACES)}, '    '), ' '), {quote(f' {value} ')})",
-    }.get(op, "")
-    found = f"exists({node}.attrs, a -> a.k = {quote(name)}{holds})"
-    return f"NOT {found}" if op == "absent" else found
-
-
-def node_matches(node: str, selector: str) -> str:
-    """Predicate of a node expression."""
-
-    def compound(c: Compound) -> str:
-        tag, tests = c
-        parts = ([f"{node}.tag = {quote(tag)}"] if tag else []) + [_test_sql(node, t) for t in tests]
-        return " AND ".join(parts) or "true"
-
-    return "(" + " OR ".join(f"({compound(c)})" for c in compile_selector(selector)) + ")"
+def _places(doc: str, selector: str) -> str:
+    compile_selector(selector)
+    return f"try_element_at({doc}.found, {quote(selector)})"
 
 
-def select_nodes(nodes: str, selector: str) -> str:
-    """Nodes matching the selector, in document order."""
-    return f"filter({nodes}, n -> {node_matches('n', selector)})"
+def select_nodes(doc: str, selector: str) -> str:
+    """Nodes matching a selector that the parse was asked for, in document order: looked up, not searched."""
+    return f"coalesce(transform({_places(doc, selector)}, p -> get({doc}.nodes, p)), slice({doc}.nodes, 1, 0))"
 
 
-def has_node(nodes: str, selector: str) -> str:
-    return f"exists({nodes}, n -> {node_matches('n', selector)})"
+def has_node(doc: str, selector: str) -> str:
+    return f"({_places(doc, selector)} IS NOT NULL)"
 
 
 def attr(node: str, name: str) -> str:

@@ -1,4 +1,4 @@
-"""Extractors: SQL expressions from a node array to ``struct<entries array<struct<key,value>>, err boolean>``.
+"""Extractors: SQL expressions from a document to ``struct<entries array<struct<key,value>>, err boolean>``.
 
 Entries are in writing order and the last write of a key wins; extractors in which the first write
 wins hand their entries out reversed.
@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     CONTAINER_SELECTOR,
+    GLOBAL_MARK,
     GLOBAL_NAMES,
     GLOBAL_PATTERN,
     HIDDEN_CLASS_SELECTOR,
     HIDDEN_STYLE_SELECTOR,
     INLINE_VAR_PATTERN,
+    OBJECT_END_PATTERN,
     META_NAMES,
     RDFA_PREFIXES,
     TOKEN_NAMES,
     UTILITY_CLASSES,
 )
-from ..functions.html import FULL_TEXT, NO_TEXT
+from ..functions.html import FULL_TEXT, NO_TEXT, node_text, nodes_with_text
 from ..functions.json import next_data_block, object_block, object_or_array_block
 from ..functions.selectors import attr, select_nodes
 from ..functions.text import (
@@ -51,7 +53,7 @@ class Extractor:
     priority: int
     confidence: float
     selectors: Mapping[str, int]  # selector -> text wanted
-    extract: Callable[[str, Options], Column]  # name of the node column -> result
+    extract: Callable[[str, Options], Column]  # name of the document column -> result
 
 
 def _result(entries: str, err: str = "false") -> str:
@@ -76,37 +78,49 @@ NEXT_DATA = "script#__NEXT_DATA__"
 INLINE_SCRIPT = "script:not([src])"
 
 
-def json_ld(nodes: str, options: Options) -> str:
-    texts = f"filter(transform({select_nodes(nodes, LD_JSON)}, n -> {trim_space('n.text')}), t -> t <> '')"
+def json_ld(doc: str, options: Options) -> str:
+    texts = f"filter(transform({select_nodes(doc, LD_JSON)}, n -> {trim_space(node_text('n', doc))}), t -> t <> '')"
     return _from_blocks(f"transform({texts}, t -> {object_or_array_block('t', options.legacy_numbers)})")
 
 
-def next_data(nodes: str, options: Options) -> str:
-    joined = f"array_join(transform({select_nodes(nodes, NEXT_DATA)}, n -> n.text), '')"
+def next_data(doc: str, options: Options) -> str:
+    joined = f"array_join(transform({select_nodes(doc, NEXT_DATA)}, n -> {node_text('n', doc)}), '')"
     texts = f"filter(array({trim_space(joined)}), t -> t <> '')"
     return _from_blocks(f"transform({texts}, t -> {next_data_block('t', options.legacy_numbers)})")
 
 
-def _script_objects(nodes: str, objects: str, options: Options) -> str:
-    texts = f"flatten(transform({select_nodes(nodes, INLINE_SCRIPT)}, n -> {objects}))"
+def _script_objects(doc: str, objects: str, options: Options) -> str:
+    """Blocks of the objects that an expression over `pieces` finds in each inline script.
+
+    A script is cut at every end of an object with a semicolon. A declaration reaches to the first such end after
+    it, which is the end of its piece, so each piece is searched once and the search is linear in the text.
+    """
+    pieces = f"split({node_text('n', doc)}, {raw(OBJECT_END_PATTERN)})"
+    found = let(pieces, "ps", let("slice(ps, 1, size(ps) - 1)", "pieces", objects))
+    texts = f"flatten(transform({select_nodes(doc, INLINE_SCRIPT)}, n -> {found}))"
     return _from_blocks(f"transform({texts}, t -> {object_block('t', options.legacy_numbers)})")
 
 
-def state_globals(nodes: str, options: Options) -> str:
+def _declared(pattern: str) -> str:
+    """The object that the first declaration in each piece begins, for the pieces that hold one."""
+    starts = f"filter(transform(pieces, p -> regexp_extract(p, {raw(pattern)}, 1)), o -> o <> '')"
+    return f"transform({starts}, o -> concat(o, '}}'))"
+
+
+def state_globals(doc: str, options: Options) -> str:
     # Patterns are tried in order and each counts once per script.
-    patterns = [raw(GLOBAL_PATTERN.format(name=name)) for name in GLOBAL_NAMES]
-    firsts = ", ".join(f"regexp_extract(n.text, {p}, 1)" for p in patterns)
-    objects = f"CASE WHEN contains(n.text, 'window.__') THEN filter(array({firsts}), o -> o <> '') ELSE array() END"
-    return _script_objects(nodes, objects, options)
+    firsts = ", ".join(f"slice({_declared(GLOBAL_PATTERN.format(name=name))}, 1, 1)" for name in GLOBAL_NAMES)
+    holds = f"filter(pieces, p -> contains(p, {quote(GLOBAL_MARK)}))"
+    return _script_objects(doc, let(holds, "pieces", f"concat({firsts})"), options)
 
 
-def inline_vars(nodes: str, options: Options) -> str:
-    return _script_objects(nodes, f"regexp_extract_all(n.text, {raw(INLINE_VAR_PATTERN)}, 2)", options)
+def inline_vars(doc: str, options: Options) -> str:
+    return _script_objects(doc, _declared(INLINE_VAR_PATTERN), options)
 
 
-def meta_tags(nodes: str, options: Options) -> str:
-    title = entry("'title'", blank_to_null(f"get({select_nodes(nodes, 'title')}, 0).text"))
-    links = select_nodes(nodes, 'link[rel="canonical"]')
+def meta_tags(doc: str, options: Options) -> str:
+    title = entry("'title'", blank_to_null(f"get(transform({select_nodes(doc, 'title')}, n -> {node_text('n', doc)}), 0)"))
+    links = select_nodes(doc, 'link[rel="canonical"]')
     canonical = f"transform({links}, n -> {entry(quote('canonical_url'), empty_to_null(attr('n', 'href')))})"
     property_name = strip_prefixes(f"lower({strip_prefixes('q', 'og:')})", "twitter:")
     property_key = empty_to_null(f"translate({property_name}, ':', '_')")
@@ -118,56 +132,56 @@ def meta_tags(nodes: str, options: Options) -> str:
     )
     # A property attribute, even an empty one, hides the name attribute.
     key = let(attr("n", "property"), "q", f"CASE WHEN q IS NOT NULL THEN {property_key} ELSE {name_key} END")
-    metas = f"transform({select_nodes(nodes, 'meta')}, n -> {entry(key, blank_to_null(attr('n', 'content')))})"
+    metas = f"transform({select_nodes(doc, 'meta')}, n -> {entry(key, blank_to_null(attr('n', 'content')))})"
     return _last_wins(f"concat(array({title}), {canonical}, {metas})")
 
 
-def microdata(nodes: str, options: Options) -> str:
-    values = (attr("n", "content"), attr("n", "datetime"), "n.text")
+def microdata(doc: str, options: Options) -> str:
+    values = (attr("n", "content"), attr("n", "datetime"), node_text("n", doc))
     value = f"coalesce({', '.join(map(blank_to_null, values))})"
 
     def items(name: str, key: Callable[[str], str]) -> str:
         named = entry(key(blank_to_null(attr("n", name))), value)
-        return f"transform({select_nodes(nodes, f'[{name}]')}, n -> {named})"
+        return f"transform({select_nodes(doc, f'[{name}]')}, n -> {named})"
 
     rdfa = items("property", lambda prop: normalise_key(strip_prefixes(prop, *RDFA_PREFIXES)))
     return _last_wins(f"concat({items('itemprop', normalise_key)}, {rdfa})")
 
 
-def data_attrs(nodes: str, options: Options) -> str:
+def data_attrs(doc: str, options: Options) -> str:
     named = entry("translate(substr(d.k, 6), '-', '_')", blank_to_null("d.v"))
     card = f"transform(filter(n.attrs, d -> startswith(d.k, 'data-')), d -> {named})"
-    return _first_wins(f"flatten(transform({select_nodes(nodes, CONTAINER_SELECTOR)}, n -> {card}))")
+    return _first_wins(f"flatten(transform({select_nodes(doc, CONTAINER_SELECTOR)}, n -> {card}))")
 
 
-def hidden_inputs(nodes: str, options: Options) -> str:
+def hidden_inputs(doc: str, options: Options) -> str:
     named = entry(normalise_key(blank_to_null(attr("n", "name"))), blank_to_null(attr("n", "value")))
-    inputs = select_nodes(nodes, 'input[type="hidden"]')
+    inputs = select_nodes(doc, 'input[type="hidden"]')
     return _first_wins(f"filter(transform({inputs}, n -> {named}), i -> NOT {in_list('i.key', TOKEN_NAMES)})")
 
 
-def css_hidden(nodes: str, options: Options) -> str:
+def css_hidden(doc: str, options: Options) -> str:
     words = f"split(lower({attr('n', 'class')}), {raw('[' + '\\t-\\r \\x85' + '\\p{Z}]+')})"
     class_key = f"get(filter({words}, w -> w <> '' AND NOT {in_list('w', UTILITY_CLASSES)}), 0)"
     key = normalise_key(f"coalesce({empty_to_null(attr('n', 'id'))}, {class_key})")
 
     def hidden(selector: str) -> str:
-        return f"transform({select_nodes(nodes, selector)}, n -> {entry(key, blank_to_null('n.text'))})"
+        return f"transform({select_nodes(doc, selector)}, n -> {entry(key, blank_to_null(node_text('n', doc)))})"
 
     return _first_wins(f"concat({hidden(HIDDEN_STYLE_SELECTOR)}, {hidden(HIDDEN_CLASS_SELECTOR)})")
 
 
-def dom_text(nodes: str, options: Options) -> str:
+def dom_text(doc: str, options: Options) -> str:
     """Text of the first match of each caller-supplied selector; no selectors, no fields."""
     found = [
-        entry(quote(key), blank_to_null(f"get({select_nodes(nodes, selector)}, 0).text"))
+        entry(quote(key), blank_to_null(f"get(transform({select_nodes(doc, selector)}, n -> {node_text('n', doc)}), 0)"))
         for key, selector in options.dom_text_selectors.items()
     ]
     return _last_wins(f"array({', '.join(found)})") if found else _result(NO_ENTRIES)
 
 
 def _built_in(expression: Callable[[str, Options], str]) -> Callable[[str, Options], Column]:
-    return lambda nodes, options: F.expr(expression(nodes, options))
+    return lambda doc, options: F.expr(expression(doc, options))
 
 
 _REGISTRY = (
@@ -190,8 +204,8 @@ REGISTRY = tuple(
 
 
 def _custom(extractor: CustomExtractor) -> Extractor:
-    def extract(nodes: str, options: Options) -> Column:
-        entries = F.filter(extractor.entries(F.col(nodes)), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    def extract(doc: str, options: Options) -> Column:
+        entries = F.filter(extractor.entries(F.expr(nodes_with_text(doc))), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
         entries = F.reverse(entries) if extractor.first_wins else entries
         return F.struct(F.coalesce(entries, F.expr(NO_ENTRIES)).alias("entries"), F.lit(False).alias("err"))
 

@@ -14,8 +14,8 @@ from ..constants import (
     MIXED,
     NOSCRIPT_PHRASES,
 )
-from ..functions.html import FULL_TEXT, LEAF_TEXT, NO_TEXT
-from ..functions.selectors import has_node, node_matches, select_nodes
+from ..functions.html import FULL_TEXT, LEAF_TEXT, NO_TEXT, node_text
+from ..functions.selectors import has_node, select_nodes
 from ..functions.text import let, quote, trim_space
 from ..options import Options
 
@@ -23,20 +23,20 @@ COLUMNS = ("is_hollow", "hollow_score", "signals", "page_type", "page_type_confi
 SELECTORS = {CAPTCHA_SELECTOR: NO_TEXT, "noscript": FULL_TEXT, APP_SHELL_SELECTOR: LEAF_TEXT, "a": FULL_TEXT}
 
 
-def text_links(nodes: str) -> str:
+def text_links(doc: str) -> str:
     """``a`` nodes with text."""
-    return f"filter({nodes}, n -> n.tag = 'a' AND {trim_space('n.text')} <> '')"
+    return f"filter({select_nodes(doc, 'a')}, n -> {trim_space(node_text('n', doc))} <> '')"
 
 
-def page_facts(nodes: str, body_bytes: str, body_text_bytes: str) -> str:
+def page_facts(doc: str, body_bytes: str) -> str:
     """What the score is computed from: struct<captcha, noscript, n_shells, n_links, body_bytes, text_bytes>."""
-    noscript = f"lower(array_join(transform({select_nodes(nodes, 'noscript')}, n -> n.text), ''))"
+    noscript = f"lower(array_join(transform({select_nodes(doc, 'noscript')}, n -> {node_text('n', doc)}), ''))"
     phrases = " OR ".join(f"contains(t, {quote(p)})" for p in NOSCRIPT_PHRASES)
-    empty = f"n.n_children = 0 AND {trim_space('n.text')} = ''"
+    empty = f"n.n_children = 0 AND {trim_space(node_text('n', doc))} = ''"
     return (
-        f"named_struct('captcha', {has_node(nodes, CAPTCHA_SELECTOR)}, 'noscript', {let(noscript, 't', phrases)}, "
-        f"'n_shells', size(filter({nodes}, n -> {node_matches('n', APP_SHELL_SELECTOR)} AND {empty})), "
-        f"'n_links', size({text_links(nodes)}), 'body_bytes', {body_bytes}, 'text_bytes', {body_text_bytes})"
+        f"named_struct('captcha', {has_node(doc, CAPTCHA_SELECTOR)}, 'noscript', {let(noscript, 't', phrases)}, "
+        f"'n_shells', size(filter({select_nodes(doc, APP_SHELL_SELECTOR)}, n -> {empty})), "
+        f"'n_links', size({text_links(doc)}), 'body_bytes', {body_bytes}, 'text_bytes', {doc}.body_text_bytes)"
     )
 
 
@@ -79,6 +79,6 @@ def _double(value: float) -> str:
     return f"{float(value)!r}D"
 
 
-def page_signals(nodes: str, body_bytes: str, body_text_bytes: str, cf_challenge: str, options: Options) -> Column:
-    facts = page_facts(nodes, body_bytes, body_text_bytes)
+def page_signals(doc: str, body_bytes: str, cf_challenge: str, options: Options) -> Column:
+    facts = page_facts(doc, body_bytes)
     return F.expr(let(facts, "facts", score_page("facts", cf_challenge, options)))

@@ -16,8 +16,8 @@ SELECTORS = {
 }
 
 
-def _first_hit(nodes: str, selectors: tuple[str, ...], label: str) -> list[str]:
-    return [f"CASE WHEN {has_node(nodes, s)} THEN {quote(f'{label}: {s}')} END" for s in selectors]
+def _first_hit(doc: str, selectors: tuple[str, ...], label: str) -> list[str]:
+    return [f"CASE WHEN {has_node(doc, s)} THEN {quote(f'{label}: {s}')} END" for s in selectors]
 
 
 def _login_url(rendered_url: str) -> str:
@@ -25,18 +25,18 @@ def _login_url(rendered_url: str) -> str:
     return f"CASE WHEN {hit} THEN 'login wall detected in URL' END"
 
 
-def _checks(nodes: str, rendered_url: str, tier: int) -> list[str]:
+def _checks(doc: str, rendered_url: str, tier: int) -> list[str]:
     if tier == 4:
-        return [*_first_hit(nodes, CAPTCHA_WALLS, "captcha detected"), _login_url(rendered_url)]
+        return [*_first_hit(doc, CAPTCHA_WALLS, "captcha detected"), _login_url(rendered_url)]
     return [
-        *_first_hit(nodes, COOKIE_WALLS, "cookie consent wall"),
+        *_first_hit(doc, COOKIE_WALLS, "cookie consent wall"),
         _login_url(rendered_url),
-        f"CASE WHEN {has_node(nodes, PASSWORD_SELECTOR)} THEN 'login wall: password input present' END",
-        *_first_hit(nodes, CHALLENGE_WALLS, "cloudflare challenge"),
+        f"CASE WHEN {has_node(doc, PASSWORD_SELECTOR)} THEN 'login wall: password input present' END",
+        *_first_hit(doc, CHALLENGE_WALLS, "cloudflare challenge"),
     ]
 
 
-def wall_reason(nodes: str, rendered_url: str, tier: str) -> Column:
+def wall_reason(doc: str, rendered_url: str, tier: str) -> Column:
     """First wall in the order of the row's tier. Tier 4 looks for captchas and login addresses only."""
-    cases = " ".join(f"WHEN {t} THEN coalesce({', '.join(_checks(nodes, rendered_url, t))})" for t in SELECTORS)
+    cases = " ".join(f"WHEN {t} THEN coalesce({', '.join(_checks(doc, rendered_url, t))})" for t in SELECTORS)
     return F.expr(f"CASE {tier} {cases} END")

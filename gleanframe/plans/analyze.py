@@ -26,9 +26,15 @@ ANALYSIS_COLUMNS = (
     "tech_hints",
     "fields",
 )
+# Gated pages have no document, pages that cannot be parsed have one without nodes.
+_PARSED = "doc.nodes IS NOT NULL"
 _NOT_PASSED_ON = {"headers", "body", "tech_hints", "retry_after_s", "status"}
 
 
+def _parsed() -> Column:
+    return F.expr(_PARSED)
+
+
 def _column(e: Extractor) -> str:
     return f"x_{e.name}"
 
@@ -51,8 +57,8 @@ def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int],
 
 
 def with_signals(parsed: DataFrame, options: Options) -> DataFrame:
-    page = signals.page_signals("doc.nodes", "body_bytes", "doc.body_text_bytes", "tech_hints.cf_challenge", options)
-    return parsed.withColumn("page", F.when(F.col("doc").isNotNull(), page))
+    page = signals.page_signals("doc", "body_bytes", "tech_hints.cf_challenge", options)
+    return parsed.withColumn("page", F.when(_parsed(), page))
 
 
 def with_extractions(scored: DataFrame, options: Options, usable: Column | None = None) -> DataFrame:
@@ -61,18 +67,18 @@ def with_extractions(scored: DataFrame, options: Options, usable: Column | None
     Pages that are hollow and yielded any field in the first phase skip the second one.
     """
     first, second = split_phases(enabled_extractors(options))
-    usable = F.col("doc").isNotNull() if usable is None else usable
-    df = scored.withColumns({_column(e): F.when(usable, e.extract("doc.nodes", options)) for e in first})
+    usable = _parsed() if usable is None else usable
+    df = scored.withColumns({_column(e): F.when(usable, e.extract("doc", options)) for e in first})
     skip = F.expr(f"coalesce(page.is_hollow AND ({any_fields([_column(e) for e in first])}), false)")
     df = df.withColumn("skip_second", skip if first else F.lit(False))
     run = usable & ~F.col("skip_second")
-    return df.withColumns({_column(e): F.when(run, e.extract("doc.nodes", options)) for e in second})
+    return df.withColumns({_column(e): F.when(run, e.extract("doc", options)) for e in second})
 
 
 def with_decision(extracted: DataFrame, options: Options) -> DataFrame:
     """Adds fields, has_script_data and decision; a page that could not be parsed escalates."""
     results = {e: _column(e) for e in enabled_extractors(options)}
-    decided = F.when(F.col("gate").isNotNull(), F.col("gate")).when(F.col("doc").isNull(), F.lit(ESCALATE))
+    decided = F.when(F.col("gate").isNotNull(), F.col("gate")).when(~_parsed(), F.lit(ESCALATE))
     return extracted.withColumns(
         {"fields": merge_fields(results, options), "has_script_data": has_script_data(results, options)}
     ).withColumn("decision", decided.otherwise(decide(F.col("page.is_hollow"), F.col("fields"), options)))
@@ -118,6 +124,14 @@ def analyze(responses: DataFrame, options: Options | None = None) -> DataFrame:
     return extract_pages(responses, options).select(*keep, computed_once(*analysis_columns()))
 
 
+def unparsed(responses: DataFrame, options: Options | None = None) -> DataFrame:
+    """Responses that pass the gate and cannot be parsed, with the reason: (passed-on columns, error)."""
+    configure(responses.sparkSession)
+    parsed = with_document(with_gate(responses), options or Options(), signals_only=True)
+    keep = [c for c in responses.columns if c not in _NOT_PASSED_ON]
+    return parsed.select(*keep, computed_once(F.col("doc.error").alias("error"))).filter(F.col("error").isNotNull())
+
+
 def classify(responses: DataFrame, options: Options | None = None) -> DataFrame:
     """Signals and class only, without extraction: (passed-on columns, gate, hollow_score, page_type, ...)."""
     configure(responses.sparkSession)
@@ -144,9 +158,9 @@ def analyze_rendered(rendered: DataFrame, tier: int | None = None, options: Opti
     options = options or Options()
     selectors = [walls.SELECTORS[t] for t in walls.SELECTORS if tier in (None, t)]
     parsed = with_document(with_gate(rendered), options, *selectors, capped=False)
-    reason = walls.wall_reason("doc.nodes", "rendered_url", "tier" if tier is None else str(tier))
-    parsed = parsed.withColumn("escalation_reason", F.when(F.col("doc").isNotNull(), reason))
-    free = F.col("doc").isNotNull() & F.col("escalation_reason").isNull()
+    reason = walls.wall_reason("doc", "rendered_url", "tier" if tier is None else str(tier))
+    parsed = parsed.withColumn("escalation_reason", F.when(_parsed(), reason))
+    free = _parsed() & F.col("escalation_reason").isNull()
     scored = with_signals(parsed, options).withColumn("page", F.when(free, F.col("page")))
     decided = with_decision(with_extractions(scored, options, free), options)
     decided = decided.withColumn(

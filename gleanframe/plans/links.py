@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import FULL_TEXT, parse_html
+from ..functions.html import FULL_TEXT, node_text, parse_html
 from ..functions.selectors import attr
 from ..functions.text import trim_space
 from ..operators.signals import text_links
@@ -19,8 +19,8 @@ def link_table(responses: DataFrame, options: Options | None = None, key: str =
     configure(responses.sparkSession)
     options = options or Options()
     doc = parse_html(cap_body(F.col("body"), options.max_body_bytes), {"a": FULL_TEXT})
-    link = f"named_struct('href', {attr('n', 'href')}, 'text', {trim_space('n.text')})"
-    links = F.expr(f"transform({text_links('doc.nodes')}, n -> {link})")
+    link = f"named_struct('href', {attr('n', 'href')}, 'text', {trim_space(node_text('n'))})"
+    links = F.expr(f"transform({text_links('doc')}, n -> {link})")
     rows = responses.select(key, doc.alias("doc")).select(key, F.explode(links).alias("link"))
     return rows.select(key, "link.*")
 

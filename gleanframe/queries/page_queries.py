@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import FULL_TEXT, NO_TEXT, parse_html
+from ..functions.html import FULL_TEXT, NO_TEXT, node_text, parse_html
 from ..functions.selectors import attr, select_nodes
 from ..functions.text import let, trim_space
 from ..operators.merge import explode_fields
-from ..operators.signals import page_facts, page_signals
+from ..operators.signals import SELECTORS, page_facts, page_signals
 from ..options import Options
 from ..plans.analyze import analyze, classify, extract_pages
 from ..plans.links import link_table
-from .inputs import SIGNAL_SQL, as_pages, page, pages, prose, signal_pages, table, text, variant
+from .inputs import SIGNAL_SQL, Col, as_pages, page, pages, prose, signal_pages, table, text, variant
 from .registry import query
 
 # Titles of the pages table hold two entities, one of them also cut off before its semicolon.
@@ -37,8 +37,8 @@ def h1_parse(spark: SparkSession, folder: str) -> DataFrame:
     parent = let(title, "t", "get(filter(doc.nodes, n -> n.idx = t.parent), 0).tag")
     return parsed.select(
         "page_id",
-        F.col("doc").isNotNull().alias("parsed"),
-        F.expr(trim_space(f"{title}.text")).alias("title"),
+        F.expr("doc.nodes IS NOT NULL").alias("parsed"),
+        F.expr(trim_space(let(title, "t", node_text("t")))).alias("title"),
         F.expr(parent).alias("parent_tag"),
     )
 
@@ -63,7 +63,7 @@ _SELECTORS = {
 def h2_selector_match(spark: SparkSession, folder: str) -> DataFrame:
     parsed = _parsed(spark, folder, {s: NO_TEXT for s in _SELECTORS})
     counts = [
-        F.struct(F.lit(s).alias("selector"), F.expr(f"bigint(size({select_nodes('doc.nodes', s)}))").alias("n_nodes"))
+        F.struct(F.lit(s).alias("selector"), F.expr(f"bigint(size({select_nodes('doc', s)}))").alias("n_nodes"))
         for s in _SELECTORS
     ]
     return parsed.select("page_id", F.explode(F.array(*counts)).alias("r")).select("page_id", "r.*")
@@ -79,13 +79,29 @@ def h3_subtree_text(spark: SparkSession, folder: str) -> DataFrame:
     parsed = _parsed(spark, folder, {"h1": FULL_TEXT, "script": FULL_TEXT, "style": FULL_TEXT})
 
     def first(tag: str) -> str:
-        return trim_space(f"get({select_nodes('doc.nodes', tag)}, 0).text")
+        return trim_space(f"get(transform({select_nodes('doc', tag)}, n -> {node_text('n')}), 0)")
 
     return parsed.select(
         "page_id", F.expr(first("h1")).alias("heading"), F.expr(first("script")).alias("script"), F.expr(first("style")).alias("style")
     )
 
 
+_NESTED = 200
+
+
+@query(
+    "h3_nested_text",
+    f"SELECT s_suppkey AS page_id, {_NESTED} AS n_fields, {_NESTED}::BIGINT * length(s_name) AS chars, s_name AS deepest FROM supplier",
+)
+def h3_nested_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Two hundred nested elements that all have the same text: the page's text leaves the parse once."""
+    opened = "".join(f'<div itemprop="p{i}">' for i in range(_NESTED))
+    rows = as_pages(table(spark, folder, "supplier"), "s_suppkey", page(text(opened, Col("s_name"))))
+    fields = analyze(rows).select("page_id", F.map_filter("fields", lambda k, f: f["source"] == "microdata").alias("f"))
+    chars = F.aggregate(F.map_values("f"), F.lit(0).cast("bigint"), lambda n, f: n + F.length(f["value"]))
+    return fields.select("page_id", F.size("f").alias("n_fields"), chars.alias("chars"), F.col("f")[f"p{_NESTED - 1}"]["value"].alias("deepest"))
+
+
 @query(
     "h4_child_count",
     "SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS list_items, 1 AS nav_children FROM pages",
@@ -94,8 +110,8 @@ def h4_child_count(spark: SparkSession, folder: str) -> DataFrame:
     parsed = _parsed(spark, folder, {"ul": NO_TEXT, "nav": NO_TEXT})
     return parsed.select(
         "page_id",
-        F.expr(f"get({select_nodes('doc.nodes', 'ul')}, 0).n_children").alias("list_items"),
-        F.expr(f"get({select_nodes('doc.nodes', 'nav')}, 0).n_children").alias("nav_children"),
+        F.expr(f"get({select_nodes('doc', 'ul')}, 0).n_children").alias("list_items"),
+        F.expr(f"get({select_nodes('doc', 'nav')}, 0).n_children").alias("nav_children"),
     )
 
 
@@ -105,7 +121,7 @@ def h4_child_count(spark: SparkSession, folder: str) -> DataFrame:
 )
 def h5_attribute_read(spark: SparkSession, folder: str) -> DataFrame:
     parsed = _parsed(spark, folder, {"html": NO_TEXT, "meta[charset]": NO_TEXT})
-    root, meta = (f"get({select_nodes('doc.nodes', s)}, 0)" for s in ("html", "meta[charset]"))
+    root, meta = (f"get({select_nodes('doc', s)}, 0)" for s in ("html", "meta[charset]"))
     return parsed.select(
         "page_id",
         F.expr(let(root, "r", attr("r", "lang"))).alias("lang"),
@@ -154,7 +170,7 @@ def page_fields(spark: SparkSession, folder: str) -> DataFrame:
 def _signals(spark: SparkSession, folder: str, options: Options | None = None) -> DataFrame:
     extracted = extract_pages(signal_pages(spark, folder), options)
     return extracted.withColumn(
-        "facts", F.when(F.col("doc").isNotNull(), F.expr(page_facts("doc.nodes", "body_bytes", "doc.body_text_bytes")))
+        "facts", F.when(F.expr("doc.nodes IS NOT NULL"), F.expr(page_facts("doc", "body_bytes")))
     )
 
 
@@ -174,6 +190,18 @@ _signal_query("c5_low_text_density", "low-text-density", "low_density")
 _signal_query("c6_tiny_body", "tiny-body", "tiny")
 
 
+@query(
+    "c5_density_of_bytes",
+    """SELECT c_custkey AS page_id, CASE WHEN n / (6010 + n)::DOUBLE < 0.05::DOUBLE THEN 'app-shell' ELSE 'content-rich' END AS page_type
+       FROM (SELECT c_custkey, 250 + c_custkey % 200 AS n FROM customer)""",
+)
+def c5_density_of_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are not UTF-8, on both sides of the limit: their text counts as many bytes as it came in."""
+    letters = F.expr("repeat('é', CAST(250 + c_custkey % 200 AS INT))")
+    rows = as_pages(table(spark, folder, "customer"), "c_custkey", text("<!--", "x" * 6000, "--><p>", letters))
+    return classify(rows.withColumn("body", F.encode(F.col("body").cast("string"), "ISO-8859-1"))).select("page_id", "page_type")
+
+
 @query(
     "c3_empty_app_shell",
     """SELECT c_custkey AS page_id, CAST(c_custkey % 4 AS INTEGER) AS n_shells, LEAST(1.0::DOUBLE,
@@ -187,7 +215,7 @@ def c3_empty_app_shell(spark: SparkSession, folder: str) -> DataFrame:
     html = page(text(*parts, '<div id="app"><b></b></div><p id="root"></p>', prose()))
     options = Options(tiny_body_bytes=1, penalties={"empty-app-shell": 0.3})
     extracted = extract_pages(as_pages(table(spark, folder, "customer"), "c_custkey", html), options)
-    facts = F.expr(page_facts("doc.nodes", "body_bytes", "doc.body_text_bytes"))
+    facts = F.expr(page_facts("doc", "body_bytes"))
     return extracted.select("page_id", facts["n_shells"].alias("n_shells"), F.col("page.hollow_score"))
 
 
@@ -201,9 +229,8 @@ def c4_link_rich(spark: SparkSession, folder: str) -> DataFrame:
 
 def _challenged(spark: SparkSession, folder: str) -> DataFrame:
     """The scorer used alone, with the challenge hint set on every third page."""
-    wanted = {"a": FULL_TEXT, "noscript": FULL_TEXT, "div": FULL_TEXT}
-    parsed = signal_pages(spark, folder).select("page_id", parse_html(F.col("body"), wanted).alias("doc"), "body")
-    page_column = page_signals("doc.nodes", "octet_length(body)", "doc.body_text_bytes", "page_id % 3 = 0", Options())
+    parsed = signal_pages(spark, folder).select("page_id", parse_html(F.col("body"), SELECTORS).alias("doc"), "body")
+    page_column = page_signals("doc", "octet_length(body)", "page_id % 3 = 0", Options())
     return parsed.select("page_id", page_column.alias("page"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from gleanframe.options import ExtractorOption, Options
+from gleanframe.plans.analyze import analyze, unparsed
+from gleanframe.schemas import RESPONSES
 
 PROSE = "<p>" + "Some text of a page that is long enough. " * 20 + "</p>"
 
@@ -174,7 +176,32 @@ def test_large_script_state(analyzed):
 
 
 def test_text_repeated_by_nested_nodes(analyzed):
-    row, fields = analyzed("".join(f"<div itemprop=p{i}>" for i in range(40)) + PROSE)
-    assert len(fields) == 40 and row.decision == "Done"
-    row, fields = analyzed("".join(f"<div itemprop=p{i}>" for i in range(60)) + PROSE)
-    assert (fields, row.decision, row.page_type) == ({}, "Escalate", "")
+    row, fields = analyzed("".join(f"<div itemprop=p{i}>" for i in range(400)) + PROSE + "<b itemprop=q> Ä </b>")
+    assert len(fields) == 401 and row.decision == "Done"
+    assert {v for k, (v, _) in fields.items() if k != "q"} == {fields["p0"][0]} and fields["q"][0] == "Ä"
+    assert fields["p0"][0].endswith(" Ä")
+
+
+def test_parse_errors_have_a_reason(spark):
+    rows = [(1, b"<div>" * 600), (2, b"<p>fine"), (3, None), (4, b"&#" + b"0" * 5_000 + b"65; &#" + b"9" * 5_000 + b";")]
+    pages = spark.createDataFrame([(i, f"u{i}", 200, {}, b and bytearray(b), "", "text/html", 0, None) for i, b in rows], RESPONSES)
+    assert [tuple(r) for r in unparsed(pages).select("page_id", "error").collect()] == [(1, "open elements nest too deeply")]
+    types = {r.page_id: (r.decision, r.page_type) for r in analyze(pages).collect()}
+    assert types == {1: ("Escalate", ""), 2: ("Done", "mixed"), 3: ("Done", "mixed"), 4: ("Escalate", "app-shell")}
+
+
+def test_text_of_other_encodings_counts_its_bytes(analyzed):
+    filler, prose = b"<!--" + b"x" * 6000 + b"-->", "Größe ".encode("latin-1")
+    assert analyzed(filler + b"<p>" + prose * 60)[0].page_type == "content-rich"
+    assert analyzed(filler + b"<p>" + prose * 45)[0].page_type == "app-shell"
+    _, fields = analyzed(filler + b"<b itemprop=a title=\xe9>" + prose + b"</b><i itemprop=\xe9>x</i>" + prose * 60)
+    assert fields == {"a": ("Gr\ufffd\ufffde", "microdata"), "\ufffd": ("x", "microdata")}
+
+
+def test_scripts_are_searched_once(analyzed):
+    """Declarations that never end, and ends without declarations, by the ten thousand."""
+    many = "var A = { " * 200_000
+    assert analyzed(f"<script>{many}</script>" + PROSE)[1] == {}
+    assert analyzed(f"<script>{'window.__NUXT__={' * 100_000}</script>" + PROSE)[1] == {}
+    _, fields = analyzed(f'<script>{"};" * 200_000}var A={{"a":"b"}} \t;let B_1 = {{"c":{{"d":1}}}};var C={{"e":1}}</script>' + PROSE)
+    assert fields == {"a": ("b", "inline-vars"), "c": ('{"d":1}', "inline-vars")}

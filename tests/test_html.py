@@ -108,7 +108,7 @@ def test_empty_page_has_a_body():
 
 
 def test_too_deep_is_an_error():
-    with pytest.raises(ValueError):
+    with pytest.raises(H.ParseError):
         H.parse_tree("<div>" * 600)
     assert len(H.parse_tree("<div>" * 400).nodes) == 402
 
