@@ -5,7 +5,7 @@ A block is ``struct<ok boolean, entries array<struct<key,value>>>``.
 
 from __future__ import annotations
 
-from .text import NO_ENTRIES, empty_to_null, entry, let, raw
+from .text import NO_ENTRIES, empty_to_null, entry, let, quote, raw
 
 OBJECT = "map<string,variant>"
 
@@ -46,9 +46,25 @@ def _number_text(j: str, legacy: bool) -> str:
     return _strip_zeros(text) if legacy else text
 
 
+# A piece of JSON text: a string, a number, or what lies between them.
+_PIECE = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+# Characters that are written as escapes wherever they stand; outside strings they do not occur.
+_ESCAPED = {"<": "u003c", ">": "u003e", "&": "u0026", "\u2028": "u2028", "\u2029": "u2029"}
+
+
+def _canonical(json_text: str) -> str:
+    """Nested JSON with its numbers in one spelling (2500 for 2.5E3 and 2500.0) and HTML-safe strings."""
+    pieces = f"regexp_extract_all({json_text}, {quote(_PIECE)}, 0)"
+    number = let("j", "j", _number_text("j", False))
+    plain = f"array_join(transform({pieces}, j -> CASE WHEN rlike(j, '^-?[0-9]') THEN {number} ELSE j END), '')"
+    for c, code in _ESCAPED.items():
+        plain = f"replace({plain}, {quote(c)}, {quote(chr(92) + code)})"
+    return plain
+
+
 def _field_text(value: str, legacy: bool) -> str:
     """Text of one JSON value: strings as they are (empty dropped), numbers, true/false, null, nested JSON."""
-    nested = "replace(replace(replace(j, '<', '\\\\u003c'), '>', '\\\\u003e'), '&', '\\\\u0026')"
+    nested = f"CASE WHEN rlike(j, '^[{{\\\\[]') THEN {_canonical('j')} ELSE j END"
     body = (
         f"CASE WHEN startswith(j, '\"') THEN {empty_to_null(f'try_cast({value} AS string)')} "
         f"WHEN rlike(j, '^-?[0-9]') THEN {_number_text('j', legacy)} ELSE {nested} END"

@@ -88,6 +88,20 @@ def x1_legacy_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return _of_source(_parts(spark, folder, html), "json-ld", Options(legacy_numbers=True))
 
 
+@query(
+    "x1_nested_json",
+    _rows_sql(
+        "part",
+        "p_partkey",
+        {"spec": f"""'{{"far":1e+30,"mid":2500,"near":1e-7,"note":"1E2 \\u003cb\\u003e","price":[' || {_PRICE_SQL} || ',100],"size":' || p_size || '}}'"""},
+    ),
+)
+def x1_nested_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers inside nested JSON have one spelling; text that looks like a number stays as it is."""
+    spec = _ld('{"spec":{"size":', SIZE, '.0,"price":[', PRICE, ',1E2],"far":1e30,"near":1e-7,"mid":2.5E3,"note":"1E2 <b>"}}')
+    return _of_source(_parts(spark, folder, page(text(spec, prose()))), "json-ld")
+
+
 def _json_blocks() -> Column:
     """Array / two blocks / a broken second block / text after the value / single quotes / null and duplicate keys."""
     one = text('{"name":"', NAME, '","size":', SIZE, "}")

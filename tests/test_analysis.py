@@ -182,6 +182,12 @@ def test_text_repeated_by_nested_nodes(analyzed):
     assert fields["p0"][0].endswith(" Ä")
 
 
+def test_numbers_in_nested_json(analyzed):
+    spec = '{"n":{"a":2500.0,"b":1E30,"c":[1E2,0.10],"d":1E-7,"s":"2.50 \\\\\\" 1E2 & \u2028","e":{},"f":[true,null]}}'
+    want = '{"a":2500,"b":1e+30,"c":[100,0.1],"d":1e-7,"e":{},"f":[true,null],"s":"2.50 \\\\\\" 1E2 \\u0026 \\u2028"}'
+    assert analyzed(ld(spec) + PROSE)[1]["n"][0] == want
+
+
 def test_parse_errors_have_a_reason(spark):
     rows = [(1, b"<div>" * 600), (2, b"<p>fine"), (3, None), (4, b"&#" + b"0" * 5_000 + b"65; &#" + b"9" * 5_000 + b";")]
     pages = spark.createDataFrame([(i, f"u{i}", 200, {}, b and bytearray(b), "", "text/html", 0, None) for i, b in rows], RESPONSES)
