@@ -90,6 +90,8 @@ def apply_completions(
     without an error, else of all, the smallest by text, so that the result is the same on every run. For ``salts`` see ``attach``.
     """
     options = options or Options()
+    if not options.fallback_enabled:
+        return analysis
     one = completions.groupBy(key).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "completion", "error")).alias("c"))
     parsed = one.select(key, completion_result("c.completion", "c.error").alias("_result"))
     eligible = is_eligible(F.col("decision"), F.col("fields"), F.col("page_type"))

@@ -45,10 +45,14 @@ class Options:
     extractors: Mapping[str, ExtractorOption] = field(default_factory=dict)
     custom_extractors: tuple[CustomExtractor, ...] = ()
     dom_text_selectors: Mapping[str, str] = field(default_factory=dict)
+    # False ignores completions and asks for none; a configuration without an entry says False.
+    fallback_enabled: bool = True
     fallback_confidence: float = 0.70
     max_text_bytes: int = MAX_TEXT_BYTES
     max_body_bytes: int = MAX_BODY_BYTES
+    # Hosts kept out of requests, for tier 3 and for tier 4.
     block_domains: tuple[str, ...] = BLOCK_DOMAINS
+    tier4_block_domains: tuple[str, ...] = BLOCK_DOMAINS
     # True cuts trailing zeros of every JSON number (100 -> 1), as the reference results do.
     legacy_numbers: bool = False
     # True escalates every page without fields, not only the hollow ones.
@@ -67,6 +71,9 @@ class Options:
         value = self.penalties.get(signal, PENALTIES[signal])
         return _positive(value, PENALTIES[signal]) if signal == "cf-challenge" else value
 
+    def blocked_in(self, tier: int) -> tuple[str, ...]:
+        return self.tier4_block_domains if tier == 4 else self.block_domains
+
     def register(self, extractor: CustomExtractor) -> Options:
         return replace(self, custom_extractors=(*self.custom_extractors, extractor))
 
@@ -84,7 +91,9 @@ class Options:
         }
         values["fallback_confidence"] = text.get("confidence", cls.fallback_confidence)
         values["max_text_bytes"] = text.get("max_text_bytes")
-        values["block_domains"] = tuple((config.get("tier3") or {}).get("block_domains", BLOCK_DOMAINS))
+        values["fallback_enabled"] = bool(text.get("enabled", False))
+        for name, tier in (("block_domains", "tier3"), ("tier4_block_domains", "tier4")):
+            values[name] = tuple((config.get(tier) or {}).get("block_domains", BLOCK_DOMAINS))
         return cls(**values)
 
     @classmethod

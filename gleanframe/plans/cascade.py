@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ABORT, BACKOFF, DONE, ESCALATE
-from ..functions.joins import attach
+from ..functions.joins import attach, keep_matching
 from ..operators.fallback import apply_completions
 from ..options import Options
 from ..sources.tables import rendered_as_responses
@@ -83,6 +83,26 @@ def final_result() -> list[Column]:
     ]
 
 
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _routed(
+    tier2: DataFrame, rendered: DataFrame, tiers: tuple[int, ...], options: Options | None, key: str, completions: DataFrame | None, salts: int, work: str
+) -> DataFrame:
+    """Tier results of the pages that reach their tier: renders are routed on written keys before they are parsed."""
+    last, results = tier2.select(key, F.col("tier2.decision").alias("decision")), None
+    for tier in sorted(tiers):
+        escalated = last.filter(F.col("decision") == ESCALATE).select(key).distinct()
+        reached = keep_matching(rendered.filter(F.col("tier") == tier), escalated, key, salts)
+        found = _written(tier_results(reached, (tier,), options, key, completions, salts), f"{work}/tier{tier}")
+        results = found if results is None else results.unionByName(found)
+        # Of several copies of a page the first by content counts, here as in the result.
+        last = found.groupBy(key).agg(F.min_by(F.col("result.decision"), "copy").alias("decision"))
+    return results
+
+
 def run_cascade(
     responses: DataFrame,
     rendered: DataFrame | None = None,
@@ -91,9 +111,12 @@ def run_cascade(
     completions: DataFrame | None = None,
     tiers: tuple[int, ...] = (3, 4),
     salts: int = 1,
+    work: str | None = None,
 ) -> DataFrame:
     """One result row per response: (key, url, elapsed_ms, tier2, tier3, tier4, tier, decision, ...).
 
+    ``work`` names a new folder in shared storage where each tier is written before the next one starts: then only
+    renders of pages that escalated are parsed. Without it everything is one lazy plan, which parses every render.
     ``completions`` has a row per page and, if it has a column ``tier``, per tier. ``key`` should be
     unique among the responses; for one that is not, such as the address, set ``salts`` (see ``attach``).
     """
@@ -105,7 +128,11 @@ def run_cascade(
     passed_on = [c for c in dict.fromkeys((key, "page_id", "url", "elapsed_ms")) if c in analysis.columns]
     tier2 = analysis.withColumn("escalation_reason", F.lit("")).select(*passed_on, F.struct(*RESULT_COLUMNS).alias("tier2"))
     if rendered is not None and tiers:
-        results = tier_results(rendered, tiers, options, key, completions, salts)
+        if work is None:
+            results = tier_results(rendered, tiers, options, key, completions, salts)
+        else:
+            tier2 = _written(tier2, f"{work}/tier2")
+            results = _routed(tier2, rendered, tiers, options, key, completions, salts, work)
         out = follow_tiers(tier2, one_row_per_page(results, key), key, salts)
     else:
         out = tier2.withColumns({f"tier{t}": F.lit(None).cast(tier2.schema["tier2"].dataType) for t in (3, 4)})

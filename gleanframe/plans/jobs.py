@@ -111,11 +111,12 @@ def job_view(stages: DataFrame, with_body: bool = False) -> DataFrame:
 
 
 def get_job(stages: DataFrame, job: str, with_body: bool = True) -> DataFrame:
-    """The document of one job; raises JobNotFound."""
+    """The document of one job, read once; raises JobNotFound."""
     found = job_view(stages.filter(F.col("job_id") == job), with_body)
-    if found.isEmpty():
+    rows = found.collect()  # one job
+    if not rows:
         raise JobNotFound(job)
-    return found
+    return stages.sparkSession.createDataFrame(rows, found.schema)
 
 
 def done_jobs(stages: DataFrame, stage: int) -> DataFrame:

@@ -25,7 +25,7 @@ def link_table(responses: DataFrame, options: Options | None = None, key: str =
     return rows.select(key, "link.*")
 
 
-def followable_links(responses: DataFrame, options: Options | None = None, key: str = "page_id") -> DataFrame:
-    """Links with an address that the block list lets through."""
+def followable_links(responses: DataFrame, options: Options | None = None, key: str = "page_id", tier: int = 3) -> DataFrame:
+    """Links with an address that the block list of the tier lets through."""
     options = options or Options()
-    return drop_blocked(link_table(responses, options, key).filter(F.col("href").isNotNull()), options.block_domains, "href")
+    return drop_blocked(link_table(responses, options, key).filter(F.col("href").isNotNull()), options.blocked_in(tier), "href")

@@ -27,7 +27,8 @@ def prompts(responses: DataFrame, options: Options | None = None, key: str = "pa
     """
     options = options or Options()
     page_type = F.coalesce(F.col("page.page_type"), F.lit(""))
-    eligible = is_eligible(F.col("decision"), F.col("fields"), page_type)
+    enabled = F.lit(options.fallback_enabled)
+    eligible = enabled & is_eligible(F.col("decision"), F.col("fields"), page_type)
     pages = extract_pages(responses, options).select(key, "body", computed_once(eligible.alias("eligible")))
     body = F.when(F.col("eligible"), cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes))
     texts = pages.select(key, text_blocks(body).alias("blocks")).select(

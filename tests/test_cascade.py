@@ -134,6 +134,11 @@ def test_cascade_paths(spark):
         4: (2, "Escalate"),
     }
     assert rows[3].escalation_reason == "captcha detected: [data-sitekey]"
+    # Written tier by tier: the same results, and only renders that are reached are analysed.
+    work = f"{spark.conf.get('spark.checkpoint.dir')}/test-{uuid.uuid4().hex}"
+    routed = {r.page_id: r for r in run_cascade(base, renders, work=work).collect()}
+    assert routed == rows
+    assert {t: sorted(r.page_id for r in spark.read.parquet(f"{work}/tier{t}").collect()) for t in (3, 4)} == {3: [1, 1, 2, 3], 4: [2, 3]}
     rows = {r.page_id: r.tier for r in run_cascade(base).collect()}
     assert set(rows.values()) == {2}
 
@@ -147,6 +152,10 @@ def test_cascade_with_completions_per_tier(spark):
     rows = {r.page_id: r for r in run_cascade(base, renders, completions=completions).collect()}
     assert (rows[0].tier, rows[0].decision, rows[0].fields["title"].source) == (3, "Done", "llm")
     assert (rows[1].decision, rows[1].fields) == ("Escalate", {})
+    off = Options.from_mapping({"tier4": {"block_domains": ["*x*"]}})
+    assert (off.fallback_enabled, off.blocked_in(4), off.blocked_in(3)) == (False, ("*x*",), Options().block_domains)
+    assert [r.decision for r in run_cascade(base, renders, off, completions=completions).collect()] == ["Escalate", "Escalate"]
+    assert prompts(base, off).isEmpty()
 
 
 def test_job_round_trip_and_resume(spark, folder):
