@@ -162,6 +162,11 @@ def _described(result: DataFrame) -> DataFrame:
 
 @query("r1_cascade", _CASCADE_SQL)
 def r1_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return _described(run_cascade(_order_responses(spark, folder), _order_renders(spark, folder)))
+
+
+@query("r1_routed_cascade", _CASCADE_SQL)
+def r1_routed_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Each tier is written, and only renders of pages that escalated are parsed."""
     return _described(run_cascade(_order_responses(spark, folder), _order_renders(spark, folder), work=work_folder(spark)))
 
