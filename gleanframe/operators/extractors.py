@@ -233,6 +233,12 @@ def split_phases(extractors: list[Extractor]) -> tuple[list[Extractor], list[Ext
     return (extractors[:4], extractors[4:]) if len(extractors) > 4 else (extractors, [])
 
 
+def phase_of(source: Column, options: Options) -> Column:
+    """The phase, first or second, that the extractor of a source runs in."""
+    first, _ = split_phases(enabled_extractors(options))
+    return F.when(source.isin([e.name for e in first]), "first").otherwise("second")
+
+
 def wanted_selectors(extractors: list[Extractor], *more: Mapping[str, int]) -> dict[str, int]:
     wanted: dict[str, int] = {}
     for selectors in [e.selectors for e in extractors] + list(more):

@@ -1,7 +1,10 @@
 """Job store on append-only stage tables.
 
 Each tier of a batch is one partition (stage, batch_id). Writing replaces that partition, so a job
-that is run again after a failure leaves the same rows.
+that is run again after a failure leaves the same rows. A marker row without a job id says that a run
+has finished a stage; as it is always there, a stage that yields no rows also replaces what was stored.
+
+Stages 1 to 4 are the tiers; stage 10 + n holds the results of tier n that a completion has changed.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from ..sources.tables import tier1_record
 from .cascade import decode_decision
 
 _PAGE = ("decision", "page_type", "page_type_confidence", "hollow_score")
+#: Order of the stored results of one tier; the last one counts.
+VERSION = ("stage", "updated_at", "batch_id")
 _STAGE_TYPES = {1: TIER1, 2: TIER2, 3: RENDER_RESULT, 4: RENDER_RESULT}
 
 
@@ -30,9 +35,14 @@ def job_id(url: Column, batch_id: Column) -> Column:
     return F.sha2(F.concat_ws("\n", batch_id, url), 256)
 
 
+def completed_stage(tier: int) -> int:
+    """The stage of a tier's results that a completion has changed."""
+    return 10 + tier
+
+
 def _stage_rows(df: DataFrame, stage: int, status: Column, record: Column | None, updated_at: Column, final: bool) -> DataFrame:
     tiers = {
-        f"tier{n}": (record if n == stage and record is not None else F.lit(None)).cast(_STAGE_TYPES[n]) for n in _STAGE_TYPES
+        f"tier{n}": (record if n == stage % 10 and record is not None else F.lit(None)).cast(_STAGE_TYPES[n]) for n in _STAGE_TYPES
     }
     return df.select(
         "job_id",
@@ -73,15 +83,41 @@ def render_rows(results: DataFrame, tier: int, now: Column) -> DataFrame:
     return _stage_rows(results, tier, F.lit(JOB_TIER_STATUS[tier]), record, now, True)
 
 
-def write_stage(rows: DataFrame, path: str) -> None:
-    """Replaces the (stage, batch_id) partitions the rows belong to."""
+def completed_rows(results: DataFrame, tier: int, now: Column) -> DataFrame:
+    """Rows of a tier's stored results (job_id, url, batch_id, record) with the decision and fields of a completion.
+
+    The status stays that of the tier.
+    """
+    record = F.col("record").withField("decision", F.col("decision")).withField("fields", F.col("fields"))
+    return _stage_rows(results, completed_stage(tier), F.lit(None).cast("string"), record, now, tier > 2)
+
+
+def write_stage(rows: DataFrame, path: str, part: tuple[int, str] | None = None) -> None:
+    """Replaces the (stage, batch_id) partitions the rows belong to.
+
+    ``part`` names the one partition that all rows belong to: it gets a marker row, and so is replaced by no rows, too.
+    """
+    if part is not None:
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-2]]
+        marker = rows.sparkSession.range(1).select(*nothing, F.lit(part[0]).alias("stage"), F.lit(part[1]).alias("batch_id"))
+        rows = rows.unionByName(marker.withColumn("updated_at", F.current_timestamp()))
     rows.write.partitionBy("stage", "batch_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def read_stages(spark: SparkSession, path: str) -> DataFrame:
+def _all_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(StructType.fromDDL(STAGES)).parquet(path)
 
 
+def read_stages(spark: SparkSession, path: str) -> DataFrame:
+    return _all_rows(spark, path).filter(F.col("job_id").isNotNull())
+
+
+def finished_stages(spark: SparkSession, path: str) -> DataFrame:
+    """(stage, batch_id, finished_at) of every stage that a run has written to its end."""
+    markers = _all_rows(spark, path).filter(F.col("job_id").isNull())
+    return markers.select("stage", "batch_id", F.col("updated_at").alias("finished_at"))
+
+
 def _without_body(stages: DataFrame) -> Column:
     t = F.col("tier1")
     names = [f.name for f in stages.schema["tier1"].dataType.fields if f.name != "body"]
@@ -91,12 +127,13 @@ def _without_body(stages: DataFrame) -> Column:
 def job_view(stages: DataFrame, with_body: bool = False) -> DataFrame:
     """One document per job with all patches applied: the latest non-NULL value of each part.
 
-    Bodies are left out unless asked for, and are then not read from storage either.
+    A tier's result that a completion has changed comes before the one without. Bodies are left out
+    unless asked for, and are then not read from storage either.
     """
 
-    def latest(column: str | Column) -> Column:
-        c = F.col(column) if isinstance(column, str) else column
-        return F.max_by(c, F.when(c.isNotNull(), F.struct("updated_at", "stage", "batch_id")))
+    def latest(column: str, *order: str | Column) -> Column:
+        c = F.col(column)
+        return F.max_by(c, F.when(c.isNotNull(), F.struct(*(order or ("updated_at", F.col("stage") % 10, "stage", "batch_id")))))
 
     rows = stages if with_body else stages.withColumn("tier1", _without_body(stages))
     return rows.groupBy("job_id").agg(
@@ -104,7 +141,7 @@ def job_view(stages: DataFrame, with_body: bool = False) -> DataFrame:
         F.min("updated_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
         latest("status").alias("status"),
-        *[latest(f"tier{n}").alias(f"tier{n}") for n in _STAGE_TYPES],
+        *[latest(f"tier{n}", *VERSION).alias(f"tier{n}") for n in _STAGE_TYPES],
         latest("final_decision").alias("final_decision"),
         latest("final_fields").alias("final_fields"),
     )
@@ -131,8 +168,8 @@ def pending(jobs: DataFrame, stages: DataFrame, stage: int, salts: int = 1) -> D
 
 def stored_analysis(stages: DataFrame) -> DataFrame:
     """Latest stored tier-2 rows as analysis rows again; unknown decisions read as Escalate."""
-    t = F.max_by("tier2", F.struct("updated_at", "batch_id"))
-    tier2 = stages.filter((F.col("stage") == 2) & F.col("tier2").isNotNull())
+    t = F.max_by("tier2", F.struct(*VERSION))
+    tier2 = stages.filter(F.col("stage").isin(2, completed_stage(2)) & F.col("tier2").isNotNull())
     rows = tier2.groupBy("job_id").agg(F.max("url").alias("url"), t.alias("t"))
     names = (*_PAGE[1:], "tech_hints", "fields", "elapsed_ms")
     return rows.select(

@@ -31,9 +31,14 @@ def prompts(responses: DataFrame, options: Options | None = None, key: str = "pa
     eligible = enabled & is_eligible(F.col("decision"), F.col("fields"), page_type)
     pages = extract_pages(responses, options).select(key, "body", computed_once(eligible.alias("eligible")))
     body = F.when(F.col("eligible"), cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes))
-    texts = pages.select(key, text_blocks(body).alias("blocks")).select(
-        key, F.array(clean_text("blocks", options.max_text_bytes)).alias("texts")
+    return prompts_of(pages.select(key, body.alias("body")), options, key)
+
+
+def prompts_of(pages: DataFrame, options: Options, *keys: str) -> DataFrame:
+    """(keys, clean_text, prompt) of the bodies with readable text; a NULL body has none."""
+    texts = pages.select(*keys, text_blocks(F.col("body")).alias("blocks")).select(
+        *keys, F.array(clean_text("blocks", options.max_text_bytes)).alias("texts")
     )
     # An explode instead of a filter, which would be pushed below the parse and repeat it.
-    found = texts.select(key, F.explode(F.filter("texts", lambda t: t != "")).alias("clean_text"))
-    return found.select(key, "clean_text", prompt_text(F.col("clean_text")).alias("prompt"))
+    found = texts.select(*keys, F.explode(F.filter("texts", lambda t: t != "")).alias("clean_text"))
+    return found.select(*keys, "clean_text", prompt_text(F.col("clean_text")).alias("prompt"))

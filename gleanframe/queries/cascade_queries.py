@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..options import Options
 from ..plans import jobs
 from ..plans.analyze import analyze, analyze_rendered
-from ..plans.batch import run_batch
+from ..plans.batch import batch_prompts, run_batch, to_fetch
 from ..plans.cascade import decode_decision, encode_decision, public_result, run_cascade
-from ..schemas import FIELDS, HINTS
+from ..schemas import FIELDS
 from ..sources.tables import pages_as_responses, rendered_as_responses
 from ..streaming.stream import write_analysis_stream
 from .inputs import GATE_SQL, Col, as_pages, choose, event_responses, page, prose, table, text, variant
@@ -360,18 +360,19 @@ def j5_get_job(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "j6_resume",
-    f"""SELECT {_JOB_SQL} AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Done' ELSE 'Abort' END AS decision,
-               o_orderkey % 4 <> 0 AS analysed_now FROM orders""",
+    f"""SELECT {_JOB_SQL} AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Backoff'
+               ELSE CASE o_orderkey % 3 WHEN 0 THEN 'Escalate' WHEN 1 THEN 'Abort' ELSE 'Done' END END AS decision FROM orders""",
 )
 def j6_resume(spark: SparkSession, folder: str) -> DataFrame:
-    """A quarter of the jobs has a stored tier-2 result; only the others are analysed."""
-    orders = _job_orders(spark, folder)
-    stored_part = orders.filter(F.col("o_orderkey") % 4 == 0)
-    stages = jobs.tier2_rows(_no_analysis(stored_part, F.lit("Done")), _day(1))
-    todo = jobs.pending(orders, stages, 2)
-    analyzed = _no_analysis(todo, F.lit("Abort")).withColumn("page_type", F.lit("now"))
-    result = jobs.resume_analysis(orders, stages, analyzed.withColumn("tech_hints", F.lit(None).cast(HINTS)))
-    return result.select("job_id", "decision", (F.col("page_type") == "now").alias("analysed_now"))
+    """A quarter of the jobs was analysed and stored when their sites were busy; only the others are analysed now."""
+    path = work_folder(spark)
+    responses = _order_responses(spark, folder).withColumn("batch_id", F.lit("b1"))
+    responses = responses.withColumn("job_id", jobs.job_id(F.col("url"), F.col("batch_id")))
+    busy = responses.filter(F.col("page_id") % 4 == 0).withColumn("status", F.lit(429))
+    jobs.write_stage(jobs.tier2_rows(analyze(busy), F.lit("2024-01-01").cast("timestamp")), path)
+    stages = jobs.read_stages(spark, path)
+    result = jobs.resume_analysis(responses, stages, analyze(jobs.pending(responses, stages, 2)))
+    return result.select("job_id", "decision")
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -440,6 +441,67 @@ def j6_batch_in_two_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "j1_requests_without_response",
+    f"""SELECT {_JOB_SQL.replace("b1", "b")} AS job_id, CASE WHEN o_orderkey % 5 < 2 THEN 'created' ELSE 'tier2_complete' END AS status,
+               CASE o_orderkey % 5 WHEN 0 THEN 'https://api.example.com/' || o_orderkey WHEN 1 THEN 'https://example.com/' || o_orderkey END AS target
+        FROM orders""",
+)
+def j1_requests_without_response(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of which a fifth was never answered and a fifth failed; both are named again, some by their endpoint."""
+    path = work_folder(spark)
+    responses, kind = _order_responses(spark, folder), variant("page_id", 5)
+    endpoint = F.when(kind == 0, text("https://api.example.com/", Col("page_id"))).otherwise("")
+    requests = responses.select("url", endpoint.alias("api_endpoint"))
+    answered = responses.filter(kind != 0).withColumn("status", F.when(kind != 1, F.col("status")))
+    run_batch(answered, None, path, "b", "1", requests=requests.unionByName(requests))
+    view = jobs.job_view(jobs.read_stages(spark, path))
+    again = to_fetch(requests, path, "b").select("job_id", "target")
+    return view.join(again, "job_id", "left").select("job_id", "status", "target")
+
+
+@query(
+    "l5_stored_completions",
+    f"""SELECT {_JOB_SQL.replace("b1", "b")} AS job_id, COALESCE(p, false) AS prompted,
+               CASE WHEN k % 12 IN (6, 9) THEN CASE WHEN k % 5 = 0 THEN 'Escalate' ELSE 'Done' END ELSE decision END AS decision,
+               tier, CASE WHEN k % 12 IN (6, 9) AND k % 5 <> 0 THEN 'C' || k WHEN k % 12 NOT IN (6, 9) THEN description END AS found
+        FROM (SELECT o_orderkey AS k, * FROM orders) JOIN ({_CASCADE_SQL}) ON page_id = k
+        LEFT JOIN (SELECT o_orderkey AS pk, true AS p FROM orders WHERE o_orderkey % 12 IN (6, 9)) ON pk = k""",
+)
+def l5_stored_completions(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts of a stored batch go out, a second run brings completions, a third one has nothing left to do.
+
+    The shells have a line of text, so that there is something to ask about; every fifth completion is broken.
+    """
+    path = work_folder(spark)
+    line = "You need to enable JavaScript to run this page, which shows the whole story."
+    shell = page(text('<div id="root"></div><p>', line, "</p>"))
+    responses, renders = _order_responses(spark, folder), _order_renders(spark, folder)
+    responses = responses.withColumn("body", F.when(variant("page_id", 3) == 0, shell.cast("binary")).otherwise(F.col("body")))
+    empty = (F.col("tier") == 3) & (variant("page_id", 12) == 6)
+    renders = renders.withColumn("html", F.when(empty, shell).otherwise(F.col("html")))
+    run_batch(responses, renders, path, "b", "1")
+    asked = batch_prompts(renders, path, "b", spark)
+    key = F.col("page_id")
+    answer = F.when(key % 5 == 0, F.lit("no answer")).otherwise(text('{"description":"C', key, '"}'))
+    # Shells that were rendered and done there need no answer in tier 2 any more.
+    completions = responses.filter(variant("page_id", 12).isin(6, 9)).select(
+        "url", answer.alias("completion"), F.lit(None).cast("string").alias("error"), F.when(variant("page_id", 12) == 6, 3).otherwise(2).alias("tier")
+    )
+    for run in ("2", "3"):
+        result = run_batch(responses, renders, path, "b", run, completions=completions)
+    last = asked.join(result.select("job_id", F.col("tier").alias("of_tier"), "decision"), "job_id")
+    # Prompts that were asked in the tier where the job ended.
+    prompted = last.filter(F.col("tier") == F.col("of_tier")).select("job_id", F.lit(True).alias("prompted"))
+    return result.join(prompted, "job_id", "left").select(
+        "job_id",
+        F.coalesce("prompted", F.lit(False)).alias("prompted"),
+        "decision",
+        "tier",
+        F.try_element_at("fields", F.lit("description"))["value"].alias("found"),
+    )
+
+
 @query(
     "stream_analysis",
     """SELECT url, CASE WHEN strlen(html) < 5120 THEN 'mixed' ELSE 'content-rich' END AS page_type, 'Done' AS decision,

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.extractors import enabled_extractors, split_phases
+from ..operators.extractors import phase_of
 from ..operators.gate import due_backoffs, header, with_gate
 from ..operators.merge import explode_fields
 from ..options import ExtractorOption, Options
-from ..plans.analyze import analyze
+from ..plans.analyze import analyze, candidates
 from ..plans.cascade import public_result
 from ..sources import tables as src
-from .inputs import GATE_SQL, as_pages, choose, event_responses, page, pages, table, text, variant
+from .inputs import GATE_SQL, Col, as_pages, choose, event_responses, page, pages, prose, table, text, variant
 from .registry import query
 
 
@@ -261,19 +261,22 @@ def g5_due_backoffs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "m1_phases",
-    """SELECT 'globals off' AS registry, 'json-ld,next-data,inline-vars,meta-tags' AS first_phase, COUNT(*) AS n_pages FROM pages
-       UNION ALL SELECT 'four left', 'json-ld,next-data,state-globals,dom-text', COUNT(*) FROM pages
-       UNION ALL SELECT 'default', 'json-ld,next-data,state-globals,inline-vars', COUNT(*) FROM pages""",
+    """WITH p AS (SELECT page_id, page_id % 2 = 0 AS has_json FROM pages)
+       SELECT page_id, 'default' AS registry, 'meta-tags' AS source, 'second' AS phase FROM p
+       UNION ALL SELECT page_id, 'globals off', 'meta-tags', 'first' FROM p
+       UNION ALL SELECT page_id, r, 'json-ld', 'first' FROM p, (VALUES ('default'), ('globals off'), ('four left')) t(r) WHERE has_json""",
 )
 def m1_phases(spark: SparkSession, folder: str) -> DataFrame:
-    """First phase of three registries, next to the number of pages it would run on."""
+    """The phase that found each page's candidates: without the globals the meta tags move up to the first one."""
     off = ExtractorOption(enabled=False)
     four = {n: off for n in ("inline-var", "meta-tags", "microdata", "data-attr", "hidden-input", "css-hidden")}
-    registries = {"default": {}, "globals off": {"globals": off}, "four left": four}
-    names = {
-        name: ",".join(e.name for e in split_phases(enabled_extractors(Options(extractors=overrides)))[0])
-        for name, overrides in registries.items()
-    }
-    rows = F.array(*[F.struct(F.lit(n).alias("registry"), F.lit(p).alias("first_phase")) for n, p in names.items()])
-    counted = table(spark, folder, "pages").agg(F.count("*").alias("n_pages"))
-    return counted.select(F.explode(rows).alias("r"), "n_pages").select("r.*", "n_pages")
+    linked = text('<script type="application/ld+json">{"@type":"Article","headline":"H', Col("page_id"), '"}</script>')
+    head = F.concat(choose(variant("page_id", 2), linked, ""), text('<meta name="description" content="M', Col("page_id"), '">'))
+    responses = pages(spark, folder).withColumn("body", page(prose(), head).cast("binary"))
+    found = None
+    for registry, overrides in {"default": {}, "globals off": {"globals": off}, "four left": four}.items():
+        options = Options(extractors=overrides)
+        rows = candidates(responses, options).filter(F.col("key").isin("headline", "description"))
+        rows = rows.select("page_id", F.lit(registry).alias("registry"), "source", phase_of(F.col("source"), options).alias("phase"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -18,21 +18,24 @@ def analyze_stream(responses: DataFrame, options: Options | None = None) -> Data
 
 
 def write_analysis_stream(
-    responses: DataFrame, path: str, checkpoint: str, options: Options | None = None, available_now: bool = True
+    responses: DataFrame, path: str, checkpoint: str, options: Options | None = None, available_now: bool = True, batch: str | None = None
 ) -> StreamingQuery:
     """Writes tier-2 stage rows, one partition per micro-batch.
 
+    With ``batch`` the jobs are those of ``run_batch`` for that batch, which then skips what the stream has
+    analysed and goes on from there. Without it each response is a job of its own.
+
     A micro-batch that is replayed after a failure has the same id and replaces its own partition. The
     checkpoint is part of that id: another stream, or the same one from a new checkpoint, replaces nothing.
     """
 
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def save(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumns(
-            {"batch_id": F.lit(f"stream-{stream}-{epoch}"), "job_id": job_id(F.col("url"), F.col("page_id").cast("string"))}
-        )
-        write_stage(tier2_rows(rows, F.current_timestamp(), options), path)
+    def save(rows: DataFrame, epoch: int) -> None:
+        part = f"stream-{stream}-{epoch}" if batch is None else f"{batch}.stream-{stream}-{epoch}"
+        scope = F.col("page_id").cast("string") if batch is None else F.lit(batch)
+        rows = rows.withColumns({"batch_id": F.lit(part), "job_id": job_id(F.col("url"), scope)})
+        write_stage(tier2_rows(rows, F.current_timestamp(), options), path, (2, part))
 
     writer = analyze_stream(responses, options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -14,7 +14,7 @@ from gleanframe.plans.cascade import run_cascade
 from gleanframe.plans.prompts import prompts, readable_text
 from gleanframe.operators.fallback import apply_completions, completion_result
 from gleanframe.schemas import COMPLETIONS, RENDERED_PAGES, RESPONSES
-from gleanframe.plans.batch import run_batch
+from gleanframe.plans.batch import batch_prompts, run_batch, to_fetch
 from gleanframe.plans.links import followable_links, link_table
 from gleanframe.sources.tables import pages_as_responses, read_rendered_pages, read_responses, rendered_as_responses
 from gleanframe.streaming.stream import write_analysis_stream
@@ -349,3 +349,84 @@ def test_due_backoffs(spark):
     rows = due_backoffs(analyze(base), F.lit("2024-01-01 00:00:01").cast("timestamp")).collect()
     assert [(r.page_id, r.retry_after_s) for r in rows] == [(1, 0.0)]
     assert due_backoffs(analyze(base), F.lit("2024-01-01 00:00:02").cast("timestamp")).count() == 2
+
+
+def test_a_stage_without_rows_replaces_what_was_stored(spark, folder):
+    path = f"{folder}/replaced"
+    shell = '<div id="root"></div>'
+    base = responses(spark, [shell, shell])
+    run_batch(base, rendered(spark, [(0, 3, "u", FULL), (1, 3, "u", FULL)]), path, "b", "1")
+    assert jobs.read_stages(spark, path).filter("stage = 3").count() == 2
+    # The same run again, now without renders of these pages.
+    rows = run_batch(base, rendered(spark, []), path, "b", "1").collect()
+    assert {(r.tier, r.decision) for r in rows} == {(2, "Escalate")} and len(rows) == 2
+    assert jobs.read_stages(spark, path).filter("stage = 3").count() == 0
+    finished = jobs.finished_stages(spark, path).select("stage", "batch_id").collect()
+    assert sorted(map(tuple, finished)) == [(s, "b.1") for s in range(5)]
+    # Other input under the same name would lose the first input's rows.
+    with pytest.raises(ValueError, match="new name"):
+        run_batch(base.filter("page_id = 0"), None, path, "b", "1")
+    assert jobs.read_stages(spark, path).filter("stage = 2").count() == 2
+
+
+def test_requests_without_a_response_stay_created(spark, folder):
+    path = f"{folder}/requests"
+    base = responses(spark, [FULL, FULL, FULL])
+    requests = base.select("url", F.expr("IF(page_id = 2, 'https://api.example.com/2', '')").alias("api_endpoint"))
+    assert to_fetch(requests, path, "b").count() == 3
+    answered = base.withColumn("status", F.expr("IF(page_id = 1, NULL, status)")).filter("page_id < 2")
+    answered = answered.withColumn("content_type", F.lit("text/html; charset=utf-8"))
+    results = run_batch(answered, None, path, "b", "1", requests=requests.unionByName(requests))
+    assert [(r.url[-1], r.decision) for r in results.collect()] == [("0", "Done")]
+    view = {r.url[-1]: r for r in jobs.job_view(jobs.read_stages(spark, path)).collect()}
+    assert {k: r.status for k, r in view.items()} == {"0": "tier2_complete", "1": "created", "2": "created"}
+    assert view["0"].tier1.content_type == "text/html"
+    targets = {r.url[-1]: r.target for r in to_fetch(requests, path, "b").collect()}
+    assert targets == {"1": "https://example.com/1", "2": "https://api.example.com/2"}
+    run_batch(base.filter("page_id > 0"), None, path, "b", "2", requests=requests)
+    assert to_fetch(requests, path, "b").isEmpty()
+    assert {r.status for r in jobs.job_view(jobs.read_stages(spark, path)).collect()} == {"tier2_complete"}
+
+
+def test_completions_are_a_stored_stage(spark, folder):
+    path = f"{folder}/completions"
+    base = responses(spark, [SHELL, SHELL, SHELL, FULL])
+    renders = rendered(spark, [(1, 3, "u", SHELL), (2, 3, "u", SHELL), (2, 4, "u", SHELL)])
+    run_batch(base, renders, path, "b", "1")
+    asked = {(r.url[-1], r.tier) for r in batch_prompts(renders, path, "b", spark).collect()}
+    assert asked == {("0", 2), ("1", 2), ("2", 2), ("1", 3), ("2", 3), ("2", 4)}
+    given = [(0, 2, '{"title":"x"}', None), (1, 3, '{"title":"y"}', None), (2, 3, '{"title":"z"}', None), (2, 4, None, "failed"), (3, 2, '{"title":"no"}', None)]
+    completions = spark.createDataFrame(
+        [(f"https://example.com/{i}", *rest) for i, *rest in given], "url string, tier int, completion string, error string"
+    )
+    off = run_batch(base, renders, path, "b", "2", Options(fallback_enabled=False), completions=completions)
+    assert {r.decision for r in off.filter("url NOT LIKE '%3'").collect()} == {"Escalate"}
+    for run in ("3", "3", "4"):  # the same run again, then one that has nothing left to do
+        rows = {r.url[-1]: r for r in run_batch(base, renders, path, "b", run, completions=completions).collect()}
+        # A completion of tier 3 that comes after tier 4 ran ends the job in tier 3.
+        assert {k: (r.tier, r.decision) for k, r in rows.items()} == {
+            "0": (2, "Done"), "1": (3, "Done"), "2": (3, "Done"), "3": (2, "Done")
+        }
+        assert [(rows[k].fields["title"].value, rows[k].fields["title"].source) for k in "012"] == [("x", "llm"), ("y", "llm"), ("z", "llm")]
+        stored = jobs.read_stages(spark, path).groupBy("stage", "batch_id").count().filter("stage > 10").collect()
+        assert sorted(map(tuple, stored)) == [(12, "b.3", 1), (13, "b.3", 2)]
+    assert {(r.url[-1], r.tier) for r in batch_prompts(renders, path, "b", spark).collect()} == {("1", 2), ("2", 2), ("2", 4)}
+    # The tier itself, run again, does not undo its completions.
+    rows = {r.url[-1]: r.decision for r in run_batch(base, renders, path, "b", "1").collect()}
+    assert set(rows.values()) == {"Done"}
+    view = jobs.job_view(jobs.read_stages(spark, path)).filter("url LIKE '%0'").first()
+    assert (view.status, view.tier2.decision, view.tier2.page_type != "") == ("tier2_complete", "Done", True)
+    assert {r.decision for r in jobs.stored_analysis(jobs.read_stages(spark, path)).filter("url LIKE '%0'").collect()} == {"Done"}
+
+
+def test_stream_and_batch_share_jobs(spark, folder):
+    from gleanframe.sources.tables import stream_responses
+
+    path, source = f"{folder}/shared", f"{folder}/shared-in"
+    base = responses(spark, [FULL, '<div id="root"></div>'])
+    base.write.parquet(source)
+    write_analysis_stream(stream_responses(spark, source), path, f"{folder}/shared-ckpt", batch="b").awaitTermination()
+    streamed = {r.job_id for r in jobs.read_stages(spark, path).collect()}
+    rows = run_batch(base, rendered(spark, [(1, 3, "u", FULL)]), path, "b", "1").collect()
+    assert {r.job_id for r in rows} == streamed and sorted((r.tier, r.decision) for r in rows) == [(2, "Done"), (3, "Done")]
+    assert {r.batch_id.split(".")[1][:6] for r in jobs.read_stages(spark, path).filter("stage = 2").collect()} == {"stream"}
