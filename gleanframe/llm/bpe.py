@@ -14,7 +14,10 @@ Ids may be NULL or repeated: each row is encoded. Other columns are not passed o
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,19 +29,53 @@ CHUNK = 32_768
 OVERLAP = 1_024
 #: A boundary this far from a chunk's end cannot change with what follows: longest look-ahead of the pattern.
 MARGIN = 16
-#: Boundaries count only between characters that every library classifies alike.
-_COMMON = "ɐ"
+
+
+def _own(pattern: str) -> str:
+    """The pattern for the library that finds boundaries; the encoder's own one means Unicode white space by \\s."""
+    return pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+
+
+@lru_cache(maxsize=8)
+def _members_by_encoder(kind: str):
+    """Finds the characters of a text that are of a kind, such as \\p{L}, with the encoder's own engine.
+
+    The engine passes over what the pattern does not match, and single bytes as ranks give the rest back.
+    """
+    probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return lambda text: set(probe.decode(probe.encode_ordinary(text)))
+
+
+#: Per pattern, whether a character is of the same kinds in both libraries; at most one entry per code point.
+_alike: dict[str, dict[str, bool]] = {}
+
+
+def unlike(text: str, pattern: str) -> set[str]:
+    """The characters of a text that the encoder and the boundary library classify differently: their tables have different ages."""
+    import regex
+
+    known = _alike.setdefault(pattern, {})
+    new = "".join(sorted(set(text) - known.keys()))
+    if new:
+        differ = set()
+        for kind in set(regex.findall(r"\\p\{\w+\}|\\s", pattern)):
+            differ |= _members_by_encoder(kind)(new) ^ set(regex.findall(_own(kind), new))
+        known.update((c, c not in differ) for c in new)
+    return {c for c in set(text) if not known[c]}
 
 
 def boundaries(text: str, pattern: str) -> list[int]:
-    """Where the pattern's matches start, except after white space, whose matches look at what follows."""
+    """Where the pattern's matches start, in any script.
+
+    Not after white space, whose matches look at what follows, and not next to characters that the
+    libraries classify differently; two before count, as an apostrophe's match depends on what it follows.
+    """
     import regex
 
-    # The encoder's library means Unicode white space by \s.
-    own = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    odd = unlike(text, pattern)
     return [
-        at for m in regex.finditer(own, text)
-        if (at := m.start()) and not text[at - 1].isspace() and max(text[at - 1 : at + 2]) < _COMMON
+        at for m in regex.finditer(_own(pattern), text)
+        if (at := m.start()) and not text[at - 1].isspace() and (not odd or odd.isdisjoint(text[max(0, at - 2) : at + 2]))
     ]
 
 

@@ -115,3 +115,34 @@ def test_packing(spark):
         assert at <= size
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack(empty, public.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_long_texts_of_every_script_become_pieces(spark):
+    rng = random.Random(9)
+    letters = {"ru": "абвгдежзийклмн", "el": "αβγδεζηθικ", "hi": "कखगघचछजझ", "zh": "天地玄黃宇宙洪荒"}
+    texts = {k: "".join("".join(rng.choices(v, k=rng.randint(2, 12))) + rng.choice(" ，।!") for _ in range(16_000)) for k, v in letters.items()}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts.values())], SCHEMA)
+    long = docs.selectExpr("doc_id", "doc_id AS row", "text")
+    pieces = bpe.chunk_pieces(long, public.PATTERN, bpe.CHUNK, bpe.OVERLAP).collect()
+    coder = encoding(RANKS, public.PATTERN)
+    for i, text in enumerate(texts.values()):
+        parts = [r.text for r in sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.part)]
+        assert len(parts) == -(-(len(text) - bpe.OVERLAP) // (bpe.CHUNK - bpe.OVERLAP)) >= 3 and "".join(parts) == text
+        assert [x for p in parts for x in coder.encode_ordinary(p)] == coder.encode_ordinary(text)
+
+
+def test_characters_that_the_libraries_know_differently():
+    import regex
+
+    # Every character that only one library takes for a letter, digit or space is found, in any script.
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000, 7)]))
+    odd = bpe.unlike(text, public.PATTERN)
+    for kind in (r"\p{L}", r"\p{N}"):
+        ours = set(regex.findall(kind, text))
+        theirs = bpe._members_by_encoder(kind)(text)
+        assert ours ^ theirs <= odd
+    assert not odd & set("aZ09 \n'é漢字яकα") and bpe.unlike("", public.PATTERN) == set()
+    # No boundary next to such a character, nor after an apostrophe behind one.
+    for c in sorted(odd)[:50]:
+        text = f"ab {c}'s cd"
+        assert all(at in (0, 2, 6) for at in bpe.boundaries(text, public.PATTERN)), (text, bpe.boundaries(text, public.PATTERN))
