@@ -35,6 +35,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while not taken.isdisjoint(n.lower() for n in names):
+        names = tuple(n + "_" for n in names)
+    return list(names)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; NULL and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
@@ -97,9 +105,9 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*keep, fields).select(*keep, *[F.col(f"{name}.{k}").alias(k) for k in columns])
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """mapInArrow over rows as tuples: ``rows`` gets those of one bounded batch at a time."""
-    types = to_arrow_schema(StructType.fromDDL(schema))
+    types = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, join_hot, saved
+from .common import SPACES, fresh, join_hot, saved
 
 _OWN = ("_hash", "_keep", "_size", "_texts", "_text")
 
@@ -75,8 +75,9 @@ def exact_dedup(
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha_of_row", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col("_sha_of_row").eqNullSafe(F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    key, sha, own = fresh(docs, "_id", "_sha", "_sha_of_row")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha))
+    rows = docs.withColumn(own, F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col(own).eqNullSafe(F.col(sha)) & F.col(id_col).eqNullSafe(F.col(key))
     rows = rows.join(kept, same, "left_semi")
-    return rows.dropDuplicates([id_col, "_sha_of_row"]).drop("_sha_of_row")
+    return rows.dropDuplicates([id_col, own]).drop(own)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BitFilter, join_hot, saved
+from .common import BitFilter, fresh, join_hot, saved
 
 WIDTH = 3
 #: Smallest similarity in hundredths, and the least one that the keys can serve.
@@ -336,12 +336,13 @@ def without_near_copies(
 ) -> DataFrame:
     """One row of each component with all its columns: one with the smallest id. Rows without words stay."""
     found = _components(docs, id_col, text_col, width, percent, budget).filter("n > 0")
-    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("sign").alias("_sign")).agg(F.max("first").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    key, sign, own = fresh(docs, "_id", "_sign", "_sign_of_row")
+    keys = found.groupBy(F.col("doc_id").alias(key), F.col("sign").alias(sign)).agg(F.max("first").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     touched = saved(keys.filter("NOT _first OR _rows > 1"))
-    rows = docs.withColumn("_sign_of_row", F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_sign_of_row") == F.col("_sign"))
-    out = rows.join(touched.select("_id", "_sign"), same, "left_anti")
-    again = touched.filter("_first").select("_id", "_sign")  # rows that repeat id and text: one of them
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sign))
+    out = rows.join(touched.select(key, sign), same, "left_anti")
+    again = touched.filter("_first").select(key, sign)  # rows that repeat id and text: one of them
     if not again.isEmpty():
-        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates([id_col, "_sign_of_row"]))
-    return out.drop("_sign_of_row")
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)

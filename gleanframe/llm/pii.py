@@ -21,8 +21,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice, takewhile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from .common import map_rows
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The pattern for addresses fails inside a run of digits where it fails at its start, so it is tried at starts only.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_SET = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -42,6 +44,8 @@ _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 
 #: Islands of each sort that the field is trained on.
 SAMPLE = 300
+#: Longest island, in characters, that the field is trained on; it is applied to islands of any length.
+SAMPLE_CHARS = 200
 EPOCHS = 4
 #: Longest entity, in tokens.
 MAX_TOKENS = 16
@@ -243,14 +247,18 @@ def _log_sum(values: list[float]) -> float:
 def _inside(spans: list[tuple[str, int, int]], at: int, end: int) -> list[tuple[str, int, int]]:
     """Spans within [at, end), first kind first where they overlap, as places in that part."""
     out: list[tuple[str, int, int]] = []
-    for kind, a, b in spans:
-        if at <= a and b <= end and all(b <= at + x or at + y <= a for _, x, y in out):
-            out.append((kind, a - at, b - at))
+    for kind in KINDS:  # the spans of a kind are in order
+        low = bisect_left(spans, (KINDS.index(kind), at), key=lambda s: (KINDS.index(s[0]), s[1]))
+        for _, a, b in takewhile(lambda s: s[0] == kind and s[1] < end, islice(spans, low, None)):
+            if b <= end and all(b <= at + x or at + y <= a for _, x, y in out):
+                out.append((kind, a - at, b - at))
     return out
 
 
-def sample(docs: DataFrame, text_col: str = "text", size: int = SAMPLE) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Training islands: `size` distinct ones with base spans and as many without, by smallest hash."""
+def sample(
+    docs: DataFrame, text_col: str = "text", size: int = SAMPLE, chars: int = SAMPLE_CHARS
+) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Training islands of up to `chars`: `size` distinct ones with base spans and as many without, by smallest hash."""
 
     def rows(batch: Iterator[tuple]) -> Iterator[tuple]:
         found: dict[str, tuple] = {}
@@ -259,7 +267,7 @@ def sample(docs: DataFrame, text_col: str = "text", size: int = SAMPLE) -> list[
                 continue
             spans = base_spans(text)
             for at, island in islands(text):
-                if len(island) <= 200:
+                if len(island) <= chars:
                     inside = _inside(spans, at, at + len(island))
                     rank = int.from_bytes(hashlib.blake2b(island.encode(), digest_size=7).digest(), "big")
                     found[island] = (rank, bool(inside), island, [f"{k}:{a}:{b}" for k, a, b in inside])
@@ -294,13 +302,20 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list
         for at, island in islands(text)
         for kind, a, b in field.best(island)
     ]
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []  # the base spans' union, in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(b, taken[-1][1])
+        else:
+            taken.append((a, b))
     added = [x for x in added if not _overlaps(taken, x[1], x[2])]
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
 def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(a < end and start < b for a, b in taken)
+    """Whether [start, end) meets one of the intervals, which are apart and in order."""
+    at = bisect_left(taken, (end,)) - 1
+    return at >= 0 and start < taken[at][1]
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -348,4 +363,4 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
                     row[length_at] = len(row[at])
             yield tuple(row)
 
-    return map_rows(docs, docs.schema.simpleString()[7:-1], rows)
+    return map_rows(docs, docs.schema, rows)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_hot, once, saved, words
+from .common import SPACES, fresh, join_hot, once, saved, words
 
 SYMBOLS = "#*$%&|<>"
 #: Share of a group's rows in the tight subset.
@@ -210,7 +210,8 @@ def judged(
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    rejected = judged(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("_id"), "_sign").distinct()
-    rows = docs.withColumn("_sign_of_row", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sign_of_row") == F.col("_sign"))
-    return rows.join(rejected, same, "left_anti").drop("_sign_of_row")
+    key, sign, own = fresh(docs, "_id", "_sign", "_sign_of_row")
+    rejected = judged(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias(key), F.col("_sign").alias(sign)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sign))
+    return rows.join(rejected, same, "left_anti").drop(own)

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -138,3 +139,45 @@ def test_rows_and_masks(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pii.find(empty).count() == 0 and pii.masked(empty).count() == 0
+
+
+def test_long_runs_take_seconds():
+    rng = random.Random(4)
+    dense = "".join(rng.choice(["1.2.3.4", "1.2.3.", "12.300.1.9", "7" * 30, ".", " ", "a@b.c", "+1 234 567 890", "x"]) for _ in range(4000))
+    assert pii.base_spans(dense) == plain(dense)
+    for text, n in (("7" * 1_000_000, 0), ("1.2.3." * 100_000, 75_000), ("10.0.0.1 " * 100_000, 100_000)):
+        start = time.monotonic()
+        assert sum(k == "ip" for k, *_ in pii.base_spans(text)) == n
+        assert time.monotonic() - start < 20
+
+
+def test_overlaps_and_spans_inside():
+    rng = random.Random(5)
+    for _ in range(300):
+        spans = sorted(
+            {(rng.choice(pii.KINDS), a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(8))},
+            key=lambda s: (pii.KINDS.index(s[0]), s[1]),
+        )
+        apart = []
+        for s in spans:  # spans of one kind never overlap
+            if all(s[0] != t[0] or t[2] <= s[1] for t in apart):
+                apart.append(s)
+        at, end = sorted(rng.sample(range(70), 2))
+        want = []
+        for kind, a, b in apart:
+            if at <= a and b <= end and all(b <= at + x or at + y <= a for _, x, y in want):
+                want.append((kind, a - at, b - at))
+        assert pii._inside(apart, at, end) == want
+        union = []
+        for a, b in sorted((a, b) for _, a, b in apart):
+            if union and a < union[-1][1]:
+                union[-1] = union[-1][0], max(b, union[-1][1])
+            else:
+                union.append((a, b))
+        assert pii._overlaps(union, at, end) == any(a < end and at < b for _, a, b in apart)
+
+
+def test_masked_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("mail a.b@example.com now", 1, "x"), (None, None, None)], "text string, `a b` int, `_id` string")
+    out = pii.masked(docs, field=pii.Field())
+    assert out.columns == ["text", "a b", "_id"] and [tuple(r) for r in out.collect()] == [("mail <EMAIL> now", 1, "x"), (None, None, None)]

@@ -87,3 +87,16 @@ def test_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, "unused"))
     assert docs.count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    rows = planted()
+    names = ["_id", "_sign", "_sign_of_row", "_sha", "_sha_of_row", "_first", "_rows", "_ID_", "kept", "row"]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame([(*r, *map(str, range(len(names)))) for r in rows], SCHEMA + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, docs, "unused"), stage(spark, plain, "unused")
+        assert got.columns == docs.columns, name
+        extra = {tuple(r[5:]) for r in got.collect()}
+        assert extra == {tuple(map(str, range(len(names))))}
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect()), name
