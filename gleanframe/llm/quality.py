@@ -6,8 +6,9 @@ together most tightly, found by concentration steps from a start at medians; the
 of the transformed statistics, scaled so that its median is that of the chi-square law, must stay
 within a cutoff. Scatter has a floor, as clean groups often have no variance in a statistic.
 
-A group is a language and source with `min_rows` documents; smaller ones form one group per language,
-and what is still too small one group of all. If that is too small as well, its documents pass.
+Of several starts the one that leads to the smallest determinant counts. A group is a language and source
+with `min_rows` documents; smaller ones form one group per language, and what is still too small one group
+of all. That one's estimate is drawn towards the corpus (PRIOR_ROWS), so every document is judged.
 NULL language or source is a value of its own. NULL and texts without words fail the base rules.
 Ids may be NULL or repeated: each row is judged. Extra columns are ignored by `judged`, kept by `clean`.
 
@@ -17,6 +18,8 @@ joined where they lie.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,12 @@ SUBSET = 0.75
 #: Concentration steps; the determinant falls at each and settles within a few.
 STEPS = 3
 MIN_ROWS = 200
+#: Name of the group of all that is small, and how many rows the corpus counts for in its estimate.
+REST = "all"
+PRIOR_ROWS = 50
+#: Variance of clean texts at large, in squared floors; stands in for the corpus where no group is large.
+WIDE = 9.0
+_APART = "\x02"
 #: Median of the chi-square law with as many degrees of freedom as there are statistics.
 CHI2_MEDIAN = 4.351
 #: Largest scaled squared distance that passes: far beyond chi-square's 1 - 1e-9 quantile, as statistics of
@@ -43,6 +52,7 @@ SMOOTH = (0.15, 0.2)
 MAX_REPEATED = 0.5
 _P = len(FLOORS)
 _X = [f"x{j}" for j in range(_P)]
+_PAIRS = [(j, k) for j in range(_P) for k in range(j + 1)]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,19 +114,17 @@ def transformed() -> list[Column]:
 
 
 def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
-    """rows with _group; NULL for rows whose group is too small at every level."""
+    """rows with _group: the cell, the language's small cells together, or all that is still small."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     rows = rows.withColumn("_cell", F.concat_ws("\x01", part("_lang"), part("_source")))
     cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.first("_lang").alias("_l"))
     cells = cells.withColumn("_small", F.col("_n") < min_rows).withColumn("_l", F.coalesce(F.concat(F.lit("="), "_l"), F.lit("-")))
     pools = cells.filter("_small").groupBy("_l").agg(F.sum("_n").alias("_pool"))
-    rest = pools.filter(F.col("_pool") < min_rows).agg(F.coalesce(F.sum("_pool"), F.lit(0)).alias("_rest"))
-    left = rest.first()["_rest"]  # one number
     cells = cells.join(pools, "_l", "left")
     group = (
         F.when(~F.col("_small"), F.concat(F.lit("cell "), "_cell"))
         .when(F.col("_pool") >= min_rows, F.concat(F.lit("lang "), "_l"))
-        .when(F.lit(left >= min_rows), F.lit("all"))
+        .otherwise(F.lit(REST))
     )
     return join_hot(rows, saved(cells.select("_cell", "_n", group.alias("_group"))), "_cell", "_n").drop("_n", "_cell")
 
@@ -157,37 +165,116 @@ def _distances(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
     return df.select(*rows.columns, *more, total.alias("_d2"))
 
 
-def estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """Per _group: centre, scatter factor, and _scale, the median squared distance. rows is a written table."""
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    start = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), *[middle(x).alias(f"m{j}") for j, x in enumerate(_X)])
-    start = saved(start)
-    near = join_hot(rows, start, "_group", "_n").groupBy("_group").agg(
-        F.first("_n").alias("_n"),
-        *[F.first(f"m{j}").alias(f"m{j}") for j in range(_P)],
-        *[middle(F.abs(F.col(x) - F.col(f"m{j}"))).alias(f"a{j}") for j, x in enumerate(_X)],
-    )
-    factor = {f"l{j}{k}": (F.col(f"a{j}") * 1.4826 + FLOORS[j] if j == k else F.lit(0.0)) for j in range(_P) for k in range(j + 1)}
-    estimate = saved(near.select("_group", "_n", *[f"m{j}" for j in range(_P)], *[c.alias(k) for k, c in factor.items()]))
+def _concentrated(rows: DataFrame, estimate: DataFrame, steps: int, subset: float) -> DataFrame:
+    """Moments per _group of the rows nearest to the estimate, each step by the scatter of the one before."""
+    moments = None
     for _ in range(steps):
-        far = _distances(rows, estimate)
+        far = _distances(rows, estimate if moments is None else saved(_cholesky(moments)))
         radius = far.groupBy("_group").agg(F.percentile_approx("_d2", subset, 1000).alias("_r"), F.count(F.lit(1)).alias("_all"))
         tight = join_hot(far, saved(radius), "_group", "_all").filter("_d2 <= _r")
-        moments = tight.groupBy("_group").agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.avg(x).alias(f"m{j}") for j, x in enumerate(_X)],
-            *[F.sum(F.col(_X[j]) * F.col(_X[k])).alias(f"s{j}{k}") for j in range(_P) for k in range(j + 1)],
+        moments = saved(
+            tight.groupBy("_group").agg(
+                F.count(F.lit(1)).alias("_n"),
+                *[F.avg(x).alias(f"m{j}") for j, x in enumerate(_X)],
+                *[F.sum(F.col(_X[j]) * F.col(_X[k])).alias(f"s{j}{k}") for j, k in _PAIRS],
+            )
         )
-        estimate = saved(_cholesky(moments))
-    scale = _distances(rows, estimate).groupBy("_group").agg(middle("_d2").alias("_scale"))
+    return moments
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Per _group and _start an estimate: medians, and scatter by absolute deviations, by tanh scores, by spatial signs.
+
+    Far rows have little or no weight in either, so some start lies within the bulk of the rows.
+    """
+    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
+    centre = saved(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), *[middle(x).alias(f"m{j}") for j, x in enumerate(_X)]))
+    same = [F.first("_n").alias("_n"), *[F.first(f"m{j}").alias(f"m{j}") for j in range(_P)]]
+    width = [(middle(F.abs(F.col(x) - F.col(f"m{j}"))) * 1.4826 + FLOORS[j]).alias(f"a{j}") for j, x in enumerate(_X)]
+    near = saved(join_hot(rows, centre, "_group", "_n").groupBy("_group").agg(*same, *width))
+    scaled = join_hot(rows, near, "_group", "_n").select(
+        "_group", "_n", *[f"m{j}" for j in range(_P)], *[f"a{j}" for j in range(_P)],
+        *[((F.col(x) - F.col(f"m{j}")) / F.col(f"a{j}")).alias(f"z{j}") for j, x in enumerate(_X)],
+    )
+    z = [F.col(f"z{j}") for j in range(_P)]
+    norm = F.sqrt(sum((c * c for c in z[1:]), z[0] * z[0]) + 1e-12)
+    scaled = scaled.withColumn("z", norm)
+    kept = [F.first(f"a{j}").alias(f"a{j}") for j in range(_P)]
+    sums = saved(
+        scaled.groupBy("_group").agg(
+            *same, *kept,
+            *[F.avg(F.tanh(z[j]) * F.tanh(z[k])).alias(f"t{j}{k}") for j, k in _PAIRS],
+            *[F.avg(z[j] * z[k] / (F.col("z") * F.col("z"))).alias(f"u{j}{k}") for j, k in _PAIRS],
+        )
+    )
+
+    def start(number: int, scatter: dict[tuple[int, int], Column]) -> DataFrame:
+        products = [((scatter[j, k] * F.col(f"a{j}") * F.col(f"a{k}") + F.col(f"m{j}") * F.col(f"m{k}")) * F.col("_n")).alias(f"s{j}{k}") for j, k in _PAIRS]
+        moments = sums.select("_group", "_n", *[f"m{j}" for j in range(_P)], *products)
+        return _cholesky(moments).withColumn("_start", F.lit(number))
+
+    found = start(0, {(j, k): F.lit(1.0 if j == k else 0.0) for j, k in _PAIRS})
+    found = found.unionByName(start(1, {(j, k): F.col(f"t{j}{k}") * 2 for j, k in _PAIRS}))
+    return found.unionByName(start(2, {(j, k): F.col(f"u{j}{k}") * _P for j, k in _PAIRS}))
+
+
+def estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
+    """Per _group: centre, scatter factor, and _scale, the median squared distance or that of the chi-square law if it is smaller.
+
+    rows is a written table.
+
+    Every start takes two concentration steps; the one with the smallest determinant takes ``steps`` more.
+    """
+    first = starts(rows).withColumn("_group", F.concat_ws(_APART, "_group", "_start")).drop("_start")
+    number = F.explode(F.array(*[F.lit(n) for n in range(3)]))
+    copies = rows.select("_group", *_X, number.alias("_start"))
+    copies = copies.select(F.concat_ws(_APART, "_group", "_start").alias("_group"), *_X)
+    tried = _cholesky(_concentrated(copies, saved(first), 2, subset))
+    names = [c for c in tried.columns if c not in ("_group", "_n")]
+    size = sum((F.log(F.col(f"l{j}{j}")) for j in range(1, _P)), F.log(F.col("l00")))
+    tried = tried.select(F.substring_index("_group", _APART, 1).alias("_group"), F.substring_index("_group", _APART, -1).alias("_start"), "_n", size.alias("_size"), *names)
+    best = tried.groupBy("_group").agg(F.min_by(F.struct("_n", *names), F.struct("_size", "_start")).alias("b")).select("_group", "b.*")
+    moments = _blended(_concentrated(rows, saved(best), steps, subset))
+    estimate = saved(_cholesky(moments))
+    scale = _distances(rows, estimate).groupBy("_group").agg(F.percentile_approx("_d2", 0.5, 1000).alias("_scale"), F.count(F.lit(1)).alias("_rows"))
+    scale = saved(scale.withColumn("_scale", F.greatest("_scale", F.lit(CHI2_MEDIAN))))
+    # The small group's scale is drawn towards the others' in the same way, as most of its rows may lie far off.
+    usual = scale.filter(F.col("_group") != REST).agg(F.avg(F.log("_scale"))).first()[0] or math.log(CHI2_MEDIAN)  # one number
+    drawn = F.exp((F.col("_rows") * F.log("_scale") + PRIOR_ROWS * usual) / (F.col("_rows") + PRIOR_ROWS))
+    scale = scale.select("_group", F.when(F.col("_group") == REST, drawn).otherwise(F.col("_scale")).alias("_scale"))
     return saved(estimate.join(scale, "_group"))
 
 
+def _blended(moments: DataFrame) -> DataFrame:
+    """Moments where the group of all that is small is drawn towards the corpus by PRIOR_ROWS rows.
+
+    The corpus is all other groups together; without any, the scatter of clean texts at large stands in.
+    """
+    names = [f"m{j}" for j in range(_P)]
+    totals = [F.sum(F.col("_n") * F.col(m)).alias(m) for m in names] + [F.sum(f"s{j}{k}").alias(f"s{j}{k}") for j, k in _PAIRS]
+    corpus = moments.filter(F.col("_group") != REST).agg(F.sum("_n").alias("_n"), *totals).first()  # one row
+    n, k = F.col("_n"), F.lit(float(PRIOR_ROWS))
+    if corpus["_n"]:
+        centre = [F.lit(corpus[m] / corpus["_n"]) for m in names]
+        spread = {(i, j): F.lit(corpus[f"s{i}{j}"] / corpus["_n"]) - centre[i] * centre[j] for i, j in _PAIRS}
+    else:
+        centre = [F.col(m) for m in names]
+        spread = {(i, j): F.lit(WIDE * FLOORS[i] ** 2 if i == j else 0.0) for i, j in _PAIRS}
+    mean = [(n * F.col(m) + k * c) / (n + k) for m, c in zip(names, centre, strict=True)]
+    products = [
+        ((n * (F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) + k * spread[i, j]) + (n + k) * mean[i] * mean[j]).alias(f"s{i}{j}")
+        for i, j in _PAIRS
+    ]
+    rest = moments.filter(F.col("_group") == REST)
+    rest = rest.select("_group", (n + k).alias("_n"), *[c.alias(m) for c, m in zip(mean, names, strict=True)], *products)
+    return moments.filter(F.col("_group") != REST).withColumn("_n", n.cast("double")).unionByName(rest)
+
+
 def judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     min_rows: int = MIN_ROWS, cutoff: float = CUTOFF,
 ) -> DataFrame:
-    """Per row: id, the counts, base_failed, kept, and distance (scaled and squared, NULL if not judged)."""
+    """Per row: id, the counts, base_failed, kept, and distance (scaled and squared, NULL where base rules failed)."""
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"),
         F.col(source_col).cast("string").alias("_source"), F.xxhash64(F.col(text_col)).alias("_sign"),
@@ -196,16 +283,14 @@ def judged(
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = saved(rows.withColumn("base_failed", failed).select("*", *[x.alias(n) for n, x in zip(_X, transformed(), strict=True)]))
     passing = saved(_grouped(rows.filter("NOT base_failed"), min_rows))
-    to_judge = passing.filter("_group IS NOT NULL")
-    df = _distances(to_judge, estimates(to_judge), "_scale")
-    distance = F.col("_d2") * CHI2_MEDIAN / F.greatest(F.col("_scale"), F.lit(CHI2_MEDIAN))
+    df = _distances(passing, estimates(passing), "_scale")
+    distance = F.col("_d2") * CHI2_MEDIAN / F.col("_scale")
     columns = [
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
     ]
     measured = df.withColumn("distance", distance).select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance", "_sign")
-    unjudged = passing.filter("_group IS NULL").select(*columns, F.lit(True).alias("kept"), F.lit(None).cast("double").alias("distance"), "_sign")
     out = rows.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "_sign")
-    return measured.unionByName(unjudged).unionByName(out)
+    return measured.unionByName(out)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -6,9 +6,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gleanframe.llm import quality
+from gleanframe.llm.common import saved
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, _n string"
 
@@ -57,13 +59,65 @@ def test_counts_and_verdicts(spark, corpus):
     assert kept == {i for i, r in out.items() if r.kept}
 
 
-def test_small_groups_pass_and_rows_repeat(spark, corpus):
+def test_small_groups_are_judged_and_rows_repeat(spark, corpus):
     texts, junk, _ = corpus
-    rows = [(None, texts[0], "en", "s", "", ""), (None, texts[0], "en", "s", "", ""), (3, junk[0], "en", "s", "", "")]
+    # No group is large: the scatter of clean texts at large stands in.
+    rows = [(None, texts[0], "en", "s", "", "")] * 2 + [(i, texts[i], f"l{i % 9}", "s", "", "") for i in range(1, 25)] + [(99, junk[0], "en", "s", "", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     out = quality.judged(docs).collect()
-    assert len(out) == 3 and all(r.kept and r.distance is None for r in out)
-    assert quality.clean(docs).columns == docs.columns and quality.clean(docs).count() == 3
+    assert len(out) == 27 and all(r.distance is not None for r in out)
+    assert {r.doc_id for r in out if not r.kept} == {99}
+    assert quality.clean(docs).columns == docs.columns and quality.clean(docs).count() == 26
+    assert quality.judged(docs.filter("doc_id IS NULL")).filter("kept").count() == 2
+    # One language is large: rows of small groups are held against the corpus, also where most of them are bad.
+    rows = [(i, t, "en", "s", "", "") for i, t in enumerate(texts)] + [(1000, texts[3], "la", "x", "", ""), *((2000 + i, j, "fy", f"y{i}", "", "") for i, j in enumerate(junk))]
+    out = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[i].kept for i in range(len(texts))) and out[1000].kept
+    assert not any(out[2000 + i].kept for i in range(len(junk)))
+
+
+def plain_determinant(points: np.ndarray, share: float, rng: np.random.Generator) -> float:
+    """Smallest determinant of the scatter, floor included, over many random starts run to convergence."""
+    n, p = points.shape
+    h, floor, best = int(np.ceil(share * n)), np.diag(np.square(quality.FLOORS)), np.inf
+    for _ in range(200):
+        held = rng.choice(n, p + 1, replace=False)
+        while True:
+            part = points[held]
+            scatter = np.cov(part.T, bias=True) + floor
+            off = points - part.mean(0)
+            nearest = np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off))[:h]
+            if set(nearest) == set(held):
+                break
+            held = nearest
+        best = min(best, np.linalg.det(scatter))
+    return best
+
+
+def test_determinants_are_those_of_many_starts(spark):
+    rng = np.random.default_rng(5)
+    groups, rows = {}, []
+    for g in range(6):
+        mix = rng.normal(size=(5, 5)) * 0.3
+        points = rng.normal(size=(300, 5)) @ mix
+        far = int(300 * 0.04 * g)  # up to a fifth lies elsewhere, together
+        points[:far] = rng.normal(size=(far, 5)) * 0.05 + rng.normal(size=5) * 6
+        groups[f"g{g}"] = points
+        rows += [(f"g{g}", *map(float, x)) for x in points]
+    table = saved(spark.createDataFrame(rows, "_group string, x0 double, x1 double, x2 double, x3 double, x4 double").repartition(3))
+    found = {r["_group"]: r for r in quality.estimates(table).collect()}
+    for g, points in groups.items():
+        factor = np.zeros((5, 5))
+        for j in range(5):
+            for k in range(j + 1):
+                factor[j, k] = found[g][f"l{j}{k}"]
+        ours, best = np.prod(np.diag(factor)) ** 2, plain_determinant(points, quality.SUBSET, rng)
+        assert ours <= best * 1.1, (g, ours, best)
+        # Distances from centre and factor are the plain Mahalanobis distances of that scatter.
+        centre = np.array([found[g][f"m{j}"] for j in range(5)])
+        off = points - centre
+        d2 = np.einsum("ij,jk,ik->i", off, np.linalg.inv(factor @ factor.T), off)
+        assert abs(max(np.median(d2), quality.CHI2_MEDIAN) - found[g]["_scale"]) <= 0.05 * np.median(d2)
 
 
 def test_an_outlier_in_each_statistic_is_rejected(spark, corpus):
