@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from gleanframe.llm import secrets
 
@@ -71,6 +72,25 @@ def test_scan(spark):
     assert sorted((r.doc_id or -1, *r[1:]) for r in got) == sorted(expected)
 
 
+def test_dense_texts_take_seconds(spark):
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choices("abcXYZ0189", k=n))
+    words = [rng.choice([f"token={some(8)}", "AKIA" + "A1" * 9, "0a" * 14, f"z9Q{some(24)}", f"password: {some(25)}"]) for _ in range(100_000)]
+    rows = [(1, " ".join(words), "s", "", 0), (2, " ".join(words[:9]), "t", "", 0)]
+    secrets.find(spark.createDataFrame(rows[1:], SCHEMA)).collect()  # code is compiled
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert time.monotonic() - start < 60
+    for doc, text, *_ in rows:
+        base = plain(text)
+        assert got[doc].base_sha256 == hashlib.sha256(",".join(f"{ORDER[k]}:{a}:{b}" for a, k, b, _ in base).encode()).hexdigest()
+        assert got[doc].n_assign + got[doc].n_access + got[doc].n_hex == len(base)
+        spans = {x for x in got[doc].spans.split(",")}
+        loose = re.finditer(r"(?<![A-Za-z0-9+/_=-])z9Q[A-Za-z0-9]{24}(?![A-Za-z0-9+/_=-])", text)
+        # All but those that hold a run of hex digits, which is a base span.
+        assert all((f"token:{m.start()}:{m.end()}" in spans) != bool(re.search("[0-9a-f]{24}", m[0])) for m in loose)
+
+
 def test_no_rows(spark):
     assert secrets.find(spark.createDataFrame([], SCHEMA)).count() == 0
 
