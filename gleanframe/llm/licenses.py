@@ -188,9 +188,11 @@ def license_scan(
             joined = b" " + b" ".join(found) + b" "
             places, base, blocks = [], set(), []
             for needle, label in needles:
-                at = joined.find(needle)
+                at, seen, place = joined.find(needle), 0, 0
                 while at >= 0:
-                    places.append(joined.count(b" ", 0, at))
+                    place += joined.count(b" ", seen, at)  # words since the last hit
+                    seen = at
+                    places.append(place)
                     base.add(label)
                     at = joined.find(needle, at + 1)
             if not index.rare.isdisjoint(found):

@@ -6,6 +6,7 @@ import functools
 import random
 import re
 import textwrap
+import time
 
 from gleanframe.llm import licenses
 
@@ -112,5 +113,13 @@ def test_runs_are_those_of_all_windows():
         assert best == expected
 
 
+def test_very_many_places(spark):
+    text = "mit license x " * 100_000
+    start = time.monotonic()
+    row = licenses.license_scan(spark.createDataFrame([(1, text, "")], SCHEMA)).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == (300_000, 100_000, 0, 299_997, "mit")
+    assert time.monotonic() - start < 30
+
+
 def test_no_rows(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
