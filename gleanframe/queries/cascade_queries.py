@@ -510,9 +510,8 @@ def l5_stored_completions(spark: SparkSession, folder: str) -> DataFrame:
 def stream_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """The pages table as a stream of responses, written as stage rows."""
     path = work_folder(spark)
-    stream = (
-        spark.readStream.schema("page_id bigint, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(folder)
-    )
+    # As a glob the path may be one file or a folder of part files; a stream refuses the plain path of a file.
+    stream = spark.readStream.schema("page_id bigint, url string, html string").parquet(f"{folder}/[p]ages.parquet")
     write_analysis_stream(pages_as_responses(stream), f"{path}/stages", f"{path}/checkpoint").awaitTermination()
     rows = jobs.read_stages(spark, f"{path}/stages")
     return rows.select("url", F.col("tier2.page_type").alias("page_type"), F.col("tier2.decision").alias("decision"), "status")

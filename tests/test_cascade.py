@@ -17,6 +17,7 @@ from gleanframe.schemas import COMPLETIONS, RENDERED_PAGES, RESPONSES
 from gleanframe.plans.batch import batch_prompts, run_batch, to_fetch
 from gleanframe.plans.links import followable_links, link_table
 from gleanframe.sources.tables import pages_as_responses, read_rendered_pages, read_responses, rendered_as_responses
+from gleanframe.queries import QUERIES
 from gleanframe.streaming.stream import write_analysis_stream
 
 SHELL = '<nav>Menu of the site</nav><div id="root"></div><p>A paragraph that is long enough to be read.</p>'
@@ -430,3 +431,14 @@ def test_stream_and_batch_share_jobs(spark, folder):
     rows = run_batch(base, rendered(spark, [(1, 3, "u", FULL)]), path, "b", "1").collect()
     assert {r.job_id for r in rows} == streamed and sorted((r.tier, r.decision) for r in rows) == [(2, "Done"), (3, "Done")]
     assert {r.batch_id.split(".")[1][:6] for r in jobs.read_stages(spark, path).filter("stage = 2").collect()} == {"stream"}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_reads_a_table_of_part_files(spark, tmp_path, parts):
+    """The pages table may be a folder; a stream over its parent finds no file of that name."""
+    pages = [(i, f"https://example.com/{i}", "<p>" + "x" * (9000 if i % 2 else 9)) for i in range(8)]
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows.repartition(parts).write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.url: (r.page_type, r.decision, r.status) for r in QUERIES["stream_analysis"](spark, str(tmp_path)).collect()}
+    kinds = {url: ("content-rich" if i % 2 else "mixed", "Done", "tier2_complete") for i, url, _ in pages}
+    assert found == kinds
