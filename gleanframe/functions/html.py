@@ -19,15 +19,11 @@ from pyspark.sql import functions as F
 from ..constants import WHITE_SPACE
 from . import htmltree
 from .htmltree import BLOCKS_CLOSING_P, ParseError, parse_tree
-from .selectors import compile_selector
+from .selectors import NODE, compile_selector
 
 for _module in (sys.modules[__name__], htmltree):
     cloudpickle.register_pickle_by_value(_module)
 
-NODE = (
-    "struct<idx:int,parent:int,end:int,tag:string,attrs:array<struct<k:string,v:string>>,"
-    "start:int,stop:int,n_children:int>"
-)
 # Why a page could not be parsed, bytes of its body text, the text that nodes ask for (each byte once, as it came),
 # places in nodes of what each selector matches, and the nodes. A node's text is the bytes from start up to stop.
 DOC = f"struct<error:string,body_text_bytes:int,text:binary,found:map<string,array<int>>,nodes:array<{NODE}>>"
@@ -85,7 +81,7 @@ def _decoded(body):
 
 
 def _bytes(text):
-    return text.encode("utf-8", "surrogateescape")
+    return text.encode() if text.isascii() else text.encode("utf-8", "surrogateescape")
 
 
 def _shown(text):
@@ -95,8 +91,7 @@ def _shown(text):
 
 def _pages(bodies, read):
     """Results of read per page as (error, result); None for NULL pages."""
-    for body in bodies:
-        body = body.as_py()
+    for body in bodies.to_pylist():
         if body is None:
             yield None
             continue
@@ -110,9 +105,12 @@ def _pages(bodies, read):
 def _read_nodes(tree, clean, by_tag, by_attr, modes):
     """(text bytes of the body, text that nodes ask for, places by selector, node rows)."""
     body = tree.nodes[tree.body]
-    text_bytes = len(_bytes("".join(tree.parts[body.start : body.stop]).strip(WHITE_SPACE)))
+    text = "".join(tree.parts[body.start : body.stop]).strip(WHITE_SPACE)
+    text_bytes = len(text) if text.isascii() else len(_bytes(text))
     found, rows, asking = {}, [], []
     for idx, node in enumerate(tree.nodes):
+        if not node.attrs and node.tag not in by_tag:
+            continue
         hits = _matches(node, by_tag, by_attr)
         if hits:
             for selector in hits:

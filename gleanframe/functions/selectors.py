@@ -10,6 +10,10 @@ import re
 
 from .text import quote
 
+NODE = (
+    "struct<idx:int,parent:int,end:int,tag:string,attrs:array<struct<k:string,v:string>>,"
+    "start:int,stop:int,n_children:int>"
+)
 _ATTR = r"""\[\s*[\w-]+\s*(?:\*?=\s*(?:"[^"]*"|'[^']*'|[^\]\s"']*)\s*i?\s*)?\]"""
 _PIECE = re.compile(rf":not\({_ATTR}\)|{_ATTR}|[#.][\w-]+")
 _COMPOUND = re.compile(rf"\s*([a-zA-Z][\w-]*|\*)?((?:{_PIECE.pattern})*)\s*")
@@ -59,7 +63,8 @@ def _places(doc: str, selector: str) -> str:
 
 def select_nodes(doc: str, selector: str) -> str:
     """Nodes matching a selector that the parse was asked for, in document order: looked up, not searched."""
-    return f"coalesce(transform({_places(doc, selector)}, p -> get({doc}.nodes, p)), slice({doc}.nodes, 1, 0))"
+    none = f"CASE WHEN {doc}.nodes IS NOT NULL THEN CAST(array() AS array<{NODE}>) END"
+    return f"coalesce(transform({_places(doc, selector)}, p -> get({doc}.nodes, p)), {none})"
 
 
 def has_node(doc: str, selector: str) -> str:

@@ -28,7 +28,7 @@ from ..constants import (
 )
 from ..functions.html import FULL_TEXT, NO_TEXT, node_text, nodes_with_text
 from ..functions.json import next_data_block, object_block, object_or_array_block
-from ..functions.selectors import attr, select_nodes
+from ..functions.selectors import attr, has_node, select_nodes
 from ..functions.text import (
     NO_ENTRIES,
     blank_to_null,
@@ -180,8 +180,16 @@ def dom_text(doc: str, options: Options) -> str:
     return _last_wins(f"array({', '.join(found)})") if found else _result(NO_ENTRIES)
 
 
-def _built_in(expression: Callable[[str, Options], str]) -> Callable[[str, Options], Column]:
-    return lambda doc, options: F.expr(expression(doc, options))
+def _built_in(expression: Callable[[str, Options], str], selectors: Mapping[str, int]) -> Callable[[str, Options], Column]:
+    """The expression as a column; a page in which none of its selectors matched has no entries and computes nothing."""
+
+    def extract(doc: str, options: Options) -> Column:
+        if not selectors:
+            return F.expr(expression(doc, options))
+        matched = " OR ".join(has_node(doc, s) for s in selectors)
+        return F.expr(f"CASE WHEN {matched} THEN {expression(doc, options)} ELSE {_result(NO_ENTRIES)} END")
+
+    return extract
 
 
 _REGISTRY = (
@@ -198,7 +206,7 @@ _REGISTRY = (
 )
 # Priorities are the positions, from 1; a smaller one wins.
 REGISTRY = tuple(
-    Extractor(name, config_name, priority, confidence, selectors, _built_in(expression))
+    Extractor(name, config_name, priority, confidence, selectors, _built_in(expression, selectors))
     for priority, (name, config_name, confidence, selectors, expression) in enumerate(_REGISTRY, start=1)
 )
 

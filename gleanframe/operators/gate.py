@@ -18,7 +18,7 @@ _MAX_SECONDS = 9223372036.854775807
 def header(headers: str, name: str) -> str:
     """First value of a header, by case-insensitive name; '' when absent."""
     found = f"get(filter(map_entries({headers}), h -> lower(h.key) = {quote(name.lower())}), 0)"
-    return f"coalesce(get({found}.value, 0), '')"
+    return f"CASE WHEN size({headers}) > 0 THEN coalesce(get({found}.value, 0), '') ELSE '' END"
 
 
 def tech_hints(headers: str, content_type: str) -> Column:
@@ -34,7 +34,8 @@ def tech_hints(headers: str, content_type: str) -> Column:
 def retry_after(headers: str) -> Column:
     """Positive seconds, else 0; an HTTP date counts as 0, and so does a delay of centuries."""
     seconds = let(header(headers, "retry-after"), "h", f"CASE WHEN rlike(h, {raw(_NUMBER)}) THEN try_cast(h AS double) END")
-    return F.expr(let(seconds, "s", f"CASE WHEN s > 0 AND s < {_MAX_SECONDS!r}D THEN s ELSE 0D END"))
+    delay = let(seconds, "s", f"CASE WHEN s > 0 AND s < {_MAX_SECONDS!r}D THEN s ELSE 0D END")
+    return F.expr(f"CASE WHEN size({headers}) > 0 THEN {delay} ELSE 0D END")
 
 
 def status_gate(status: Column, cf_challenge: Column, retry_after_s: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import DONE, ESCALATE
 from ..functions.text import quote
 from ..options import Options
-from ..schemas import FIELD
+from ..schemas import FIELD, FIELDS
 from .extractors import Extractor
 
 _NO_FIELDS = f"CAST(array() AS array<struct<key:string,value:{FIELD}>>)"
@@ -41,7 +41,9 @@ def merge_fields(results: dict[Extractor, str], options: Options) -> Column:
         return f"CASE WHEN {_is_valid(result, e, options)} THEN {entries} ELSE {_NO_FIELDS} END"
 
     weakest_first = sorted(results.items(), key=lambda r: -r[0].priority)
-    return F.expr(f"map_from_entries(concat({', '.join([_NO_FIELDS, *(tagged(e, r) for e, r in weakest_first)])}))")
+    merged = f"map_from_entries(concat({', '.join([_NO_FIELDS, *(tagged(e, r) for e, r in weakest_first)])}))"
+    some = " OR ".join(["false", *(_is_valid(r, e, options) for e, r in results.items())])
+    return F.expr(f"CASE WHEN {some} THEN {merged} ELSE CAST(map() AS {FIELDS}) END")
 
 
 def has_script_data(results: dict[Extractor, str], options: Options) -> Column:

@@ -56,8 +56,8 @@ def with_document(gated: DataFrame, options: Options, *more: Mapping[str, int],
     )
 
 
-def with_signals(parsed: DataFrame, options: Options) -> DataFrame:
-    page = signals.page_signals("doc", "body_bytes", "tech_hints.cf_challenge", options)
+def with_signals(parsed: DataFrame, options: Options, columns: tuple[str, ...] = signals.DECIDING) -> DataFrame:
+    page = signals.page_signals("doc", "body_bytes", "tech_hints.cf_challenge", options, columns)
     return parsed.withColumn("page", F.when(_parsed(), page))
 
 
@@ -136,7 +136,7 @@ def classify(responses: DataFrame, options: Options | None = None) -> DataFrame:
     """Signals and class only, without extraction: (passed-on columns, gate, hollow_score, page_type, ...)."""
     configure(responses.sparkSession)
     options = options or Options()
-    scored = with_signals(with_document(with_gate(responses), options, signals_only=True), options)
+    scored = with_signals(with_document(with_gate(responses), options, signals_only=True), options, signals.COLUMNS)
     page = F.col("page")
     keep = [c for c in responses.columns if c not in _NOT_PASSED_ON]
     return scored.select(*keep, computed_once(F.col("gate"), *[page[c].alias(c) for c in signals.COLUMNS]))

@@ -37,11 +37,21 @@ def _stored(rows: DataFrame, path: str) -> DataFrame:
     return stages
 
 
-def _todo(rows: DataFrame, stages: DataFrame, stage: int, salts: int) -> DataFrame:
-    """Pending rows. A first run, which has nothing stored, joins nothing and so shuffles no bodies."""
-    if jobs.done_jobs(stages, stage).isEmpty():
-        return rows
-    return jobs.pending(rows, stages, stage, salts)
+def _todo(rows: DataFrame, stages: DataFrame, stage: int, salts: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Pending rows, with ``wanted`` (job_id) only those of its jobs.
+
+    A first run, which has nothing stored, does not look for stored jobs and so shuffles no bodies for
+    it. A later one first asks by the ids alone whether anything is left, as most often nothing is.
+    """
+    first = stages.filter(F.col("stage") == stage).isEmpty()
+
+    def left(rows: DataFrame) -> DataFrame:
+        rows = rows if wanted is None else keep_matching(rows, wanted, "job_id", salts)
+        return rows if first else jobs.pending(rows, stages, stage, salts)
+
+    if not first and left(rows.select("job_id").distinct()).isEmpty():
+        return rows.filter(F.lit(False))
+    return left(rows)
 
 
 def _of_batch(rows: DataFrame, path: str, batch: str) -> DataFrame:
@@ -135,9 +145,9 @@ def run_batch(
     def of_batch() -> DataFrame:
         return _of_batch(responses, path, batch)
 
-    def todo(rows: DataFrame, stage: int) -> DataFrame:
+    def todo(rows: DataFrame, stage: int, wanted: DataFrame | None = None) -> DataFrame:
         # What this very run wrote before is about to be replaced, so it does not count as stored.
-        return _todo(rows, of_batch().filter(F.col("batch_id") != part), stage, salts)
+        return _todo(rows, of_batch().filter(F.col("batch_id") != part), stage, salts, wanted)
 
     def write(rows: DataFrame, stage: int) -> None:
         jobs.write_stage(rows, path, (stage, f"{batch}.{run}"))
@@ -157,7 +167,7 @@ def run_batch(
     addresses = responses.select("url") if requests is None else responses.select("url").unionByName(requests.select("url"))
     created = with_job(jobs.created_rows(with_job(addresses), now))
     before = of_batch().filter((F.col("stage") == 0) & (F.col("batch_id") == part)).select("job_id")
-    if not drop_matching(before, created.select("job_id"), "job_id").isEmpty():
+    if not before.isEmpty() and not drop_matching(before, created.select("job_id"), "job_id").isEmpty():
         raise ValueError(f"run {run} has stored jobs that this input lacks; take a new name for other input")
     write(todo(created, 0), 0)
     got = fetched.filter(F.col("status").isNotNull()).withColumn("content_type", media_type(F.col("content_type")))
@@ -174,7 +184,7 @@ def run_batch(
         took = F.col("elapsed_ms") if "elapsed_ms" in pages.columns else F.lit(0)
         pages = pages.withColumn("elapsed_ms", F.coalesce(took, F.lit(0)).cast("bigint"))
         # Routed before they are parsed: parsing is the dearest step.
-        reached = todo(keep_matching(pages, escalated, "job_id", salts), tier)
+        reached = todo(pages, tier, escalated)
         write(jobs.render_rows(analyze_rendered(reached, tier, options), tier, now), tier)
         complete(tier)
     return batch_results(of_batch())

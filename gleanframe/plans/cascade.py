@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ABORT, BACKOFF, DONE, ESCALATE
-from ..functions.joins import attach, keep_matching
+from ..functions.joins import attach, hot_keys, keep_matching, one_copy_matching
 from ..operators.fallback import apply_completions
 from ..options import Options
 from ..sources.tables import rendered_as_responses
@@ -30,6 +30,10 @@ def encode_decision(number: Column) -> Column:
     return F.coalesce(F.get(names, number), F.lit("Unknown"))
 
 
+def _copy(body: str) -> Column:
+    return F.xxhash64(F.col(body).cast("binary"), "rendered_url")
+
+
 def tier_results(
     rendered: DataFrame,
     tiers: tuple[int, ...] = (3, 4),
@@ -43,7 +47,7 @@ def tier_results(
     ``copy`` tells copies of a page apart by their content.
     """
     pages = rendered_as_responses(rendered.filter(F.col("tier").isin(*tiers)))
-    result = analyze_rendered(pages.withColumn("copy", F.xxhash64("body", "rendered_url")), options=options)
+    result = analyze_rendered(pages.withColumn("copy", _copy("body")), options=options)
     if completions is not None:
         by_tier = "tier" in completions.columns
         page = F.struct(key, "tier") if by_tier else F.col(key)
@@ -61,12 +65,12 @@ def one_row_per_page(results: DataFrame, key: str = "page_id") -> DataFrame:
     return results.groupBy(key).agg(*tiers)
 
 
-def follow_tiers(tier2: DataFrame, results: DataFrame, key: str = "page_id", salts: int = 1) -> DataFrame:
+def follow_tiers(tier2: DataFrame, results: DataFrame, key: str = "page_id", salts: int = 1, hot: list | None = None) -> DataFrame:
     """Joins tier results: a tier is reached only by rows that escalated in the one before.
 
     A page without a row in a tier keeps its last result.
     """
-    joined = attach(tier2, results, key, F.col("tier2.decision") == ESCALATE, salts)
+    joined = attach(tier2, results, key, F.col("tier2.decision") == ESCALATE, salts, hot)
     return joined.withColumn("tier4", F.when(F.col("tier3.decision") == ESCALATE, F.col("tier4")))
 
 
@@ -91,11 +95,19 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
 def _routed(
     tier2: DataFrame, rendered: DataFrame, tiers: tuple[int, ...], options: Options | None, key: str, completions: DataFrame | None, salts: int, work: str
 ) -> DataFrame:
-    """Tier results of the pages that reach their tier: renders are routed on written keys before they are parsed."""
+    """Tier results of the pages that reach their tier: renders are routed on written keys before they are parsed.
+
+    Where an address may have very many renders, which ``salts`` says, equal ones are parsed once per salt group.
+    """
     last, results = tier2.select(key, F.col("tier2.decision").alias("decision")), None
+    hot = hot_keys(rendered.filter(F.col("tier").isin(*tiers)), key) if salts > 1 else None
     for tier in sorted(tiers):
         escalated = last.filter(F.col("decision") == ESCALATE).select(key).distinct()
-        reached = keep_matching(rendered.filter(F.col("tier") == tier), escalated, key, salts)
+        pages = rendered.filter(F.col("tier") == tier)
+        if salts > 1:
+            reached = one_copy_matching(pages.withColumn("_copy", _copy("html")), escalated, key, "_copy", salts, hot).drop("_copy")
+        else:
+            reached = keep_matching(pages, escalated, key)
         found = _written(tier_results(reached, (tier,), options, key, completions, salts), f"{work}/tier{tier}")
         results = found if results is None else results.unionByName(found)
         # Of several copies of a page the first by content counts, here as in the result.
@@ -133,7 +145,8 @@ def run_cascade(
         else:
             tier2 = _written(tier2, f"{work}/tier2")
             results = _routed(tier2, rendered, tiers, options, key, completions, salts, work)
-        out = follow_tiers(tier2, one_row_per_page(results, key), key, salts)
+        hot = hot_keys(tier2, key) if work is not None and salts > 1 else None
+        out = follow_tiers(tier2, one_row_per_page(results, key), key, salts, hot)
     else:
         out = tier2.withColumns({f"tier{t}": F.lit(None).cast(tier2.schema["tier2"].dataType) for t in (3, 4)})
     return out.select("*", *final_result())

@@ -215,7 +215,8 @@ def r8_decision_codec(spark: SparkSession, folder: str) -> DataFrame:
 def r1_cascade_hot_address(spark: SparkSession, folder: str) -> DataFrame:
     """The cascade keyed by an address that many responses share: all orders of one status have the same one.
 
-    Its renders are there in many copies, too. It is walled in tier 3 and done in tier 4.
+    Its renders are there in many copies, too. It is walled in tier 3 and done in tier 4. Tiers are written, as
+    in ``r1_routed_cascade``.
     """
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("page_id"), "o_orderstatus")
     hot = F.col("o_orderstatus") == "F"
@@ -231,7 +232,7 @@ def r1_cascade_hot_address(spark: SparkSession, folder: str) -> DataFrame:
         F.when(hot & (F.col("tier") == 3), "https://example.com/login").otherwise("https://example.com/").alias("rendered_url"),
         full.alias("html"),
     )
-    result = run_cascade(responses, renders, key="url", salts=8)
+    result = run_cascade(responses, renders, key="url", salts=8, work=work_folder(spark))
     return _described(result).select("page_id", "tier", "decision", "description")
 
 
@@ -490,10 +491,9 @@ def l5_stored_completions(spark: SparkSession, folder: str) -> DataFrame:
     )
     for run in ("2", "3"):
         result = run_batch(responses, renders, path, "b", run, completions=completions)
-    last = asked.join(result.select("job_id", F.col("tier").alias("of_tier"), "decision"), "job_id")
-    # Prompts that were asked in the tier where the job ended.
-    prompted = last.filter(F.col("tier") == F.col("of_tier")).select("job_id", F.lit(True).alias("prompted"))
-    return result.join(prompted, "job_id", "left").select(
+    # Prompts that were asked in the tier where the job ended; a job has one prompt per tier.
+    prompted = asked.select("job_id", "tier", F.lit(True).alias("prompted"))
+    return result.join(prompted, ["job_id", "tier"], "left").select(
         "job_id",
         F.coalesce("prompted", F.lit(False)).alias("prompted"),
         "decision",

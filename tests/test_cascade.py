@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pytest
@@ -14,6 +15,7 @@ from gleanframe.plans.cascade import run_cascade
 from gleanframe.plans.prompts import prompts, readable_text
 from gleanframe.operators.fallback import apply_completions, completion_result
 from gleanframe.schemas import COMPLETIONS, RENDERED_PAGES, RESPONSES
+from gleanframe.plans.batch import _todo as batch_todo
 from gleanframe.plans.batch import batch_prompts, run_batch, to_fetch
 from gleanframe.plans.links import followable_links, link_table
 from gleanframe.sources.tables import pages_as_responses, read_rendered_pages, read_responses, rendered_as_responses
@@ -442,3 +444,44 @@ def test_stream_reads_a_table_of_part_files(spark, tmp_path, parts):
     found = {r.url: (r.page_type, r.decision, r.status) for r in QUERIES["stream_analysis"](spark, str(tmp_path)).collect()}
     kinds = {url: ("content-rich" if i % 2 else "mixed", "Done", "tier2_complete") for i, url, _ in pages}
     assert found == kinds
+
+
+def test_equal_renders_of_a_hot_address_are_parsed_once_a_salt_group(spark, folder):
+    """An address with many responses and many equal renders: the results are those of the lazy plan."""
+    pages = [(i, f"https://example.com/{i if i % 2 else 'hot'}", SHELL) for i in range(60)]
+    hot = responses(spark, [p[2] for p in pages]).drop("url").join(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string").drop("html"), "page_id"
+    )
+    full = '<meta name="description" content="{}"><p>' + "text " * 60
+    renders = [(i, url, tier, url, full.format(f"{i % 2}{tier}"), 0) for i, url, _ in pages for tier in (3, 4)]
+    renders += [(99, "https://example.com/hot", 3, "https://example.com/login", full.format("other"), 0)]
+    rendered = spark.createDataFrame(renders, RENDERED_PAGES)
+
+    def rows(result):
+        return sorted((r.page_id, r.tier, r.decision, str(r.fields)) for r in result.select("page_id", "tier", "decision", "fields").collect())
+
+    work = f"{folder}/hot"
+    assert rows(run_cascade(hot, rendered, key="url", salts=4, work=work)) == rows(run_cascade(hot, rendered, key="url", salts=4))
+    parsed = spark.read.parquet(f"{work}/tier3").groupBy("url").count().collect()
+    assert {r.url: r["count"] <= 5 if r.url.endswith("hot") else r["count"] == 1 for r in parsed} == {p[1]: True for p in pages}
+
+
+def test_a_run_with_nothing_left_shuffles_no_bodies(spark, folder):
+    """A second run asks by the ids alone, and its stages are written empty."""
+    path = f"{folder}/nothing-left"
+    todo = responses(spark, [SHELL] * 3)
+    rendered = spark.createDataFrame([(0, "https://example.com/0", 3, "https://example.com/0", "<p>" + "text " * 80, 0)], RENDERED_PAGES)
+    first = run_batch(todo, rendered, path, "b", "1")
+    expected = sorted(first.select("job_id", "tier", "decision").collect())
+    stored = jobs.read_stages(spark, path).withColumn("batch_id", F.lit("b.2"))
+    pending = batch_todo(todo.withColumn("job_id", jobs.job_id(F.col("url"), F.lit("b"))), stored, 1, 1)
+    assert "Exchange" not in plan_of(pending) and pending.isEmpty()
+    again = run_batch(todo, rendered, path, "b", "2")
+    assert sorted(again.select("job_id", "tier", "decision").collect()) == expected
+    assert jobs.read_stages(spark, path).filter(F.col("batch_id") == "b.2").isEmpty()
+
+
+def test_elements_a_page_lacks_cost_no_expression(spark):
+    """Extractors whose selectors match nothing are not evaluated: the plan asks for their elements first."""
+    plan = plan_of(analyze(responses(spark, ["<p>x"])))
+    assert not re.search(r"slice\([^,()]*nodes, 1, 0\)", plan)
