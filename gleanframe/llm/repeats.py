@@ -27,6 +27,8 @@ from . import words as W
 from .common import BitFilter, saved
 
 WINDOW = 35
+#: Candidates that wait for each other before they leave a task; those of one text leave together.
+_SEND = 1 << 16
 
 
 def levels(window: int, least: int = 6) -> list[int]:
@@ -58,7 +60,9 @@ class Candidates:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of what the next level counts."""
-        data = W.bytes_of(text)
+        return self.of_bytes(W.bytes_of(text))
+
+    def of_bytes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.of(W.hashes(data, *W.spans(data)))
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,21 +87,36 @@ class Candidates:
         return place, found[length][place]
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "key", "at"])
+
+
 def _key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def _bytes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The UTF-8 bytes of each text; NULL has none."""
+    return (np.frombuffer(text or b"", dtype=np.uint8) for text in texts.cast(pa.binary()).to_pylist())
+
+
 def _counted(rows: DataFrame, candidates: Candidates) -> DataFrame:
     """One row per hash that the next level counts: h, n, and the place (key, at) of one of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                at, h = candidates(text.as_py())
+            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            waiting = 0
+            for key, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
+                at, h = candidates.of_bytes(data)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(np.full(len(h), key.as_py(), np.int64)), pa.array(at.astype(np.int32))], ["h", "key", "at"]
-                    )
+                    parts.append((h.view(np.int64), np.full(len(h), key, np.int64), at.astype(np.int32)))
+                    waiting += len(h)
+                if waiting >= _SEND:
+                    yield _joined(parts)
+                    parts, waiting = [], 0
+            if parts:
+                yield _joined(parts)
 
     return rows.mapInArrow(run, "h long, key long, at int").groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("at").alias("at")
@@ -122,6 +141,18 @@ def removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The words from starts up to ends, joined by one space: the byte before a word is never inside another one."""
+    steps = np.zeros(len(data) + 1, dtype=np.int8)
+    steps[starts], steps[ends] = 1, -1
+    stays = np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+    gaps = starts[1:] - 1
+    stays[gaps] = True
+    text = data.copy()
+    text[gaps] = 32
+    return text[stays].tobytes().decode()
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     rows = docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -131,15 +162,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = W.bytes_of(text)
+            for doc, data, places in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 a, b = W.spans(data)
                 at, _ = candidates.of(W.hashes(data, a, b))
                 gone = removed(len(a), np.setdiff1d(at, places or []).astype(np.int64), window)
-                raw = data.tobytes()
-                kept = b" ".join(raw[x:y] for x, y in zip(a[~gone].tolist(), b[~gone].tolist(), strict=True))
-                out.append((doc, len(a), int(gone.sum()), kept.decode()))
-            yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, x, strict=True)) for x in out], schema=_SCHEMA)
+                out.append((doc, len(a), int(gone.sum()), kept_words(data, a[~gone], b[~gone])))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _key(id_col, text_col).alias("key"))
     alone, joined = _split(full, some)
@@ -149,18 +178,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _split(full: DataFrame, some: BitFilter) -> tuple[DataFrame, DataFrame]:
-    """Rows that certainly have nothing to spare, and the others: only these need the join."""
-
-    def part(wanted: bool):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                has = some.has(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(has == wanted))
+    """Rows that certainly have nothing to spare, and the others: only these need the join. Only keys go to Python."""
 
-        return run
+    @F.arrow_udf("boolean")
+    def may_have(keys: pa.Array) -> pa.Array:
+        return pa.array(some.has(keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    schema = "doc_id long, text string, key long"
-    return full.mapInArrow(part(False), schema), full.mapInArrow(part(True), schema)
+    return full.filter(~may_have("key")), full.filter(may_have("key"))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])

@@ -35,6 +35,28 @@ def packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+class _Unfit(Exception):
+    """A piece that is not encoded apart from its neighbours."""
+
+
+class _Known(dict):
+    """Ids of a single space and the word after it, by word; what is not known yet is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Unfit
+        ids = packed(self._encode(" " + word))
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Pieces:
     """Encodes whole texts piece by piece: ids as little-endian unsigned 32-bit integers.
 
@@ -46,29 +68,14 @@ class Pieces:
 
     def __init__(self, encode):
         self._encode = encode
-        self._known: dict[str, bytes] = {}
+        self._known = _Known(encode)
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        out = [self._piece(first, first)] if first else []
-        known = self._known
-        if not first and rest:
+        if rest and not first or first and first[-1].isspace():
             return packed(self._encode(text))
-        if first and first[-1].isspace():
+        try:
+            tail = b"".join(map(self._known.__getitem__, rest))
+        except _Unfit:
             return packed(self._encode(text))
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                if not word or word[0].isspace() or word[-1].isspace():
-                    return packed(self._encode(text))
-                ids = self._piece(" " + word, word)
-            out.append(ids)
-        return b"".join(out)
-
-    def _piece(self, piece: str, name: str) -> bytes:
-        ids = packed(self._encode(piece))
-        if piece is not name and len(name) <= CACHE_CHARS:
-            if len(self._known) >= CACHE_PIECES:
-                self._known.clear()
-            self._known[name] = ids
-        return ids
+        return packed(self._encode(first)) + tail if first else tail
