@@ -84,10 +84,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     """Join where ``right`` has one row per key and says in ``weight`` how many rows of ``left`` have it.
 
     Keys with HOT_SHARE of the weight or more, a bounded number, are joined by broadcast where their rows
-    lie; only the others are shuffled. ``right`` is read three times: pass a written table.
+    lie; only the others are shuffled. With no more keys than could be hot all are broadcast, and ``left`` is
+    computed once. ``right`` is read three times: pass a written table.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) >= max(2.0, total * HOT_SHARE)
+    keys, total = right.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if keys <= 1 / HOT_SHARE:
+        return left.join(F.broadcast(right), key, how)
+    is_hot = F.col(weight) >= max(2.0, (total or 0) * HOT_SHARE)
     hot = F.broadcast(right.filter(is_hot))
     known = left.join(hot, key, "inner")
     rest = left.join(F.broadcast(right.filter(is_hot).select(key)), key, "left_anti")

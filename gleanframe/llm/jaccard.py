@@ -32,6 +32,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +152,24 @@ def _described(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     return rows.mapInArrow(run, "row long, doc_id long, sign long, n long, a long, b long, mark long, sigs array<long>, tags array<int>")
 
 
+def _postings(sets: DataFrame, first: BitFilter, some: BitFilter | None = None) -> DataFrame:
+    """(row, sig, tag) of the rows that may stand for their class, and of keys that may be in ``some``.
+
+    The lists of keys, the bulk of the table, are filtered where they lie and not shuffled.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsigned = lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64)
+        for batch in batches:
+            batch = batch.filter(pa.array(first.has(unsigned(batch.column(1)))))
+            sigs, tags = batch.column(2).flatten(), batch.column(3).flatten()
+            rows = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            out = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), sigs, tags], ["row", "sig", "tag"])
+            yield out if some is None else out.filter(pa.array(some.has(unsigned(sigs))))
+
+    return sets.select("row", F.xxhash64("row").alias("place"), "sigs", "tags").mapInArrow(run, "row long, sig long, tag int")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all ends of edges (x, y): the smallest node that each one reaches.
 
@@ -292,17 +311,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
         F.min("row").alias("node"), F.min("mark").alias("mark"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
     classes = saved(classes)
-    keys = F.explode(F.arrays_zip("sigs", "tags")).alias("key")
-    postings = sets.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", keys).select("row", F.col("key.sigs").alias("sig"), F.col("key.tags").alias("tag"))
-    shared = postings.groupBy("sig").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("members"))
+    first = BitFilter(classes.select(F.xxhash64("node").alias("place")), "place")
+    shared = _postings(sets, first).groupBy("sig").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("members"))
     shared = saved(shared.filter("members > 1"))
-    some = BitFilter(shared, "sig")
-
-    def may(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(some.has(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
-
-    near = join_hot(postings.mapInArrow(may, "row long, sig long, tag int"), shared, "sig", "members")
+    postings = saved(_postings(sets, first, BitFilter(shared, "sig")))
+    near = join_hot(postings, shared, "sig", "members")
+    # Copies that the filter let through; the hub is none, being the smallest row with its set.
+    near = near.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     # Keys that other sets lack are the rarest ones and are not here: what may go is the most frequent of the others.
     common = Window.partitionBy("row", "tag").orderBy(F.col("members").desc(), "sig")
     near = near.withColumn("k", F.row_number().over(common)).filter(F.col("k") > F.floor(F.col("tag") / 64))

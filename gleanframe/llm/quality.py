@@ -167,19 +167,18 @@ def _distances(rows: DataFrame, estimate: DataFrame, *more: str) -> DataFrame:
 
 def _concentrated(rows: DataFrame, estimate: DataFrame, steps: int, subset: float) -> DataFrame:
     """Moments per _group of the rows nearest to the estimate, each step by the scatter of the one before."""
-    moments = None
-    for _ in range(steps):
-        far = _distances(rows, estimate if moments is None else saved(_cholesky(moments)))
+    for step in range(1, steps + 1):
+        far = _distances(rows, estimate)
         radius = far.groupBy("_group").agg(F.percentile_approx("_d2", subset, 1000).alias("_r"), F.count(F.lit(1)).alias("_all"))
         tight = join_hot(far, saved(radius), "_group", "_all").filter("_d2 <= _r")
-        moments = saved(
-            tight.groupBy("_group").agg(
-                F.count(F.lit(1)).alias("_n"),
-                *[F.avg(x).alias(f"m{j}") for j, x in enumerate(_X)],
-                *[F.sum(F.col(_X[j]) * F.col(_X[k])).alias(f"s{j}{k}") for j, k in _PAIRS],
-            )
+        moments = tight.groupBy("_group").agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.avg(x).alias(f"m{j}") for j, x in enumerate(_X)],
+            *[F.sum(F.col(_X[j]) * F.col(_X[k])).alias(f"s{j}{k}") for j, k in _PAIRS],
         )
-    return moments
+        if step < steps:
+            estimate = saved(_cholesky(moments))
+    return saved(moments)
 
 
 def starts(rows: DataFrame) -> DataFrame:

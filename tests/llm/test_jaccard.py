@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gleanframe.llm import jaccard
 
@@ -126,3 +127,31 @@ def test_unlike_words_of_one_polynomial(spark):
     rows = [(1, f"{word} x y", "", 0), (2, word.translate(str.maketrans("ab", "ba")) + " x y", "", 0)]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.component_id for r in got) == [1, 2]
+
+
+def test_lists_of_keys_are_not_shuffled(spark):
+    rows = [(i, i, [i, -i, 7], [64, 64, 65]) for i in range(1, 6)]
+    sets = spark.createDataFrame(rows, "row long, n long, sigs array<long>, tags array<int>")
+    named = lambda values: jaccard.BitFilter(spark.createDataFrame([(v,) for v in values], "row long").select(F.xxhash64("row").alias("place")), "place")
+    got = jaccard._postings(sets, named([1, 2, 4]))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((i, s, t) for i, _, sigs, tags in rows if i in (1, 2, 4) for s, t in zip(sigs, tags, strict=True))
+    some = jaccard.BitFilter(spark.createDataFrame([(7,), (-2,)], "sig long"), "sig")
+    assert sorted(map(tuple, jaccard._postings(sets, named([1, 2, 4]), some).collect())) == [(1, 7, 65), (2, -2, 64), (2, 7, 65), (4, 7, 65)]
+    assert jaccard._postings(sets, named([])).count() == 0
+
+
+def test_filters_that_let_all_through(spark, monkeypatch):
+    """The bit filters only save work: copies that they let through change nothing."""
+
+    class Full(jaccard.BitFilter):
+        def has(self, keys):
+            return np.ones(len(keys), dtype=bool)
+
+    given = texts()
+    rows = [(i, t, "", 1) for i, t in enumerate(given + given[::2] + given[::3])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = lambda: sorted(map(tuple, jaccard.jaccard_components(docs, percent=80).collect()))
+    expected = found()
+    monkeypatch.setattr(jaccard, "BitFilter", Full)
+    assert found() == expected
