@@ -84,12 +84,15 @@ def with_decision(extracted: DataFrame, options: Options) -> DataFrame:
     ).withColumn("decision", decided.otherwise(decide(F.col("page.is_hollow"), F.col("fields"), options)))
 
 
-def extract_pages(responses: DataFrame, options: Options | None = None) -> DataFrame:
-    """All intermediate columns up to the decision; column pruning drops what is not read."""
+def extract_pages(responses: DataFrame, options: Options | None = None, columns: tuple[str, ...] = signals.COLUMNS) -> DataFrame:
+    """All intermediate columns up to the decision; column pruning drops what is not read.
+
+    It does not reach into ``page``: callers that read some of its fields only name them, ``signals.DECIDING`` at least.
+    """
     configure(responses.sparkSession)
     options = options or Options()
     parsed = with_document(with_gate(responses), options)
-    return with_decision(with_extractions(with_signals(parsed, options), options), options)
+    return with_decision(with_extractions(with_signals(parsed, options, columns), options), options)
 
 
 def analysis_columns() -> list[Column]:
@@ -121,7 +124,7 @@ def analyze(responses: DataFrame, options: Options | None = None) -> DataFrame:
     Needs status, headers, body and content_type. Works on a stream as it is.
     """
     keep = [c for c in responses.columns if c not in _NOT_PASSED_ON | set(ANALYSIS_COLUMNS)]
-    return extract_pages(responses, options).select(*keep, computed_once(*analysis_columns()))
+    return extract_pages(responses, options, signals.DECIDING).select(*keep, computed_once(*analysis_columns()))
 
 
 def unparsed(responses: DataFrame, options: Options | None = None) -> DataFrame:
@@ -145,7 +148,8 @@ def classify(responses: DataFrame, options: Options | None = None) -> DataFrame:
 def candidates(responses: DataFrame, options: Options | None = None, key: str = "page_id") -> DataFrame:
     """Every extractor's fields before the merge, as rows."""
     options = options or Options()
-    return candidate_rows(extract_pages(responses, options), key, {e: _column(e) for e in enabled_extractors(options)})
+    pages = extract_pages(responses, options, signals.DECIDING)
+    return candidate_rows(pages, key, {e: _column(e) for e in enabled_extractors(options)})
 
 
 def analyze_rendered(rendered: DataFrame, tier: int | None = None, options: Options | None = None) -> DataFrame:

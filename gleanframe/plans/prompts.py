@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import text_blocks
+from ..operators import signals
 from ..operators.fallback import clean_text, is_eligible, prompt_text
 from ..options import Options
 from ..sources.tables import cap_body
@@ -29,7 +30,7 @@ def prompts(responses: DataFrame, options: Options | None = None, key: str = "pa
     page_type = F.coalesce(F.col("page.page_type"), F.lit(""))
     enabled = F.lit(options.fallback_enabled)
     eligible = enabled & is_eligible(F.col("decision"), F.col("fields"), page_type)
-    pages = extract_pages(responses, options).select(key, "body", computed_once(eligible.alias("eligible")))
+    pages = extract_pages(responses, options, signals.DECIDING).select(key, "body", computed_once(eligible.alias("eligible")))
     body = F.when(F.col("eligible"), cap_body(F.coalesce(F.col("body"), F.lit(b"")), options.max_body_bytes))
     return prompts_of(pages.select(key, body.alias("body")), options, key)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
+from gleanframe.operators import signals
 from gleanframe.options import ExtractorOption, Options
-from gleanframe.plans.analyze import analyze, unparsed
+from gleanframe.plans.analyze import analyze, extract_pages, unparsed
 from gleanframe.schemas import RESPONSES
 
 PROSE = "<p>" + "Some text of a page that is long enough. " * 20 + "</p>"
@@ -211,3 +212,26 @@ def test_scripts_are_searched_once(analyzed):
     assert analyzed(f"<script>{'window.__NUXT__={' * 100_000}</script>" + PROSE)[1] == {}
     _, fields = analyzed(f'<script>{"};" * 200_000}var A={{"a":"b"}} \t;let B_1 = {{"c":{{"d":1}}}};var C={{"e":1}}</script>' + PROSE)
     assert fields == {"a": ("b", "inline-vars"), "c": ('{"d":1}', "inline-vars")}
+
+
+def scored(spark, *pages, options=None):
+    """The struct page of each page, in order."""
+    rows = [(i, f"u{i}", 200, {}, bytearray(p.encode()), f"u{i}", "text/html", 1, None) for i, p in enumerate(pages)]
+    extracted = extract_pages(spark.createDataFrame(rows, RESPONSES), options).select("page_id", "page")
+    return [r.page for r in sorted(extracted.collect(), key=lambda r: r.page_id)]
+
+
+def test_extracted_pages_have_the_penalties_that_fired(spark):
+    shells = '<div id="app"></div><div id="root"> </div>'
+    pages = (f"<i data-sitekey></i><noscript>Enable JavaScript</noscript>{shells}", f"{shells}<!--{'x' * 6000}-->", PROSE * 9)
+    every = {"captcha": 0.95, "noscript-message": 0.9, "empty-app-shell": 0.85, "tiny-body": 0.5}
+    assert [p.penalties for p in scored(spark, *pages)] == [every, {"empty-app-shell": 0.85, "low-text-density": 0.7}, {}]
+    own = scored(spark, *pages, options=Options(penalties={"captcha": 0.0, "empty-app-shell": 0.2}))
+    assert [p.penalties for p in own] == [every | {"captcha": 0.0, "empty-app-shell": 0.2}, {"empty-app-shell": 0.2, "low-text-density": 0.7}, {}]
+    assert [p.total for p in own[1:]] == [1.0, 0.0]
+
+
+def test_extracted_pages_have_all_columns_of_the_score_unless_named(spark):
+    empty = spark.createDataFrame([], RESPONSES)
+    assert tuple(extract_pages(empty).schema["page"].dataType.names) == signals.COLUMNS
+    assert tuple(extract_pages(empty, None, signals.DECIDING).schema["page"].dataType.names) == signals.DECIDING
