@@ -235,3 +235,12 @@ def test_extracted_pages_have_all_columns_of_the_score_unless_named(spark):
     empty = spark.createDataFrame([], RESPONSES)
     assert tuple(extract_pages(empty).schema["page"].dataType.names) == signals.COLUMNS
     assert tuple(extract_pages(empty, None, signals.DECIDING).schema["page"].dataType.names) == signals.DECIDING
+
+
+def test_signal_of_a_captcha(spark):
+    widgets = ('<div class="g-recaptcha">', '<b class="x-hcaptcha-y">', '<div class="a cf-turnstile">', "<i data-sitekey>")
+    others = ("<p>recaptcha", '<div id="recaptcha">', "")
+    found = scored(spark, *[PROSE * 9 + p for p in widgets + others])
+    assert [p.signals for p in found] == [["captcha"]] * 4 + [[]] * 3
+    shell = '<div id="app"></div>'
+    assert scored(spark, f"{shell}{shell}{widgets[0]}</div>{PROSE * 9}")[0].signals == ["captcha", "empty-app-shell"]
