@@ -244,3 +244,11 @@ def test_signal_of_a_captcha(spark):
     assert [p.signals for p in found] == [["captcha"]] * 4 + [[]] * 3
     shell = '<div id="app"></div>'
     assert scored(spark, f"{shell}{shell}{widgets[0]}</div>{PROSE * 9}")[0].signals == ["captcha", "empty-app-shell"]
+
+
+def test_signal_of_a_noscript_message(spark):
+    says = ("Please ENABLE JavaScript", "JavaScript required", "javascript is disabled.", "JAVASCRIPT IS REQUIRED")
+    pages = [f"<noscript>{t}</noscript>" for t in says] + ["<noscript>x</noscript><noscript>enable java</noscript><noscript>script</noscript>"]
+    others = ["<noscript>Use scripts</noscript>", "<p>enable javascript</p>", "<noscript></noscript>"]
+    found = scored(spark, *[p + PROSE * 9 for p in pages + others])
+    assert [p.signals for p in found] == [["noscript-message"]] * 5 + [[]] * 3
