@@ -252,3 +252,15 @@ def test_signal_of_a_noscript_message(spark):
     others = ["<noscript>Use scripts</noscript>", "<p>enable javascript</p>", "<noscript></noscript>"]
     found = scored(spark, *[p + PROSE * 9 for p in pages + others])
     assert [p.signals for p in found] == [["noscript-message"]] * 5 + [[]] * 3
+
+
+def test_signal_of_low_text_density(spark):
+    def page(size, chars, more=""):
+        rest = f"{more}<p>{'x' * chars}</p>"
+        return f"<!--{'-' * (size - len(rest) - 7)}-->{rest}"
+
+    links = '<a href="/">l</a>'
+    pages = (page(8000, 400), page(8000, 399), page(8000, 20, links * 9), page(8000, 20, links * 10), page(8000, 20, links * 9 + "<a> </a>"))
+    fired = [["low-text-density"], []]
+    assert [p.signals for p in scored(spark, *pages)] == [fired[i] for i in (1, 0, 0, 1, 0)]
+    assert [p.signals for p in scored(spark, *pages[:2], options=Options(text_density_ratio=0.051))] == [fired[0]] * 2
