@@ -264,3 +264,11 @@ def test_signal_of_low_text_density(spark):
     fired = [["low-text-density"], []]
     assert [p.signals for p in scored(spark, *pages)] == [fired[i] for i in (1, 0, 0, 1, 0)]
     assert [p.signals for p in scored(spark, *pages[:2], options=Options(text_density_ratio=0.051))] == [fired[0]] * 2
+
+
+def test_signal_of_a_tiny_body(spark):
+    links = '<a href="/">l</a>'
+    pages = ("<p>" + "x" * 5116, "<p>" + "x" * 5117, "<p>" + "é" * 2559, links * 9, links * 10, "")
+    fired = [["tiny-body"], []]
+    assert [p.signals for p in scored(spark, *pages)] == [fired[i] for i in (0, 1, 1, 0, 1, 0)]
+    assert [p.signals for p in scored(spark, *pages[:2], options=Options(tiny_body_bytes=5121))] == [fired[0]] * 2
